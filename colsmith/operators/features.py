@@ -6,11 +6,8 @@ from collections.abc import Callable, Mapping, Sequence
 from itertools import combinations
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.aggregates import collect_stats, value_counts
 from ..functions.lookup import level_lookup
@@ -156,26 +153,49 @@ def column_arithmetic(a: Column, b: Column) -> dict[str, Column]:
 
 # ---- bins ---------------------------------------------------------------------------------
 
-def fit_kmeans_bins(df: DataFrame, cols: Sequence[str] | None = None, size: int = 10, seed: int = 46,
-                    max_iter: int = 50) -> dict[str, list[float]]:
+def fit_kmeans_bins(df: DataFrame, cols: Sequence[str] | None = None, size: int = 10, max_iter: int = 50,
+                    tolerance: float = 1e-4) -> dict[str, list[float]]:
     """Inner edges of one-dimensional k-means bins for columns with more than ``size`` values.
 
-    Each column is reduced to distinct values with their counts, which weight the clustering.
+    In one dimension a cluster is the interval between two midpoints, so a Lloyd step is one
+    grouped mean. All columns step together, over counts per distinct value, from evenly spread
+    quantiles; a column stops when its centres move by less than ``tolerance`` of its spread.
     """
     cols = list(cols or numeric_columns(df))
-    wide = collect_stats(df, cols, lambda x: {"d": F.approx_count_distinct(x)})
-    edges: dict[str, list[float]] = {}
-    for c in cols:
-        if wide[c]["d"] <= 2 * size + 10 and df.agg(F.count_distinct(c)).first()[0] <= size:
-            continue
-        x = F.col(c).cast("double")
-        values = (df.select(x.alias("v")).filter(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("w")))
-        ready = VectorAssembler(inputCols=["v"], outputCol="x").transform(values).select("x", "w").persist(StorageLevel.MEMORY_AND_DISK)
-        model = KMeans(k=size, seed=seed, maxIter=max_iter, weightCol="w", featuresCol="x").fit(ready)
-        ready.unpersist()
-        centres = sorted(float(v[0]) for v in model.clusterCenters())
-        edges[c] = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
-    return edges
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in cols]
+    counts = (df.select(F.inline(F.array(*cells))).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+              .groupBy("feature", "v").agg(F.count(F.lit(1)).alias("w")).persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        spread = {r["feature"]: r for r in counts.groupBy("feature").agg(
+            F.count(F.lit(1)).alias("d"), F.percentile_approx("v", [(k + 0.5) / size for k in range(size)], 10_000).alias("start"),
+            (F.max("v") - F.min("v")).alias("range")).collect()}
+        wide = [c for c in cols if c in spread and spread[c]["d"] > size]
+        centres = {c: sorted(set(spread[c]["start"])) for c in wide}
+        live = list(wide)
+        for _ in range(max_iter):
+            if not live:
+                break
+            place = F.lit(None).cast("int")
+            for c in live:
+                place = F.when(F.col("feature") == c, bin_expr(F.col("v"), _midpoints(centres[c]))).otherwise(place)
+            moved = (counts.filter(F.col("feature").isin(live)).groupBy("feature", place.alias("bin"))
+                     .agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("centre")).collect())
+            for c in list(live):
+                fresh = list(centres[c])
+                for r in moved:
+                    if r["feature"] == c:
+                        fresh[r["bin"]] = r["centre"]
+                shift = max(abs(a - b) for a, b in zip(fresh, centres[c]))
+                centres[c] = sorted(fresh)
+                if shift <= tolerance * spread[c]["range"]:
+                    live.remove(c)
+    finally:
+        counts.unpersist()
+    return {c: _midpoints(centres[c]) for c in wide}
+
+
+def _midpoints(centres: Sequence[float]) -> list[float]:
+    return [(a + b) / 2 for a, b in zip(centres, centres[1:])]
 
 
 def bin_expr(col: Column, edges: Sequence[float]) -> Column:

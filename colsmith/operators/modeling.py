@@ -165,7 +165,7 @@ def auto_train(df: DataFrame, target: str, features: Sequence[str] | None = None
         label = []
     else:
         rows = df.filter(F.col(target).isNotNull())
-        label = [StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="keep")]
+        label = [StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="skip")]
     prep = Pipeline(stages=prep_stages).fit(rows)
     indexed = prep.transform(rows)
     if label:

@@ -51,8 +51,11 @@ def profile_columns(df: DataFrame) -> DataFrame:
             # the type rule counts null as one more value, the description does not
             distinct = F.col("nunique") + F.when(F.col("count") < rows, 1).otherwise(0)
             process = family_rule(kind, distinct, F.col("max_value"), boundary)
-            raw = raw.withColumn("max_value", F.col("max")) \
-                .withColumn("min", F.col("min").cast("string")).withColumn("max", F.col("max").cast("string"))
+            # whole numbers are written without a fraction
+            def text(c: str) -> Column:
+                return (F.col(c).cast("long") if kind == "int" else F.col(c)).cast("string")
+            raw = raw.select("feature", "count", "mean", "std", "nunique", F.col("max").alias("max_value"),
+                             text("min").alias("min"), text("max").alias("max"))
             advised = F.when(process == "object", "category").otherwise("numerical")
             parts.append(shaped(raw, "numerical", advised, process))
     times = time_columns(df)

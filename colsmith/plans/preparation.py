@@ -147,7 +147,7 @@ def _fit_synthesis(typed: DataFrame, label: str, problem: str, types: Mapping[st
                 raw = features.time_delta(typed, c, [c, *key], fill=float("nan"))
                 mode = features.modal_value(raw.filter(~F.isnan(f"{c}_delta")), f"{c}_delta")
                 fills[c] = float(mode) if mode is not None else 0.0
-        timed = _time_block(typed, layouts, series, key, fills)
+        timed = _time_block(typed, layouts, series, key, fills).persist(StorageLevel.MEMORY_AND_DISK)
         numeric, nominal = _time_names(layouts, series)
         lost = {d for d, *_ in association.correlated_columns(timed, nominal, numeric)}
         if series:
@@ -184,7 +184,7 @@ def _fit_synthesis(typed: DataFrame, label: str, problem: str, types: Mapping[st
     state = {
         "label": label, "problem_type": problem, "types": dict(types), "layouts": dict(layouts), "key": list(key),
         "time_fill": fills, "time_features": time_keep, "fill": fill, "chained": chained, "numeric": numeric, "nominal": nominal,
-        "bins": features.fit_kmeans_bins(filled, numeric, params["bucket_size"], params["seed"]) if params["bucket_size"] else {},
+        "bins": features.fit_kmeans_bins(filled, numeric, params["bucket_size"]) if params["bucket_size"] else {},
         "deskew": features.fit_yeo_johnson(filled, numeric, params["deskew_threshold"]) if params["deskew_threshold"] else {},
         "rare": features.fit_rare(filled, nominal, share=params["combine_rare_category"]) if params["combine_rare_category"] else {},
         "step": None, "unary": [], "roots": [], "groups": {}, "duplicates": [],
