@@ -4,10 +4,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_LEVELS = 100_000
 LITERAL_LEVELS = 200
+BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 0.001
-SALTS = 64
+
+
+def broadcast_fits(n_levels: int, n_values: int, key_bytes: int = 48) -> bool:
+    """Whether a level table of counted size stays within the broadcast budget."""
+    return n_levels * (key_bytes + 8 * n_values) <= BROADCAST_BYTES
 
 
 def hot_levels(levels: DataFrame, key: str, count: str, total: int) -> list:
@@ -15,28 +19,20 @@ def hot_levels(levels: DataFrame, key: str, count: str, total: int) -> list:
     return [r[0] for r in levels.filter(F.col(count) >= HOT_SHARE * max(total, 1)).select(key).collect()]
 
 
-def level_lookup(df: DataFrame, levels: DataFrame, key: str, count: str, total: int, n_levels: int,
-                 broadcast_levels: int = BROADCAST_LEVELS) -> DataFrame:
-    """Left join on a unique ``key``; unseen and null keys get nulls.
+def level_lookup(df: DataFrame, levels: DataFrame, key: str, count: str, total: int, small: bool) -> DataFrame:
+    """Left join on a unique ``key`` whose table also holds the row ``count`` of each level.
 
-    Broadcast when the counted number of levels is small. Otherwise a shuffle join in which
-    the hot levels, known from their counts, are salted on both sides.
+    A small table is broadcast. For a large one only the hot levels are: they are at most a
+    thousand, their rows never move, and what is left to shuffle has no key above a thousandth
+    of the rows. Splitting by level instead of salting also holds for rows that are all copies
+    of one another, which no salt made from row content could part. Null and unseen keys get nulls.
     """
     right = levels.drop(count)
-    if n_levels <= broadcast_levels:
-        return df.join(F.broadcast(right), key, "left")
+    if small:
+        return df.join(F.broadcast(right), key, "left").select(*df.columns, *[c for c in right.columns if c != key])
     hot = hot_levels(levels, key, count, total)
-    every = list(range(SALTS))
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    # null keys match nothing: spread them too
-    left = df.withColumn("__salt", F.when(is_hot | F.col(key).isNull(), spread).otherwise(F.lit(0)))
-    left = left.withColumn("__null", F.when(F.col(key).isNull(), F.xxhash64(*df.columns)))
-    right = (right.withColumn("__salt", F.explode(F.when(is_hot, F.array(*[F.lit(s) for s in every]))
-                                                  .otherwise(F.array(F.lit(0)))))
-             .withColumnRenamed(key, "__key").withColumnRenamed("__salt", "__rsalt"))
-    on = [(F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\u0000"), F.col("__null").cast("string")))
-           == F.col("__key").cast("string")),
-          F.col("__salt") == F.col("__rsalt")]
-    values = [c for c in levels.columns if c not in (key, count)]
-    return left.join(right, on, "left").select(*df.columns, *values)
+    is_hot = F.col(key).isNull() | F.coalesce(F.col(key).isin(hot), F.lit(False))
+    near = df.filter(is_hot).join(F.broadcast(right.filter(F.col(key).isin(hot))), key, "left")
+    far = df.filter(~is_hot).join(right.filter(~F.col(key).isin(hot)), key, "left")
+    out = [*df.columns, *[c for c in right.columns if c != key]]
+    return near.select(*out).unionByName(far.select(*out))

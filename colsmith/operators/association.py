@@ -1,17 +1,20 @@
 """Association between columns: Pearson, Spearman, Cramer's V, correlation ratio."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import collect_stats
-from ..functions.lookup import level_lookup
+from ..functions.lookup import broadcast_fits, level_lookup
 from ..functions.ordered import ROWS_PER_RANGE, average_ranks
+from ..session import cut_lineage
 
 CELL_LIMIT = 10_000
 _NARROW = 16
@@ -121,27 +124,45 @@ def top_correlated(df: DataFrame, cols: Sequence[str], target: str, k: int = 3)
     return base.filter(F.col("r").isNotNull()).orderBy(F.desc(F.abs("r")), "feature").limit(k)
 
 
-def rank_columns(df: DataFrame, cols: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Average rank of every value, as ``__rank_<position>`` columns.
+def rank_columns(rows: DataFrame, cols: Sequence[str], weight: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``weight`` and the average rank of every value, as ``__rank_<position>`` columns.
 
-    A column is first reduced to its distinct values and counts; ranks are running counts over
-    those, looked up by a broadcast or hot-value-safe join.
+    ``rows`` are distinct value combinations with their number of copies. Each column is reduced
+    to its distinct values and counts; ranks are running counts over those, looked up by a
+    broadcast or hot-value-safe join.
     """
-    out = df.select(*cols)
-    total = out.count()
+    total, *sizes = rows.agg(F.sum(weight), *[F.approx_count_distinct(c) for c in cols]).first()
+    out = rows
     for i, c in enumerate(cols):
-        counts = out.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
+        counts = rows.groupBy(c).agg(F.sum(weight).alias("__n"))
         ranks = average_ranks(counts, c, out=f"__rank_{i}", count="__n", rows_per_range=rows_per_range)
-        out = level_lookup(out, ranks, c, "__n", total, counts.count())
-    return out
+        small = broadcast_fits(sizes[i], 1)
+        out = level_lookup(out if small else cut_lineage(out), ranks, c, "__n", total, small)
+    return out.select(weight, *[f"__rank_{i}" for i in range(len(cols))])
 
 
 def spearman(df: DataFrame, cols: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> dict[tuple[str, str], float | None]:
     """Rank correlations of all pairs. Rows with a null in any of the columns are left out."""
-    full = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    ranked = rank_columns(full, cols, rows_per_range)
-    found = correlations(ranked, list(combinations([f"__rank_{i}" for i in range(len(cols))], 2)))
-    return {(cols[int(a[7:])], cols[int(b[7:])]): r for (a, b), r in found.items()}
+    full = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
+    names = full.columns
+    # copies collapse before anything is joined, however many there are
+    rows = full.groupBy(*names).agg(F.count(F.lit(1)).alias("__w")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranked = rank_columns(rows, names, "__w", rows_per_range)
+        pairs = list(combinations(range(len(cols)), 2))
+        w, r = F.col("__w"), [F.col(f"__rank_{i}") for i in range(len(cols))]
+        # the mean rank is known to be (n + 1) / 2
+        n = rows.agg(F.sum("__w")).first()[0] or 0
+        mid = [x - (n + 1) / 2 for x in r]
+        made = ranked.agg(*[F.sum(w * m * m).alias(f"s{i}") for i, m in enumerate(mid)],
+                          *[F.sum(w * mid[i] * mid[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    finally:
+        rows.unpersist()
+
+    def rho(i: int, j: int) -> float | None:
+        scale = (made[f"s{i}"] or 0.0) * (made[f"s{j}"] or 0.0)
+        return made[f"c{i}_{j}"] / math.sqrt(scale) if scale > 0 else None
+    return {(cols[i], cols[j]): rho(i, j) for i, j in pairs}
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:

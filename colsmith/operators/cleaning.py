@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions.aggregates import collect_stats
 from ..functions.ordered import ROWS_PER_RANGE, ordered_scan
 from ..functions.quantiles import exact_quantiles
+from ..session import cut_lineage
 from .profiling import outlier_fences
 from .roles import numeric_columns, time_columns
 
@@ -130,7 +131,8 @@ def drop_near_duplicates(df: DataFrame, order_by: Sequence[str] | None = None, r
     scan = ordered_scan(df, order_by, lag={f"__prev_{c}": F.col(c).cast("double") for c in cols},
                         rows_per_range=rows_per_range)
     square = sum((F.pow(F.col(c).cast("double") - F.col(f"__prev_{c}"), 2) for c in cols), F.lit(0.0))
-    far = scan.select(*df.columns, F.sqrt(square).alias("distance"))
+    # the cutoff needs several passes over the distances: write them once
+    far = cut_lineage(scan.select(*df.columns, F.sqrt(square).alias("distance")))
     cutoff = exact_quantiles(far, ["distance"], [remove_quantile])["distance"][0]
     return far.filter(F.col("distance") >= cutoff)
 

@@ -110,7 +110,7 @@ def _level_stats(df: DataFrame, cols: Sequence[str], targets: Mapping[str, Colum
     return stats, total
 
 
-def _check_width(df: DataFrame, cols: Sequence[str]) -> None:
+def check_width(df: DataFrame, cols: Sequence[str]) -> None:
     # level tables come to the driver as fitted state, so count them first
     wide = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first().asDict() if cols else {}
     over = [c for c, d in wide.items() if d > FEW_LEVELS]
@@ -125,7 +125,7 @@ def smoothing(n: float, k: float, f: float) -> float:
 
 def fit_target(df: DataFrame, cols: Sequence[str], target: Column, k: float = 20.0, f: float = 10.0) -> dict:
     """Level -> mean of the target pulled to the overall mean by a sigmoid of the level count."""
-    _check_width(df, cols)
+    check_width(df, cols)
     stats, total = _level_stats(df, cols, {"y": target})
     prior = total["y"]
     maps = {c: {r["level"]: prior + (r["m0"] - prior) * smoothing(r["n"], k, f) for r in rows if r["m0"] is not None}
@@ -141,7 +141,7 @@ def binary_target(df: DataFrame, label: str) -> Column:
 
 def fit_target_multiclass(df: DataFrame, cols: Sequence[str], label: str, k: float = 20.0, f: float = 10.0) -> dict:
     """One-vs-rest target encoding: ``<col>_<class>`` for each class."""
-    _check_width(df, cols)
+    check_width(df, cols)
     classes = levels_of(df, [label], 1000)[label]
     stats, prior = _level_stats(df, cols, {y: (F.col(label).cast("string") == y).cast("double") for y in classes})
     maps = {c: {y: {r["level"]: prior[y] + (r[f"m{i}"] - prior[y]) * smoothing(r["n"], k, f) for r in rows}
@@ -166,7 +166,7 @@ def fit_shrinkage(df: DataFrame, cols: Sequence[str], target: Column, binomial:
     the logit of the rate with one half added to hits and misses.
     """
     from math import log
-    _check_width(df, cols)
+    check_width(df, cols)
     stats, total = _level_stats(df, cols, {"y": target})
     maps: dict[str, dict[str, float]] = {}
     for c, rows in stats.items():

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import collect_stats, value_counts
-from ..functions.lookup import level_lookup
+from ..functions.lookup import broadcast_fits, level_lookup
 from ..functions.ordered import ROWS_PER_RANGE, ordered_scan
+from ..session import cut_lineage
 from .association import correlations
 from .roles import numeric_columns
 
@@ -357,7 +358,13 @@ def group_aggregates(df: DataFrame, cats: Sequence[str], nums: Sequence[str],
     (map-side combined) are looked up, by broadcast when their counted size is small.
     """
     base = df if source is None else source
-    total = base.count()
-    for c, levels in group_tables(base, cats, nums, aggs).items():
-        df = level_lookup(df, levels, c, "__n", total, levels.count())
+    sizes = base.agg(F.count(F.lit(1)).alias("__rows"), *[F.approx_count_distinct(c).alias(c) for c in cats]).first()
+    small = {c: broadcast_fits(sizes[c], len(nums) * len(aggs)) for c in cats}
+    tables = group_tables(base, cats, nums, aggs)
+    wide_seen = False
+    for c in sorted(cats, key=lambda x: not small[x]):
+        if not small[c] and wide_seen:
+            df = cut_lineage(df)            # a wide lookup reads its input twice: do not nest that
+        wide_seen = wide_seen or not small[c]
+        df = level_lookup(df, tables[c], c, "__n", sizes["__rows"], small[c])
     return df

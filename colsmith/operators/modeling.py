@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import ROWS_PER_RANGE, ordered_scan
 from ..functions.quantiles import exact_quantiles
+from .encoding import FEW_LEVELS, levels_of
 from .roles import BINARY, REGRESSION, nominal_columns, numeric_columns, problem_type
 
 
@@ -91,11 +92,15 @@ def feature_order(df: DataFrame, features: Sequence[str]) -> list[str]:
 
 
 def max_bins(df: DataFrame, features: Sequence[str]) -> int:
+    """Tree bins that hold every level; a column too wide to index on the driver is refused."""
     nominal = [c for c in features if c in nominal_columns(df)]
     if not nominal:
         return 32
-    wide = df.agg(*[F.approx_count_distinct(c) for c in nominal]).first()
-    return max(32, int(max(wide) * 1.1) + 3)
+    wide = df.agg(*[F.approx_count_distinct(c).alias(c) for c in nominal]).first().asDict()
+    over = [c for c, n in wide.items() if n > FEW_LEVELS]
+    if over:
+        raise ValueError(f"columns {over} have more than {FEW_LEVELS} levels; combine rare levels first")
+    return max(32, int(max(wide.values()) * 1.1) + 3)
 
 
 def holdout(df: DataFrame, key: Sequence[str], share: float, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -158,6 +163,7 @@ def auto_train(df: DataFrame, target: str, features: Sequence[str] | None = None
     start = time.monotonic()
     problem = problem_type(df, target) if target in nominal_columns(df) or target not in numeric_columns(df) else REGRESSION
     features = list(features or [c for c in df.columns if c != target and c in (*numeric_columns(df), *nominal_columns(df))])
+    bins = max_bins(df, features)
     prep_stages = feature_stages(df, features)
     classes: list[str] = []
     if problem == REGRESSION:
@@ -165,6 +171,7 @@ def auto_train(df: DataFrame, target: str, features: Sequence[str] | None = None
         label = []
     else:
         rows = df.filter(F.col(target).isNotNull())
+        levels_of(rows, [target], 1000)         # refuses a label that is no class label
         label = [StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="skip")]
     prep = Pipeline(stages=prep_stages).fit(rows)
     indexed = prep.transform(rows)
@@ -175,7 +182,7 @@ def auto_train(df: DataFrame, target: str, features: Sequence[str] | None = None
     ready = indexed.select("features", "__y").persist(StorageLevel.MEMORY_AND_DISK)
     run = Run(target, problem, features, classes)
     try:
-        for name, estimator, grid in _candidates(problem, max_bins(df, features), seed):
+        for name, estimator, grid in _candidates(problem, bins, seed):
             if run.models and (time.monotonic() - start > budget_seconds or len(run.models) >= max_models):
                 break
             estimator = estimator.copy({estimator.getParam("labelCol"): "__y"})
@@ -258,8 +265,8 @@ def surrogate_regression(df: DataFrame, target: str, features: Sequence[str], ke
                          seed: int = 1) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """Linear and boosted regressors with train and holdout errors; r2 is of truth against prediction."""
     train, test = holdout(df, key, share, seed)
-    prep = feature_stages(df, features)
     bins = max_bins(df, features)
+    prep = feature_stages(df, features)
     results, models = [], {}
     for name, est in (("linear", LinearRegression(labelCol=target)),
                       ("boosted", GBTRegressor(labelCol=target, seed=seed, maxIter=20, maxDepth=4, maxBins=bins))):

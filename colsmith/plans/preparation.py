@@ -206,7 +206,8 @@ def _fit_synthesis(typed: DataFrame, label: str, problem: str, types: Mapping[st
             state["roots"] = roots
             state["unary"] = [alias[a] for a in _pick(wide, kept, numeric, label, problem, params)]
         if params["groupby"] and nominal:
-            tables = {c: t for c, t in features.group_tables(rare, nominal, numeric, params["groupby"]).items()}
+            encoding.check_width(rare, nominal)        # level tables become fitted state
+            tables = features.group_tables(rare, nominal, numeric, params["groupby"])
             wide = features.group_aggregates(rare, nominal, numeric, params["groupby"])
             names = [features.group_name(c, x, a) for c in nominal for a in params["groupby"] for x in numeric]
             stats = wide.agg(*[F.count(F.when(F.col(f"`{n}`").isNull(), 1)).alias(f"m{i}") for i, n in enumerate(names)],
@@ -219,7 +220,7 @@ def _fit_synthesis(typed: DataFrame, label: str, problem: str, types: Mapping[st
                 mine = {features.group_name(c, x, a): base[f"{x}|{a}"] for a in params["groupby"] for x in numeric
                         if features.group_name(c, x, a) in picked}
                 if mine:
-                    rows = tables[c].select(c, *mine).collect()     # at most 256 levels pass the cleaning
+                    rows = tables[c].select(c, *mine).collect()
                     state["groups"][c] = {"default": mine, "levels": {r[c]: {n: r[n] for n in mine} for r in rows}}
     return state
 
