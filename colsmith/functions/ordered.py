@@ -72,7 +72,7 @@ def range_id(df: DataFrame, keys: Sequence[str], bounds: Sequence[tuple]) -> Col
     full = not_above(F.array(*[literal(g[-1]) for g in groups]))
     nested = F.array(*[F.array(*[literal(b) for b in g]) for g in groups])
     inside = F.when(full < len(groups), not_above(F.get(nested, full))).otherwise(F.lit(0))
-    return full * _FANOUT + inside
+    return F.least(full * _FANOUT + inside, F.lit(len(bounds)))
 
 
 def ordered_scan(

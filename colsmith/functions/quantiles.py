@@ -26,13 +26,17 @@ def clean_double(name: str) -> Column:
 
 @dataclass
 class _Bracket:
+    """A wanted rank, the interval known to hold it and a narrower one to try next."""
     col: str
     rank: int
     frac: float
     low: float
     high: float
+    inside: int
+    try_low: float
+    try_high: float
     below: int = 0
-    inside: int = 0
+    misses: int = 0
     value: float | None = None
 
 
@@ -69,45 +73,48 @@ def _solve(df: DataFrame, cols: list[str], probs: list[float], small: int) -> di
             at = q * (n - 1)
             rank = min(int(math.floor(at)), n - 1)
             low, high = first[f"q{i}"][2 * j], first[f"q{i}"][2 * j + 1]
-            # the ends of the column are exact bounds of the outermost ranks
-            low = first[f"lo{i}"] if q - _SLACK <= 0 else low
-            high = first[f"hi{i}"] if q + _SLACK >= 1 else high
-            work.append((i, j, _Bracket(f"x{i}", rank, at - rank, low, high)))
+            work.append((i, j, _Bracket(f"x{i}", rank, at - rank, first[f"lo{i}"], first[f"hi{i}"], n, low, high)))
     if work:
-        _narrow(data, [w[2] for w in work], first, small)
+        _narrow(data, [w[2] for w in work], counts, small)
         for i, j, b in work:
             result[cols[i]][j] = b.value
     return result
 
 
-def _narrow(data: DataFrame, brackets: list[_Bracket], ends, small: int) -> None:
+_MAX_MISSES = 2
+
+
+def _narrow(data: DataFrame, brackets: list[_Bracket], counts: list[int], small: int) -> None:
+    """Settle every bracket; each round is two or three aggregates for all of them together.
+
+    An interval is only replaced by one that a count has shown to hold the wanted ranks. After
+    two misses of the sketch a bracket is halved by value, which always ends.
+    """
     open_ = [b for b in brackets if b.value is None]
     while open_:
-        # 1. where is each bracket, and how many different values does it hold?
+        # 1. does the tried interval hold the two wanted ranks, and how many different values?
         aggs = []
         for k, b in enumerate(open_):
             x = F.col(b.col)
-            inside = F.when(x.between(b.low, b.high), x)
-            aggs += [F.count(F.when(x < b.low, 1)).alias(f"b{k}"), F.count(inside).alias(f"i{k}"),
+            inside = F.when(x.between(b.try_low, b.try_high), x)
+            aggs += [F.count(F.when(x < b.try_low, 1)).alias(f"b{k}"), F.count(inside).alias(f"i{k}"),
                      F.approx_count_distinct(inside).alias(f"d{k}")]
         seen = data.agg(*aggs).first()
         solid, wide = [], []
         for k, b in enumerate(open_):
-            b.below, b.inside = seen[f"b{k}"], seen[f"i{k}"]
-            upper = min(b.rank + 1, ends["n" + b.col[1:]] - 1)
-            missed = False
-            if b.below > b.rank:
-                b.low, missed = ends["lo" + b.col[1:]], True
-            if b.below + b.inside <= upper:
-                b.high, missed = ends["hi" + b.col[1:]], True
-            if missed:
-                continue                # the sketch missed: count again in the wider bracket
-            if b.low == b.high:
-                b.value = b.low
-            elif seen[f"d{k}"] <= small:
-                solid.append((b, upper))
+            upper = min(b.rank + 1, counts[int(b.col[1:])] - 1)
+            below, inside = seen[f"b{k}"], seen[f"i{k}"]
+            if below <= b.rank and upper < below + inside:
+                b.low, b.high, b.below, b.inside = b.try_low, b.try_high, below, inside
+                if b.low == b.high:
+                    b.value = b.low
+                    continue
+                if seen[f"d{k}"] <= small:
+                    solid.append((b, upper))
+                    continue
             else:
-                wide.append((b, upper))
+                b.misses += 1
+            wide.append((b, upper))
         # 2. few values left: take the two wanted ones exactly
         if solid:
             aggs = []
@@ -120,27 +127,30 @@ def _narrow(data: DataFrame, brackets: list[_Bracket], ends, small: int) -> None
             got = data.agg(*aggs).first()
             for k, (b, _) in enumerate(solid):
                 b.value = got[f"a{k}"] + b.frac * (got[f"z{k}"] - got[f"a{k}"])
-        # 3. still many values: narrow by sketch, and by the midpoint where ties stop the sketch
+        # 3. still many values: halve by value (exact), and propose a narrower interval by sketch
         if wide:
             aggs = []
-            for k, (b, _) in enumerate(wide):
+            for k, (b, upper) in enumerate(wide):
                 x = F.when(F.col(b.col).between(b.low, b.high), F.col(b.col))
-                at = (b.rank - b.below) / b.inside
                 mid = b.low + (b.high - b.low) / 2
-                aggs += [F.percentile_approx(x, [max(0.0, at - _SLACK), min(1.0, at + _SLACK)], _ACCURACY).alias(f"q{k}"),
-                         F.count(F.when(x <= mid, 1)).alias(f"c{k}"),
-                         F.max(F.when(x <= mid, x)).alias(f"m{k}"), F.min(F.when(x > mid, x)).alias(f"w{k}")]
+                around = [max(0.0, (b.rank - b.below) / b.inside - _SLACK), min(1.0, (upper + 1 - b.below) / b.inside + _SLACK)]
+                aggs += [F.count(F.when(x <= mid, 1)).alias(f"c{k}"), F.max(F.when(x <= mid, x)).alias(f"m{k}"),
+                         F.min(F.when(x > mid, x)).alias(f"w{k}")]
+                if b.misses < _MAX_MISSES:
+                    aggs.append(F.percentile_approx(x, around, _ACCURACY).alias(f"q{k}"))
             got = data.agg(*aggs).first()
             for k, (b, upper) in enumerate(wide):
                 upto_mid = b.below + got[f"c{k}"]
-                low, high = got[f"q{k}"]
                 if upto_mid > upper:
-                    high = min(high, got[f"m{k}"])
+                    b.high, b.inside = got[f"m{k}"], got[f"c{k}"]
                 elif upto_mid <= b.rank:
-                    low = max(low, got[f"w{k}"])
+                    b.low, b.below, b.inside = got[f"w{k}"], upto_mid, b.inside - got[f"c{k}"]
                 else:                   # the midpoint parts the two wanted values
                     b.value = got[f"m{k}"] + b.frac * (got[f"w{k}"] - got[f"m{k}"])
-                b.low, b.high = max(b.low, low), min(b.high, high)
+                b.try_low, b.try_high = b.low, b.high
+                if b.misses < _MAX_MISSES:
+                    low, high = got[f"q{k}"]
+                    b.try_low, b.try_high = max(b.low, low), min(b.high, high)
         open_ = [b for b in open_ if b.value is None]
 
 
@@ -152,9 +162,8 @@ def value_at_rank(df: DataFrame, col: str, rank: int, small: int = SMALL) -> flo
     n = ends["n0"]
     if not 0 <= rank < n:
         return None
-    low, high = data.agg(F.percentile_approx(x, [max(0.0, rank / n - _SLACK), min(1.0, rank / n + _SLACK)],
+    low, high = data.agg(F.percentile_approx(x, [max(0.0, rank / n - _SLACK), min(1.0, (rank + 2) / n + _SLACK)],
                                              _ACCURACY)).first()[0]
-    bracket = _Bracket("x0", rank, 0.0, ends["lo0"] if rank / n <= _SLACK else low,
-                       ends["hi0"] if rank / n >= 1 - _SLACK else high)
-    _narrow(data, [bracket], ends, small)
+    bracket = _Bracket("x0", rank, 0.0, ends["lo0"], ends["hi0"], n, low, high)
+    _narrow(data, [bracket], [n], small)
     return bracket.value
