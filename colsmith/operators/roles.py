@@ -148,6 +148,8 @@ def parse_time(col: Column, layout: str) -> Column:
     text = col.cast("string")
     if "MMM" in layout:
         text = F.initcap(text)
+    if "ssSSSSSS" in layout:        # a fraction needs a separator to be told from the seconds
+        text, layout = F.regexp_replace(text, r"(\d{6})$", ".$1"), layout.replace("ssSSSSSS", "ss.SSSSSS")
     return F.try_to_timestamp(text, F.lit(layout))
 
 

@@ -1,9 +1,12 @@
 """Operators against hand-computed or pandas results, including every judgement call."""
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from colsmith.functions import tests_of_fit as tof
 from colsmith.operators import association, cleaning, drift, encoding, features, imputation, profiling, reshape, roles, scaling
 from colsmith.operators.roles import CheckError
 
@@ -235,8 +238,9 @@ def test_correlated_columns_rules(spark):
                                  (F.col("id") % 3).cast("string").alias("p"), (F.col("id") % 3 + 5).cast("string").alias("q"),
                                  F.concat(F.lit("u"), "id").alias("u"), F.concat(F.lit("v"), "id").alias("v"))
     got = association.correlated_columns(df, ["p", "q", "u", "v"], ["x", "y", "z"])
-    # numeric: the earlier goes, negative correlation does not count; u x v has too many cells
-    assert got == [("q", "p", "nominal"), ("x", "y", "numeric")]
+    # numeric: the earlier goes, negative correlation does not count; u and v determine p, u x v is not compared
+    assert got == [("q", "p", "nominal"), ("u", "p", "nominal"), ("v", "p", "nominal"), ("x", "y", "numeric")]
+    assert association.correlated_columns(df, ["u", "v"], []) == []
 
 
 def test_cramers_v_of_independent_and_equal(spark):
@@ -262,8 +266,11 @@ def brute_ks(x, y):
 @pytest.fixture(scope="module")
 def halves(spark):
     rng = np.random.default_rng(21)
-    train = pd.DataFrame({"y": rng.choice(list("ABC"), 900), "x": rng.normal(50, 5, 900).round(1), "s": rng.normal(size=900), "k": 1.0})
-    test = pd.DataFrame({"y": rng.choice(list("ABD"), 500), "x": rng.normal(50, 5, 500).round(1), "s": rng.normal(size=500), "k": 1.0})
+
+    def normal(n):
+        return rng.permutation([NormalDist().inv_cdf((i + 0.5) / n) for i in range(n)])
+    train = pd.DataFrame({"y": rng.choice(list("ABC"), 900), "x": rng.normal(50, 5, 900).round(1), "s": normal(900), "k": 1.0})
+    test = pd.DataFrame({"y": rng.choice(list("ABD"), 500), "x": rng.normal(50, 5, 500).round(1), "s": normal(500), "k": 1.0})
     test.loc[test.y == "B", "x"] += 4
     return train, test
 
@@ -280,7 +287,10 @@ def test_ordinal_tests_equal_brute_force(spark, halves, per_range):
     assert rows["x", "B"]["p"] < 0.05 < rows["x", "A"]["p"] and rows["x", "A"]["test"] == "ks"
     assert rows["k", "A"]["identical"] and rows["x", "D"]["n_train"] == 0
     # x: B shifted and D missing in train; k: equal values everywhere are skipped, also for D
-    assert drift.label_drift(a, b, cells, per_range) == {"x": (2, 3), "s": (1, 3), "k": (0, 3)}
+    def count(f):
+        sides = [(train[train.y == lab][f], test[test.y == lab][f]) for lab in "AB"]
+        return 1 + sum(tof.ks_two_sample_p(brute_ks(p, q), len(p), len(q)) < 0.05 for p, q in sides)
+    assert drift.label_drift(a, b, cells, per_range) == {"x": (count("x"), 3), "s": (count("s"), 3), "k": (0, 3)}
 
 
 def test_standard_normal_sides_use_the_t_test(spark, halves):
