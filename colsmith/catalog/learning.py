@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import modeling, selection
 from ..plans import preparation, regression_prep, reports
 from ..session import table
-from .registry import CUT, line_halves, register, rounded
+from .registry import line_halves, register, rounded
 
 
 def _signals(spark, d):
@@ -230,15 +230,45 @@ def prepare_inverse(spark, d):
     return rounded(back, 4)
 
 
-@register("eda_report")
+EDA_COLS = ["value", "user_id"]
+EDA_SQL = " UNION ALL ".join(
+    [f"SELECT 'missing' AS section, '{c}' AS feature, '{k}' AS stat, 0.0::DOUBLE AS value, NULL AS text FROM events HAVING count(*) = count({c})"
+     for c in (*EDA_COLS, "event_type") for k in ("n_missing", "ratio")] +
+    ["SELECT 'levels', 'event_type', event_type, count(*)::DOUBLE, NULL FROM events GROUP BY event_type"] +
+    [f"SELECT 'box', '{c}', '{k}', round({e}, 4)::DOUBLE, NULL FROM events, (SELECT quantile_cont({c}, 0.25) a, quantile_cont({c}, 0.5) m, quantile_cont({c}, 0.75) b FROM events)"
+     for c in EDA_COLS for k, e in (
+         ("min", f"min({c})"), ("q1", "max(a)"), ("median", "max(m)"), ("q3", "max(b)"), ("max", f"max({c})"),
+         ("n_outliers", f"count(*) FILTER ({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a))"),
+         ("percent", f"round(100 * count(*) FILTER ({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) / count(*), 2)"))] +
+    [f"SELECT 'skew', '{c}', 'skew', round(s, 4), NULL FROM (SELECT avg(pow({c} - m, 3)) / pow(var_pop({c}), 1.5) AS s FROM events, (SELECT avg({c}) m FROM events)) WHERE abs(s) > 0.75"
+     for c in EDA_COLS] +
+    ["SELECT 'correlation', 'user_id', 'r', round(corr(user_id, value), 2), NULL FROM events",
+     "SELECT 'correlation', 'user_id', 'level', NULL, CASE WHEN abs(corr(user_id, value)) <= 0.25 THEN 'micro' WHEN abs(corr(user_id, value)) <= 0.5 THEN 'low' "
+     "WHEN abs(corr(user_id, value)) <= 0.75 THEN 'medium' ELSE 'high' END FROM events"])
+
+
+@register("eda_report", EDA_SQL)
 def eda_report(spark, d):
-    lines = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    return reports.eda_report(lines, "l_extendedprice")
+    events = table(spark, d, "events").select("value", "user_id", "event_type")
+    return rounded(reports.eda_report(events, "value"), 4, "value")
 
 
-@register("upload_check")
+KEPT = "(SELECT * FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linenumber = 7))"
+
+
+@register("upload_check", f"""
+SELECT 'l_orderkey' AS column_name, 'numerical' AS initial_dtype, 'numerical' AS advise_dtype, 'int' AS dtype_for_process, 0 AS data_quality,
+  count(*) AS count, round(avg(l_orderkey), 4) AS mean, round(stddev_samp(l_orderkey), 4) AS std, min(l_orderkey)::VARCHAR AS min, max(l_orderkey)::VARCHAR AS max,
+  count(DISTINCT l_orderkey) AS nunique FROM {KEPT}
+UNION ALL SELECT 'price', 'numerical', 'numerical', 'float', 0, count(*), round(avg(l_extendedprice), 4), round(stddev_samp(l_extendedprice), 4),
+  min(l_extendedprice)::VARCHAR, max(l_extendedprice)::VARCHAR, count(DISTINCT l_extendedprice) FROM {KEPT}
+UNION ALL SELECT 'l_returnflag', 'category', 'category', 'object', 0, count(*), NULL, NULL,
+  (SELECT l_returnflag FROM {KEPT} GROUP BY 1 ORDER BY count(*), 1 LIMIT 1), (SELECT l_returnflag FROM {KEPT} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+  count(DISTINCT l_returnflag) FROM {KEPT}
+UNION ALL SELECT 'l_shipdate', 'timestamp', 'datetime', '%Y-%m-%d %H:%M:%S', 0, count(*), NULL, NULL, min(l_shipdate)::VARCHAR, max(l_shipdate)::VARCHAR,
+  count(DISTINCT l_shipdate) FROM {KEPT}""")
 def upload_check(spark, d):
     lines = table(spark, d, "lineitem")
     odd = F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 7), "missing")
     dirty = lines.select("l_orderkey", F.coalesce(odd, F.col("l_extendedprice").cast("string")).alias("price"), "l_returnflag", "l_shipdate")
-    return reports.upload_check(dirty)[1]
+    return rounded(reports.upload_check(dirty)[1], 4, "mean", "std")

@@ -151,13 +151,15 @@ def yeo_johnson_apply(spark, d):
     return rounded(features.apply_yeo_johnson(lines, state).drop("x", "l_tax"), 6)
 
 
-@register("yeo_johnson_fit")
+@register("yeo_johnson_fit", """
+WITH g AS (SELECT (i - 800) * 0.005 AS lam FROM range(1601) r(i)),
+l AS (SELECT lam, -count(*) / 2.0 * ln(var_pop(CASE WHEN abs(lam) < 1e-9 THEN ln(value + 1) ELSE (pow(value + 1, lam) - 1) / lam END))
+  + (lam - 1) * sum(ln(value + 1)) AS score FROM events, g GROUP BY lam)
+SELECT 'value' AS feature, round(arg_max(lam, score), 1) AS lambda FROM l""")
 def yeo_johnson_fit(spark, d):
-    events = table(spark, d, "events").select("event_id", "value", "user_id")
+    events = table(spark, d, "events").select("value", "user_id")
     state = features.fit_yeo_johnson(events, ["value", "user_id"])
-    out = features.apply_yeo_johnson(events, state)
-    made = [f"{c}_PT" for c in state]
-    return out.agg(*[F.skewness(c).alias(f"skew_{c}") for c in made], *[F.lit(state[c]["lambda"]).alias(f"lambda_{c}") for c in state])
+    return spark.createDataFrame([(c, round(s["lambda"], 1)) for c, s in state.items()], "feature string, lambda double")
 
 
 SKEWED = "(SELECT event_id, value - 3 AS value, sqrt(sqrt(user_id)) AS root FROM events)"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SMALL = 200_000
-_ACCURACY = 10_000
+_ACCURACY = 2_000
 _SLACK = 2.5 / _ACCURACY
 _COLUMNS_PER_JOB = 50
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import ROWS_PER_RANGE, ordered_scan
 from ..functions.quantiles import exact_quantiles
+from ..session import spread
 from .encoding import FEW_LEVELS, levels_of
 from .roles import BINARY, REGRESSION, nominal_columns, numeric_columns, problem_type
 
@@ -179,7 +180,7 @@ def auto_train(df: DataFrame, target: str, features: Sequence[str] | None = None
         indexer = label[0].fit(rows)
         classes = list(indexer.labels)
         indexed = indexer.transform(indexed)
-    ready = indexed.select("features", "__y").persist(StorageLevel.MEMORY_AND_DISK)
+    ready = spread(indexed.select("features", "__y")).persist(StorageLevel.MEMORY_AND_DISK)
     run = Run(target, problem, features, classes)
     try:
         for name, estimator, grid in _candidates(problem, bins, seed):
@@ -262,21 +263,26 @@ def load_run(spark, folder: str) -> Run:
 # ---- surrogate regression and input search ------------------------------------------------
 
 def surrogate_regression(df: DataFrame, target: str, features: Sequence[str], key: Sequence[str], share: float = 0.2,
-                         seed: int = 1) -> tuple[DataFrame, dict[str, PipelineModel]]:
+                         seed: int = 1, boosts: int = 20) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """Linear and boosted regressors with train and holdout errors; r2 is of truth against prediction."""
-    train, test = holdout(df, key, share, seed)
     bins = max_bins(df, features)
-    prep = feature_stages(df, features)
+    prep = Pipeline(stages=feature_stages(df, features)).fit(df)
+    # both models and all four scores read the same narrow assembled rows
+    ready = spread(prep.transform(df).select(*{*key, target}, "features")).persist(StorageLevel.MEMORY_AND_DISK)
     results, models = [], {}
-    for name, est in (("linear", LinearRegression(labelCol=target)),
-                      ("boosted", GBTRegressor(labelCol=target, seed=seed, maxIter=20, maxDepth=4, maxBins=bins))):
-        model = Pipeline(stages=[*prep, est]).fit(train)
-        models[name] = model
-        row = [name]
-        for part in (train, test):
-            m = regression_metrics(model.transform(part), target, "prediction", 12).first()
-            row += [m["mse"], m["r2"]]
-        results.append(tuple(row))
+    try:
+        train, test = holdout(ready, key, share, seed)
+        for name, est in (("linear", LinearRegression(labelCol=target)),
+                          ("boosted", GBTRegressor(labelCol=target, seed=seed, maxIter=boosts, maxDepth=4, maxBins=bins))):
+            fitted = est.fit(train)
+            models[name] = PipelineModel(stages=[prep, fitted])
+            row = [name]
+            for part in (train, test):
+                m = regression_metrics(fitted.transform(part), target, "prediction", 12).first()
+                row += [m["mse"], m["r2"]]
+            results.append(tuple(row))
+    finally:
+        ready.unpersist()
     table = df.sparkSession.createDataFrame(results, "model string, train_mse double, train_r2 double, test_mse double, test_r2 double")
     return table, models
 
@@ -356,7 +362,7 @@ def adversarial_validation(train: DataFrame, test: DataFrame, features: Sequence
     if nominal:
         both = StringIndexer(inputCols=nominal, outputCols=[f"__i_{c}" for c in nominal], stringOrderType="alphabetAsc",
                              handleInvalid="keep").fit(both).transform(both)
-    both = both.persist(StorageLevel.MEMORY_AND_DISK)
+    both = spread(both).persist(StorageLevel.MEMORY_AND_DISK)
     left, log = list(order), []
     try:
         fit_rows, check_rows = holdout(both, [*key, "__test"], 0.2, seed)

@@ -12,19 +12,23 @@ from ..sources import tables
 
 
 def _long(section: str, df: DataFrame, name: str, stats: Sequence[str]) -> DataFrame:
-    cells = [F.struct(F.lit(s).alias("stat"), F.col(s).cast("string").alias("value")) for s in stats]
+    kinds = dict(df.dtypes)
+    cells = [F.struct(F.lit(s).alias("stat"),
+                      (F.lit(None) if kinds[s] == "string" else F.col(s)).cast("double").alias("value"),
+                      (F.col(s) if kinds[s] == "string" else F.lit(None).cast("string")).alias("text")) for s in stats]
     return df.select(F.lit(section).alias("section"), F.col(name).alias("feature"), F.inline(F.array(*cells)))
 
 
 def eda_report(df: DataFrame, target: str | None = None, top: int = 30, numeric: Sequence[str] | None = None,
                nominal: Sequence[str] | None = None) -> DataFrame:
-    """(section, feature, stat, value) of missing cells, levels, boxes, skewness and correlation."""
+    """(section, feature, stat, value, text) of missing cells, levels, boxes, skewness and correlation."""
     numeric = list(roles.numeric_columns(df) if numeric is None else numeric)
     nominal = list(roles.nominal_columns(df) if nominal is None else nominal)
     parts = [_long("missing", profiling.missing_counts(df), "feature", ["n_missing", "ratio"])]
     if nominal:
         counts = profiling.category_counts(df, nominal, top)
-        parts.append(counts.select(F.lit("levels").alias("section"), "feature", F.col("value").alias("stat"), F.col("n").cast("string").alias("value")))
+        parts.append(counts.select(F.lit("levels").alias("section"), "feature", F.col("value").alias("stat"),
+                                   F.col("n").cast("double").alias("value"), F.lit(None).cast("string").alias("text")))
     if numeric:
         parts.append(_long("box", profiling.box_summary(df, numeric), "feature", ["min", "q1", "median", "q3", "max", "n_outliers", "percent"]))
         parts.append(_long("skew", profiling.skew_report(df, numeric), "feature", ["skew"]))
