@@ -185,46 +185,51 @@ def pair_counts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(a, b, v) per pair, no continuity correction; 0 for an empty or independent table.
 
-    ``phi2 = sum(n_ij^2 / (n_i n_j)) - 1`` needs the margins, which are sums of the small count
-    table joined back to it.
+    ``phi2 = sum(n_ij^2 / (n_i n_j)) - 1`` needs the margins, which are sums of the cell counts
+    joined back to them. The cells are kept while the three small jobs read them, so the rows
+    are scanned once.
     """
-    counts = pair_counts(df, pairs)
-    rows = counts.groupBy("a", "b", "u").agg(F.sum("n").alias("n_u"))
-    cols = counts.groupBy("a", "b", "v").agg(F.sum("n").alias("n_v"))
-    shape = (rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("r"))
-             .join(cols.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), ["a", "b"]))
-    joined = counts.join(rows, ["a", "b", "u"]).join(cols, ["a", "b", "v"])
-    phi2 = joined.groupBy("a", "b").agg((F.sum(F.col("n") * F.col("n") / (F.col("n_u") * F.col("n_v").cast("double"))) - 1).alias("phi2"))
-    least = F.least("r", "c") - 1
-    value = F.when((least > 0) & (F.col("phi2") > 1e-12), F.sqrt(F.col("phi2") / least)).otherwise(0.0)
-    return phi2.join(shape, ["a", "b"]).select("a", "b", value.alias("v"))
+    cells = pair_counts(df, pairs).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = cells.groupBy("a", "b", "u").agg(F.sum("n").alias("n_u"))
+        cols = cells.groupBy("a", "b", "v").agg(F.sum("n").alias("n_v"))
+        shape = (rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("r"))
+                 .join(cols.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")), ["a", "b"]))
+        joined = cells.join(rows, ["a", "b", "u"]).join(cols, ["a", "b", "v"])
+        share = F.col("n") * F.col("n") / (F.col("n_u") * F.col("n_v").cast("double"))
+        phi2 = joined.groupBy("a", "b").agg((F.sum(share) - 1).alias("phi2"))
+        least = F.least("r", "c") - 1
+        value = F.when((least > 0) & (F.col("phi2") > 1e-12), F.sqrt(F.col("phi2") / least)).otherwise(0.0)
+        found = phi2.join(shape, ["a", "b"]).select("a", "b", value.alias("v")).collect()     # one row per pair
+    finally:
+        cells.unpersist()
+    known = {(r["a"], r["b"]): r["v"] for r in found}
+    return df.sparkSession.createDataFrame([(a, b, float(known.get((a, b), 0.0))) for a, b in pairs], "a string, b string, v double")
 
 
 def correlation_ratio(df: DataFrame, numeric: Sequence[str], nominal: Sequence[str]) -> DataFrame:
     """(feature, by, ratio): between-level share of ``n`` times the sample variance.
 
-    One pass: rows fan out once per nominal column and are reduced map-side to one row per
-    level; totals come from the same small table (within plus between sums of squares).
+    Rows fan out once per nominal column and are reduced map-side to one row per level; totals
+    follow from those rows. Values are centred on their overall means first, so the sums of
+    squares do not cancel.
     """
+    means = collect_stats(df, numeric, lambda x: {"m": F.avg(x.cast("double"))})
     items = F.inline(F.array(*[F.struct(F.lit(c).alias("by"), F.col(c).cast("string").alias("level")) for c in nominal]))
-    values = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(numeric)]
+    values = [(F.col(c).cast("double") - (means[c]["m"] or 0.0)).alias(f"x{i}") for i, c in enumerate(numeric)]
     stats = [s for i in range(len(numeric)) for s in (
         F.count(f"x{i}").alias(f"n{i}"), F.avg(f"x{i}").alias(f"m{i}"), F.coalesce(F.var_pop(f"x{i}"), F.lit(0.0)).alias(f"v{i}"))]
     levels = df.select(items, *values).filter(F.col("level").isNotNull()).groupBy("by", "level").agg(*stats)
     long = levels.select("by", F.inline(F.array(*[F.struct(
         F.lit(c).alias("feature"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v"))
         for i, c in enumerate(numeric)])))
-    # sums of squares about the level means and about the grand mean
-    sums = long.groupBy("by", "feature").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("within"),
-        (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
-    grand = sums.select("by", "feature", F.col("mean").alias("grand"))
-    between = (long.join(F.broadcast(grand), ["by", "feature"]).groupBy("by", "feature")
-               .agg(F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand"), 2)).alias("between")))
-    ratio = F.when(F.col("within") + F.col("between") > 0,
-                   F.col("between") / ((F.col("within") + F.col("between")) / (F.col("n") - 1) * F.col("n"))).otherwise(0.0)
-    return (sums.join(between, ["by", "feature"])
-            .select("feature", "by", F.coalesce(ratio, F.lit(0.0)).alias("ratio")))
+    n, m = F.col("n"), F.col("m")
+    sums = long.groupBy("by", "feature").agg(F.sum("n").alias("n"), F.sum(n * F.col("v")).alias("within"),
+                                             (F.sum(n * m * m) - F.pow(F.sum(n * m), 2) / F.sum("n")).alias("raw"))
+    between = F.greatest("raw", F.lit(0.0))
+    total = F.col("within") + between
+    ratio = F.when(total > 0, between / (total / (F.col("n") - 1) * F.col("n"))).otherwise(0.0)
+    return sums.select("feature", "by", F.coalesce(ratio, F.lit(0.0)).alias("ratio"))
 
 
 def correlated_columns(df: DataFrame, nominal: Sequence[str], numeric: Sequence[str], threshold: float = 0.95,
