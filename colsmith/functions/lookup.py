@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LITERAL_LEVELS = 200
+LITERAL_LEVELS = 50      # beyond this a hash join beats searching a literal map
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_SHARE = 0.001
 

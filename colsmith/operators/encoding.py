@@ -26,30 +26,40 @@ def levels_of(df: DataFrame, cols: Sequence[str], limit: int = FEW_LEVELS) -> di
 
 def map_values(df: DataFrame, maps: Mapping[str, Mapping], out: Mapping[str, str] | None = None,
                default: Mapping[str, object] | None = None) -> DataFrame:
-    """Replace (or add, see ``out``) columns by a lookup of their value; unseen gives the default or null.
+    """Replace (or add, see ``out``) columns by a lookup of their value; unseen gives the default or null."""
+    out, default = dict(out or {}), dict(default or {})
+    return map_many(df, [(c, out.get(c, c), m, default.get(c)) for c, m in maps.items()])
+
+
+def map_many(df: DataFrame, lookups: Sequence[tuple[str, str, Mapping, object]]) -> DataFrame:
+    """Several lookups (source, output, map, default) in one projection.
 
-    Small maps become literal map lookups inside the projection; larger ones a broadcast join of a
-    driver-side dictionary, whose size the fit has bounded.
+    Small maps become literal map lookups; the larger maps of one source column share one
+    broadcast join of a driver-side dictionary, whose size the fit has bounded.
     """
-    out, default = dict(out or {}), dict(default or {})
-    order = list(df.columns)
-    for c, mapping in maps.items():
-        name, base = out.get(c, c), default.get(c)
-        text = F.col(c).cast("string")
+    names = list(df.columns)
+    made: dict[str, Column] = {}
+    wide: dict[str, list] = {}
+    for source, name, mapping, base in lookups:
         sample = next((v for v in mapping.values() if v is not None), None)
         vtype = T.StringType() if isinstance(sample, str) else T.LongType() if isinstance(sample, int) else T.DoubleType()
-        if len(mapping) <= LITERAL_LEVELS:
-            pairs = [F.lit(x).cast(t) for k, v in mapping.items() for x, t in ((str(k), T.StringType()), (v, vtype))]
-            found = F.try_element_at(F.create_map(*pairs), text) if pairs else F.lit(None).cast(vtype)
-            df = df.withColumn(name, F.coalesce(found, F.lit(base).cast(vtype)))
-        else:
-            table = df.sparkSession.createDataFrame([(str(k), v) for k, v in mapping.items()],
-                                                    T.StructType([T.StructField("__k", T.StringType()), T.StructField("__v", vtype)]))
-            joined = df.join(F.broadcast(table), text == F.col("__k"), "left")
-            df = joined.withColumn(name, F.coalesce(F.col("__v"), F.lit(base).cast(vtype))).drop("__k", "__v")
-        if name not in order:
-            order.append(name)
-    return df.select(*order)
+        if len(mapping) > LITERAL_LEVELS:
+            wide.setdefault(source, []).append((name, mapping, base, vtype))
+            continue
+        pairs = [F.lit(x).cast(t) for k, v in mapping.items() for x, t in ((str(k), T.StringType()), (v, vtype))]
+        found = F.try_element_at(F.create_map(*pairs), F.col(source).cast("string")) if pairs else F.lit(None).cast(vtype)
+        made[name] = F.coalesce(found, F.lit(base).cast(vtype))
+    for i, (source, group) in enumerate(wide.items()):
+        fields = [T.StructField(f"__k{i}", T.StringType()), *[T.StructField(f"__v{i}_{j}", g[3]) for j, g in enumerate(group)]]
+        keys = sorted({str(k) for g in group for k in g[1]})
+        text = [{str(k): v for k, v in g[1].items()} for g in group]
+        rows = [(k, *[t.get(k) for t in text]) for k in keys]
+        table = df.sparkSession.createDataFrame(rows, T.StructType(fields))
+        df = df.join(F.broadcast(table), F.col(source).cast("string") == F.col(f"__k{i}"), "left")
+        for j, (name, _, base, vtype) in enumerate(group):
+            made[name] = F.coalesce(F.col(f"__v{i}_{j}"), F.lit(base).cast(vtype))
+    return df.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in names],
+                     *[v.alias(n) for n, v in made.items() if n not in names])
 
 
 def inverse_map(mapping: Mapping[str, float], digits: int | None = None) -> dict:
@@ -150,12 +160,9 @@ def fit_target_multiclass(df: DataFrame, cols: Sequence[str], label: str, k: flo
 
 
 def apply_target_multiclass(df: DataFrame, state: Mapping) -> DataFrame:
-    keep = list(df.columns)
-    for c, per_class in state["maps"].items():
-        for y, mapping in per_class.items():
-            df = map_values(df, {c: mapping}, out={c: f"{c}_{y}"}, default={c: state["default"][y]})
-        keep.remove(c)
-    return df.select(*keep, *[f"{c}_{y}" for c, per in state["maps"].items() for y in per])
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in state["maps"]]
+    made = [(c, f"{c}_{y}", m, state["default"][y]) for c, per_class in state["maps"].items() for y, m in per_class.items()]
+    return map_many(df, made).select(*keep, *[F.col(f"`{name}`") for _, name, _, _ in made])
 
 
 def fit_shrinkage(df: DataFrame, cols: Sequence[str], target: Column, binomial: bool = False) -> dict:
