@@ -235,6 +235,15 @@ def split_shuffled(spark, d):
     return both.groupBy("part").agg(F.count_distinct("o_orderkey").alias("n"))
 
 
+@register("sample_rows", """
+SELECT least(count(*), 1200) AS n, least(count(*), 1200) AS n_known FROM orders""")
+def sample_rows(spark, d):
+    orders = table(spark, d, "orders")
+    picked = reshape.sample_rows(orders, 1200, ["o_orderkey"], seed=4)
+    known = picked.select("o_orderkey").distinct().join(orders.select("o_orderkey"), "o_orderkey", "left_semi")
+    return picked.agg(F.count(F.lit(1)).alias("n")).withColumn("n_known", F.lit(known.count()))
+
+
 @register("split_stratified", """
 WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) p,
                   count(*) OVER (PARTITION BY o_orderstatus) n FROM orders)

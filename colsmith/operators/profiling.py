@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import collect_stats, long_stats, value_counts
 from ..functions.quantiles import exact_quantiles
-from .roles import (category_boundary, family_rule, nominal_columns, numeric_columns, storage_kind, time_columns)
+from .roles import (apply_time_formats, category_boundary, family_rule, infer_time_formats, nominal_columns, numeric_columns,
+                    percent_layout, storage_kind, time_columns)
 
 
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -30,7 +31,12 @@ def profile_category(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
-    """One row per column: types, quality flag and the six-number description."""
+    """One row per column: types, quality flag and the six-number description.
+
+    Text and whole-number columns whose every value is a date or time are profiled as such.
+    """
+    layouts = infer_time_formats(df)
+    df = apply_time_formats(df, layouts)
     kinds = {f.name: storage_kind(f.dataType) for f in df.schema}
     rows = df.count()
     boundary = F.lit(category_boundary(rows))
@@ -63,7 +69,10 @@ def profile_columns(df: DataFrame) -> DataFrame:
         raw = long_stats(df, times, lambda x: {
             "count": F.count(x), "mean": F.lit(None).cast("double"), "std": F.lit(None).cast("double"),
             "min": F.min(x).cast("string"), "max": F.max(x).cast("string"), "nunique": F.count_distinct(x)})
-        parts.append(shaped(raw, "timestamp", F.lit("datetime"), F.lit("%Y-%m-%d %H:%M:%S")))
+        process = F.lit("%Y-%m-%d %H:%M:%S")
+        for c, layout in layouts.items():
+            process = F.when(F.col("feature") == c, percent_layout(layout)).otherwise(process)
+        parts.append(shaped(raw, "timestamp", F.lit("datetime"), process))
     nominal = [c for c, k in kinds.items() if k == "text"]
     if nominal:
         raw = (profile_category(df, nominal).withColumnRenamed("least_common", "min")

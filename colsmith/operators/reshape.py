@@ -75,6 +75,12 @@ def split(df: DataFrame, size: float, keys: Sequence[str], shuffle: bool = True,
     return numbered.filter(F.col("__pos") <= first_rows).drop(*drop), numbered.filter(F.col("__pos") > first_rows).drop(*drop)
 
 
+def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> DataFrame:
+    """Exactly ``n`` rows (all, when there are fewer), chosen by a seeded hash of the row key."""
+    rows = df.count()
+    return df if rows <= n else split(df, (n - 0.5) / rows, keys, seed=seed)[1]
+
+
 def _split_strata(df, size, keys, shuffle, stratify, seed, rows_per_range):
     order = F.xxhash64(*keys, F.lit(seed)) if shuffle else F.lit(0)
     base = df.withColumn("__cut", order)

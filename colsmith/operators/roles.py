@@ -144,6 +144,16 @@ TIME_LAYOUTS = [(re.compile(f"^{p}$"), f) for p, f in _DIGITS] + [
     (re.compile(f"^{dp}{tp}$"), df_ + tf) for tp, tf in _TIMES for dp, df_ in _DATES]
 
 
+# Pattern letters and the percent codes written to profiles.
+_PERCENT = {"'T'": "T", "yyyy": "%Y", "MMMM": "%B", "MMM": "%b", "MM": "%m", "M": "%m", "dd": "%d", "d": "%d", "HH": "%H", "H": "%H",
+            "mm": "%M", "ss": "%S", "SSSSSS": "%f"}
+
+
+def percent_layout(layout: str) -> str:
+    """The layout in percent codes, as column profiles store it."""
+    return re.sub("'T'|yyyy|M{1,4}|d{1,2}|H{1,2}|mm|ss|S{6}", lambda m: _PERCENT[m.group()], layout)
+
+
 def parse_time(col: Column, layout: str) -> Column:
     text = col.cast("string")
     if "MMM" in layout:

@@ -98,7 +98,7 @@ def fit(train: DataFrame, label: str, test: DataFrame | None = None, types: Mapp
     problem = roles.problem_type(train, label)
     body = [c for c in train.columns if c != label and c not in key]
     if types is None:
-        layouts = roles.infer_time_formats(train, [c for c in body if isinstance(train.schema[c].dataType, T.StringType)])
+        layouts = roles.infer_time_formats(train, body)
         types = roles.infer_types(train, body)
     else:
         types = {c: t for c, t in types.items() if c != label}

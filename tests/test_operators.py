@@ -256,6 +256,19 @@ def test_profile_quality_flags(spark):
     assert got == {"zero": (2, 50), "three": (1, 50), "id": (0, 50), "none": (1, 0)}
 
 
+def test_profile_finds_text_times(spark):
+    df = spark.createDataFrame([("5 Mar 2024 07:08", 20240305, "x"), ("6 Apr 2024 09:10", 20240406, "y")], "t string, n int, s string")
+    got = {r.column_name: (r.initial_dtype, r.dtype_for_process) for r in profiling.profile_columns(df).collect()}
+    assert got == {"t": ("timestamp", "%d %b %Y %H:%M"), "n": ("timestamp", "%Y%m%d"), "s": ("category", "object")}
+    assert roles.percent_layout("yyyyMMdd'T'HHmmss") == "%Y%m%dT%H%M%S"
+
+
+def test_sample_size_is_exact(spark):
+    df = spark.range(500).repartition(3)
+    assert reshape.sample_rows(df, 37, ["id"]).distinct().count() == 37
+    assert reshape.sample_rows(df, 501, ["id"]).count() == 500
+
+
 # ---- drift --------------------------------------------------------------------------------
 
 def brute_ks(x, y):
