@@ -124,17 +124,21 @@ def top_correlated(df: DataFrame, cols: Sequence[str], target: str, k: int = 3)
     return base.filter(F.col("r").isNotNull()).orderBy(F.desc(F.abs("r")), "feature").limit(k)
 
 
-def rank_columns(rows: DataFrame, cols: Sequence[str], weight: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def rank_columns(rows: DataFrame, cols: Sequence[str], weight: str, rows_per_range: int = ROWS_PER_RANGE,
+                 kept: list[DataFrame] | None = None) -> DataFrame:
     """``weight`` and the average rank of every value, as ``__rank_<position>`` columns.
 
     ``rows`` are distinct value combinations with their number of copies. Each column is reduced
     to its distinct values and counts; ranks are running counts over those, looked up by a
-    broadcast or hot-value-safe join.
+    broadcast or hot-value-safe join. Count tables are persisted and listed in ``kept`` for the
+    caller to release.
     """
     total, *sizes = rows.agg(F.sum(weight), *[F.approx_count_distinct(c) for c in cols]).first()
     out = rows
     for i, c in enumerate(cols):
         counts = rows.groupBy(c).agg(F.sum(weight).alias("__n"))
+        if kept is not None:
+            kept.append(counts.persist(StorageLevel.MEMORY_AND_DISK))
         ranks = average_ranks(counts, c, out=f"__rank_{i}", count="__n", rows_per_range=rows_per_range)
         small = broadcast_fits(sizes[i], 1)
         out = level_lookup(out if small else cut_lineage(out), ranks, c, "__n", total, small)
@@ -147,8 +151,9 @@ def spearman(df: DataFrame, cols: Sequence[str], rows_per_range: int = ROWS_PER_
     names = full.columns
     # copies collapse before anything is joined, however many there are
     rows = full.groupBy(*names).agg(F.count(F.lit(1)).alias("__w")).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [rows]
     try:
-        ranked = rank_columns(rows, names, "__w", rows_per_range)
+        ranked = rank_columns(rows, names, "__w", rows_per_range, kept)
         pairs = list(combinations(range(len(cols)), 2))
         w, r = F.col("__w"), [F.col(f"__rank_{i}") for i in range(len(cols))]
         # the mean rank is known to be (n + 1) / 2
@@ -157,7 +162,8 @@ def spearman(df: DataFrame, cols: Sequence[str], rows_per_range: int = ROWS_PER_
         made = ranked.agg(*[F.sum(w * m * m).alias(f"s{i}") for i, m in enumerate(mid)],
                           *[F.sum(w * mid[i] * mid[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     finally:
-        rows.unpersist()
+        for held in kept:
+            held.unpersist()
 
     def rho(i: int, j: int) -> float | None:
         scale = (made[f"s{i}"] or 0.0) * (made[f"s{j}"] or 0.0)

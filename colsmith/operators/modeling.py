@@ -66,12 +66,17 @@ def best_threshold(df: DataFrame, label: str, score: str, positive: object = 1,
     """
     is_pos = (F.col(label) == F.lit(positive)).cast("long")
     counts = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("threshold"))
-              .agg(F.sum(is_pos).alias("pos"), F.sum(1 - is_pos).alias("neg")))
-    total = counts.agg(F.sum("pos"), F.sum("neg")).first()
-    scan = ordered_scan(counts, ["threshold"], running={"__p": "pos", "__q": "neg"}, rows_per_range=rows_per_range)
-    right = F.lit(total[0]) - (F.col("__p") - F.col("pos")) + (F.col("__q") - F.col("neg"))
-    rated = scan.select("threshold", (right / (total[0] + total[1])).alias("accuracy"))
-    return rated.agg(F.max(F.struct("accuracy", "threshold")).alias("b")).select("b.threshold", "b.accuracy")
+              .agg(F.sum(is_pos).alias("pos"), F.sum(1 - is_pos).alias("neg")).persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        total = counts.agg(F.sum("pos"), F.sum("neg")).first()
+        scan = ordered_scan(counts, ["threshold"], running={"__p": "pos", "__q": "neg"}, rows_per_range=rows_per_range)
+        right = F.lit(total[0]) - (F.col("__p") - F.col("pos")) + (F.col("__q") - F.col("neg"))
+        rated = scan.select("threshold", (right / F.lit((total[0] or 0) + (total[1] or 0))).alias("accuracy"))
+        best = rated.agg(F.max(F.struct("accuracy", "threshold")).alias("b")).first()["b"]
+    finally:
+        counts.unpersist()
+    rows = [(float(best["threshold"]), float(best["accuracy"]))] if best else []
+    return df.sparkSession.createDataFrame(rows, "threshold double, accuracy double")
 
 
 # ---- assembling ---------------------------------------------------------------------------
