@@ -222,6 +222,8 @@ def _fit_synthesis(typed: DataFrame, label: str, problem: str, types: Mapping[st
                 if mine:
                     rows = tables[c].select(c, *mine).collect()
                     state["groups"][c] = {"default": mine, "levels": {r[c]: {n: r[n] for n in mine} for r in rows}}
+    if timed is not typed:
+        timed.unpersist()
     return state
 
 
