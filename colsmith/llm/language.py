@@ -38,11 +38,11 @@ _KEEP[128:] = np.arange(128, 256)
 def subwords(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     """Bucket arrays (one for each length of gram, BUCKETS for grams to leave out), and where each text's grams begin.
 
-    Texts follow each other with spaces between; a gram that would reach into the next text is left out with the grams
-    of spaces alone.
+    A text has a space before it and spaces behind it; grams that would reach into the next text are left out, as are
+    grams of spaces alone.
     """
     lower = pc.utf8_lower(pc.fill_null(texts, ""))
-    spaced = pc.binary_join_element_wise(lower, pa.scalar("    "), "")
+    spaced = pc.binary_join_element_wise(pa.scalar(" "), lower, pa.scalar("    "), "")
     offsets = np.frombuffer(spaced.buffers()[1], np.int32)[spaced.offset: spaced.offset + len(spaced) + 1].astype(np.int64)
     data = _KEEP[np.frombuffer(spaced.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]].astype(np.uint32)
     starts = offsets - offsets[0]
@@ -53,7 +53,10 @@ def subwords(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
         mixed = mixed.astype(np.int64)
         blank = np.lib.stride_tricks.sliding_window_view(data == 32, size).all(1) if len(data) >= size else np.zeros(0, bool)
         mixed[blank] = BUCKETS
-        grams.append(np.concatenate([mixed, np.full(len(data) - len(mixed), BUCKETS)]))
+        mixed = np.concatenate([mixed, np.full(len(data) - len(mixed), BUCKETS)])
+        for back in range(1, size):
+            mixed[starts[1:] - back] = BUCKETS
+        grams.append(mixed)
     return grams, starts
 
 

@@ -1,9 +1,10 @@
 """Line dedup by winnowing: window minima over line hashes find repeated runs, which are extended and deleted later on.
 
-A window is a shortest run of consecutive lines that holds ``min_words`` words. The line with the least hash of every
-window is selected, so any repeated run of that many words shares a selected line in both places (a line of that many
-words is a window by itself). Each selected line carries the hashes of its neighbours up to ``min_words`` words either
-way; no unselected stretch is longer, so comparing them with those of the first place extends the match to the whole run.
+The unit is a gram: the shortest run of lines from a line on that holds ``min_words`` words (one line, mostly). A window
+is a run of grams, and the gram with the least hash of every window is selected, so that any repeated run of
+``sure_words`` words shares a selected gram in both places. Each selected gram carries the hashes of its neighbours up to
+``sure_words`` words either way, which reaches the next selected ones; comparing them with those of the gram's first
+place extends the match.
 """
 from __future__ import annotations
 
@@ -19,36 +20,50 @@ from pyspark.sql import types as T
 from .store import materialize, slices, spare
 
 MIN_WORDS = 5
+SURE_WORDS = 10
 
 
-def select_lines(lines: list[str], min_words: int = MIN_WORDS) -> tuple[list[bytes], list[int], list[int]]:
-    """Line hashes (of the line without outer white space), word counts and the selected positions."""
-    hashes, counts = [], []
-    for line in lines:
-        hashes.append(xxhash.xxh3_128_digest(line.strip().encode()))
-        counts.append(len(line.split()))
-    full = [n for n, c in enumerate(counts) if c]  # blank lines belong to no window
-    chosen: set[int] = set()
-    end, held = 0, 0
-    for start, line in enumerate(full):
-        while held < min_words and end < len(full):
-            held += counts[full[end]]
+def select_grams(lines: list[str], min_words: int = MIN_WORDS, sure_words: int = SURE_WORDS) -> tuple[list[bytes], list[int], list[tuple[int, int, bytes]]]:
+    """Line hashes (of the line without outer white space), word counts, and (first line, last line, hash) of the selected grams.
+
+    A window from a gram on reaches as far as it takes to hold ``sure_words - min_words + 1`` words. Behind the last gram
+    inside a run come fewer than ``min_words`` words of it, so a run of ``sure_words`` words holds a whole window.
+    """
+    hashes = [xxhash.xxh3_128_digest(line.strip().encode()) for line in lines]
+    counts = [len(line.split()) for line in lines]
+    before = [0]
+    for c in counts:
+        before.append(before[-1] + c)
+    grams: list[tuple[int, int, bytes]] = []
+    end = 0
+    for start, count in enumerate(counts):
+        if not count:  # no gram begins with a blank line
+            continue
+        end = max(end, start)
+        while end < len(lines) and before[end + 1] - before[start] < min_words:
             end += 1
-        if held < min_words:
+        if end == len(lines):
+            break
+        grams.append((start, end, hashes[start] if start == end else xxhash.xxh3_128_digest(b"".join(hashes[start:end + 1]))))
+    need = max(min_words, sure_words - min_words + 1)
+    chosen: set[int] = set()
+    last = 0
+    for first, gram in enumerate(grams):
+        last = max(last, first)
+        while last < len(grams) and before[grams[last][1] + 1] - before[gram[0]] < need:
+            last += 1
+        if last == len(grams):
             break
-        if held - counts[line] < min_words:  # no shorter window ends here
-            window = full[start:end]
-            # of equal minima the last, as windows that slide on keep it longest
-            chosen.add(line if len(window) == 1 else min(reversed(window), key=hashes.__getitem__))
-        held -= counts[line]
-    return hashes, counts, sorted(chosen)
+        # of equal minima the last, as windows that slide on keep it longest
+        chosen.add(first if first == last else min(range(last, first - 1, -1), key=lambda k: grams[k][2]))
+    return hashes, counts, [grams[k] for k in sorted(chosen)]
 
 
-def _around(hashes: list[bytes], counts: list[int], at: int, step: int, min_words: int) -> bytes:
-    """The first 8 hash bytes of the lines after (or before) ``at`` until they hold ``min_words`` words."""
+def _around(hashes: list[bytes], counts: list[int], at: int, step: int, words: int) -> bytes:
+    """The first 8 hash bytes of the lines after (or before) ``at`` until they hold ``words`` words."""
     out, held = [], 0
     at += step
-    while 0 <= at < len(hashes) and held < min_words:
+    while 0 <= at < len(hashes) and held < words:
         out.append(hashes[at][:8])
         held += counts[at]
         at += step
@@ -62,35 +77,37 @@ def _same(a: bytes, b: bytes) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, sure_words: int = SURE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without later repeats of runs of lines; adds ``n_lines`` and ``removed_lines`` (underscores if taken).
 
     The first place by (id, text hash, line) of every line stays, so no content is lost. Lines compare without outer
-    white space. Runs of fewer than ``min_words`` words stay unless they border a longer repeated run. Null ids come
-    last; rows of equal id and text count as one document and are cut alike. A null text stays null, with 0 lines; an
+    white space. A repeated run of ``sure_words`` words or more is found and cut where it agrees with the first place of
+    its selected grams; runs of fewer than ``min_words`` words are never cut. Null ids come last; rows of equal id and text count as one document and are cut alike. A null text stays null, with 0 lines; an
     empty text is one empty line; a text whose lines all go becomes empty.
     """
     def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2, 4 << 20):
-                row, line, marks, before, after = [], [], [], [], []
+                row, line, end, marks, before, after = [], [], [], [], [], []
                 for n, text in enumerate(part.column(2).to_pylist()):
                     if not text:
                         continue
-                    hashes, counts, chosen = select_lines(text.split("\n"), min_words)
-                    for at in chosen:
+                    hashes, counts, chosen = select_grams(text.split("\n"), min_words, sure_words)
+                    for low, high, mark in chosen:
                         row.append(n)
-                        line.append(at)
-                        marks.append(hashes[at])
-                        before.append(_around(hashes, counts, at, -1, min_words))
-                        after.append(_around(hashes, counts, at, 1, min_words))
+                        line.append(low)
+                        end.append(high)
+                        marks.append(mark)
+                        before.append(_around(hashes, counts, low, -1, sure_words))
+                        after.append(_around(hashes, counts, high, 1, sure_words))
                 rows = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(line, pa.int32()), pa.array(marks, pa.binary()),
-                                                  pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["id", "text_key", "line", "mark", "before", "after"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(line, pa.int32()), pa.array(end, pa.int32()),
+                                                  pa.array(marks, pa.binary()), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
+                                                 ["id", "text_key", "line", "line_end", "mark", "before", "after"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), F.col(f"`{text_col}`").alias("text"))
-    places = materialize(source.mapInArrow(select, f"id {kind}, text_key long, line int, mark binary, before binary, after binary"), "places")
+    places = materialize(source.mapInArrow(select, f"id {kind}, text_key long, line int, line_end int, mark binary, before binary, after binary"), "places")
 
     order = F.struct(F.col("id").isNull().alias("last"), "id", "text_key", "line")
     first = places.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("place"), "before", "after")).alias("f")).filter("n > 1")
@@ -99,14 +116,14 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            line = batch.column(2).to_numpy()
-            columns = [batch.column(n).to_pylist() for n in range(3, 7)]
+            low, high = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            columns = [batch.column(n).to_pylist() for n in range(4, 8)]
             back = [_same(a, b) for a, b in zip(columns[0], columns[1])]
             on = [_same(a, b) for a, b in zip(columns[2], columns[3])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(line - np.array(back, np.int32), pa.int32()),
-                                              pa.array(line + np.array(on, np.int32), pa.int32())], ["gone_id", "gone_key", "low", "high"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low - np.array(back, np.int32), pa.int32()),
+                                              pa.array(high + np.array(on, np.int32), pa.int32())], ["gone_id", "gone_key", "low", "high"])
 
-    runs = repeats.select("id", "text_key", "line", "before", "first_before", "after", "first_after")
+    runs = repeats.select("id", "text_key", "line", "line_end", "before", "first_before", "after", "first_after")
     runs = runs.mapInArrow(extend, f"gone_id {kind}, gone_key long, low int, high int").distinct()
     # as many runs as a document has selected lines at most
     gone = runs.groupBy("gone_id", "gone_key").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
