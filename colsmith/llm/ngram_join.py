@@ -24,7 +24,7 @@ THRESHOLD = 0.8
 RECALL = 0.999
 ROWS = 5
 #: Shingles of a block; a tile holds two blocks. A larger text is a block by itself.
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES = 100_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -81,8 +81,9 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     out = np.zeros((len(sets), len(sets)), np.float32)
-    width = max(256, (1 << 23) // len(sets))
-    for first in range(0, int(often.sum()), width):
+    columns = int(often.sum())
+    width = min(max(256, (1 << 23) // len(sets)), max(1, columns))
+    for first in range(0, columns, width):
         a, b = np.searchsorted(column, [first, first + width])
         block = np.zeros((len(sets), width), np.float32)
         block[owner[a:b], column[a:b] - first] = 1
