@@ -72,10 +72,13 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 
 @query(OP3_SQL)
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document with what the curriculum takes of it, in training order of its first copy (untaken ones last)."""
+    """Every document with what the curriculum takes of it, in training order of its first copy.
+
+    Untaken documents come last by id, so that their ranges can be split as well.
+    """
     docs = _documents(spark, folder).select("doc_id", "text", "source")
     placed = mixing.assign_positions(docs).select("doc_id", "mix.*")
-    return (placed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last())
+    return (placed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id")
             .select("doc_id", "size", "source_size", "target", "taken", "copies"))
 
 
