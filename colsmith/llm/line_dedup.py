@@ -112,6 +112,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, sure_words: int = S
     order = F.struct(F.col("id").isNull().alias("last"), "id", "text_key", "line")
     first = places.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("place"), "before", "after")).alias("f")).filter("n > 1")
     first = first.select("mark", F.col("f.place").alias("place"), F.col("f.before").alias("first_before"), F.col("f.after").alias("first_after"))
+    first = materialize(first, "first-places")  # a plain table, so that adaptive execution can split the places of a hot line
     repeats = places.withColumn("here", order).join(first, "mark").filter(~F.col("here").eqNullSafe(F.col("place")))
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
