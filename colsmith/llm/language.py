@@ -50,10 +50,10 @@ def subwords(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     for size in (2, 3, 4):
         value = value[:-1] * np.uint32(0x01000193) ^ data[size - 1:] if len(value) > 1 else np.zeros(0, np.uint32)
         mixed = (value * np.uint32(0x9E3779B1)) >> np.uint32(16)
-        mixed = mixed.astype(np.int64)
+        mixed = mixed.astype(np.int32)
         blank = np.lib.stride_tricks.sliding_window_view(data == 32, size).all(1) if len(data) >= size else np.zeros(0, bool)
         mixed[blank] = BUCKETS
-        mixed = np.concatenate([mixed, np.full(len(data) - len(mixed), BUCKETS)])
+        mixed = np.concatenate([mixed, np.full(len(data) - len(mixed), BUCKETS, np.int32)])
         for back in range(1, size):
             mixed[starts[1:] - back] = BUCKETS
         grams.append(mixed)
@@ -117,7 +117,7 @@ def train(texts: list[str], labels: list[str], seed: int = 1, epochs: int = EPOC
         grams, _ = subwords(pa.array([texts[n]]))
         kinds, counts = np.unique(np.concatenate(grams), return_counts=True)
         real = kinds < BUCKETS
-        rows.append((kinds[real], counts[real] / max(1, counts[real].sum()), target[n]))
+        rows.append((kinds[real], (counts[real] / max(1, counts[real].sum())).astype(np.float32), target[n]))
     embed = rng.normal(0, 0.1, (BUCKETS + 1, DIMENSIONS)).astype(np.float32)
     embed[BUCKETS] = 0
     head = rng.normal(0, 0.1, (DIMENSIONS, len(names))).astype(np.float32)
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in slices(batch, 0, 4 << 20):
+            for part in slices(batch, 0, 2 << 20):
                 names, scores = m.predict(part.column(0))
                 rejected = [n == UNKNOWN or s < m.threshold for n, s in zip(names, scores.tolist())]
                 language = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
