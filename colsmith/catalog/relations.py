@@ -56,8 +56,8 @@ def top_correlated(spark, d):
 
 
 @register("corr_levels", f"""
-SELECT feature, round(r, 2) AS r, CASE WHEN abs(r) <= 0.25 THEN 'micro' WHEN abs(r) <= 0.5 THEN 'low' WHEN abs(r) <= 0.75 THEN 'medium' ELSE 'high' END AS level
-FROM ({' UNION ALL '.join(f"SELECT '{c}' AS feature, corr({c}, net) AS r FROM {MIXED}" for c in ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'square'])})""")
+SELECT feature, r, CASE WHEN abs(r) <= 0.25 THEN 'micro' WHEN abs(r) <= 0.5 THEN 'low' WHEN abs(r) <= 0.75 THEN 'medium' ELSE 'high' END AS level
+FROM (SELECT feature, round(r, 2) AS r FROM ({' UNION ALL '.join(f"SELECT '{c}' AS feature, corr({c}, net) AS r FROM {MIXED}" for c in ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'square'])}))""")
 def corr_levels(spark, d):
     return association.corr_levels(_mixed(spark, d), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "square"], "net")
 
@@ -81,6 +81,22 @@ def spearman(spark, d):
     return rounded(association.spearman_matrix(_mixed(spark, d), ["l_quantity", "l_discount", "net"]), 6)
 
 
+def _pair_rho(a: str, b: str) -> str:
+    return f"""SELECT '{a}' AS a, '{b}' AS b, round(corr(x, y), 6) AS rho FROM (SELECT {_rank(a)} x, {_rank(b)} y
+ FROM {HOLED} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+
+
+HOLED = "(SELECT l_quantity, CASE WHEN l_linenumber <> 1 THEN l_discount END AS l_discount, CASE WHEN l_linenumber <> 2 THEN l_extendedprice END AS l_extendedprice FROM lineitem)"
+
+
+@register("spearman_nulls", " UNION ALL ".join(_pair_rho(a, b) for a, b in combinations(["l_quantity", "l_discount", "l_extendedprice"], 2)))
+def spearman_nulls(spark, d):
+    number = F.col("l_linenumber")
+    holed = table(spark, d, "lineitem").select("l_quantity", F.when(number != 1, F.col("l_discount")).alias("l_discount"),
+                                               F.when(number != 2, F.col("l_extendedprice")).alias("l_extendedprice"))
+    return rounded(association.spearman_matrix(holed, ["l_quantity", "l_discount", "l_extendedprice"]), 6)
+
+
 NOMINAL = "(SELECT l_returnflag, l_linestatus, l_linenumber::VARCHAR AS line, l_returnflag || (l_linenumber % 2)::VARCHAR AS mix FROM lineitem)"
 
 

@@ -139,11 +139,11 @@ def iqr_outliers(spark, d):
 WITH g AS (SELECT event_id, sqrt(pow(user_id - lag(user_id) OVER w, 2) + pow(value - lag(value) OVER w, 2)) AS distance
            FROM events WINDOW w AS (ORDER BY ts, event_id)),
 q AS (SELECT quantile_cont(distance, 0.25) AS cutoff FROM g)
-SELECT event_id, round(distance, 6) AS distance FROM g, q WHERE distance >= cutoff""")
+SELECT event_id, user_id, round(value, 6) AS value FROM g JOIN events USING (event_id), q WHERE distance >= cutoff""")
 def drop_near_duplicates(spark, d):
     events = table(spark, d, "events").select("event_id", "ts", "user_id", "value")
     kept = cleaning.drop_near_duplicates(events, ["ts", "event_id"], 0.25, ["user_id", "value"])
-    return rounded(kept.select("event_id", "distance"), 6)
+    return rounded(kept.select("event_id", "user_id", "value"), 6)
 
 
 @register("drop_duplicate_rows", """
@@ -253,6 +253,15 @@ def split_stratified(spark, d):
     return reshape.tagged_union(*reshape.split(orders, 0.2, ["o_orderkey"], shuffle=False, stratify=["o_orderstatus"]), tag="part")
 
 
+@register("split_stratified_nulls", """
+WITH o AS (SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY o_orderkey) p, count(*) OVER (PARTITION BY status) n FROM o)
+SELECT o_orderkey, status, CASE WHEN p > n - round(0.2 * n) THEN 'test' ELSE 'train' END AS part FROM r""")
+def split_stratified_nulls(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("status"))
+    return reshape.tagged_union(*reshape.split(orders, 0.2, ["o_orderkey"], shuffle=False, stratify=["status"]), tag="part")
+
+
 @register("frames_differ", """
 WITH a AS (SELECT l_returnflag, l_linenumber, l_quantity, count(*) n FROM lineitem GROUP BY ALL),
 b AS (SELECT l_returnflag, l_linenumber, CASE WHEN l_linenumber = 7 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, count(*) n

@@ -113,7 +113,8 @@ def corr_levels(df: DataFrame, cols: Sequence[str], target: str, top: int = 30)
     """Rounded correlations with the target, graded micro / low / medium / high by size."""
     found = label_correlation(df, [c for c in cols if c != target][:top], target)
     base = df.sparkSession.createDataFrame(list(found.items()), "feature string, r double")
-    size = F.abs("r")
+    # graded as shown: by the rounded figure
+    size = F.abs(F.round("r", 2))
     grade = F.when(size <= 0.25, "micro").when(size <= 0.5, "low").when(size <= 0.75, "medium").otherwise("high")
     return base.select("feature", F.round("r", 2).alias("r"), F.when(size.isNotNull(), grade).alias("level"))
 
@@ -146,7 +147,18 @@ def rank_columns(rows: DataFrame, cols: Sequence[str], weight: str, rows_per_ran
 
 
 def spearman(df: DataFrame, cols: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> dict[tuple[str, str], float | None]:
-    """Rank correlations of all pairs. Rows with a null in any of the columns are left out."""
+    """Rank correlations of all pairs, each over the rows that are complete for the pair.
+
+    Columns that are never null share one set of ranks; a pair with a null somewhere is ranked on its own rows.
+    """
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+    whole = [c for i, c in enumerate(cols) if counts[f"c{i}"] == counts["n"]]
+    found = _complete_spearman(df, whole, rows_per_range) if len(whole) > 1 else {}
+    return {(a, b): found[a, b] if (a, b) in found else _complete_spearman(df, [a, b], rows_per_range)[a, b] for a, b in combinations(cols, 2)}
+
+
+def _complete_spearman(df: DataFrame, cols: Sequence[str], rows_per_range: int) -> dict[tuple[str, str], float | None]:
+    """Rank correlations over the rows without a null in any of the columns."""
     full = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
     names = full.columns
     # copies collapse before anything is joined, however many there are

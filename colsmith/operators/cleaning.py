@@ -132,9 +132,9 @@ def drop_near_duplicates(df: DataFrame, order_by: Sequence[str] | None = None, r
                         rows_per_range=rows_per_range)
     square = sum((F.pow(F.col(c).cast("double") - F.col(f"__prev_{c}"), 2) for c in cols), F.lit(0.0))
     # the cutoff needs several passes over the distances: write them once
-    far = cut_lineage(scan.select(*df.columns, F.sqrt(square).alias("distance")))
-    cutoff = exact_quantiles(far, ["distance"], [remove_quantile])["distance"][0]
-    return far.filter(F.col("distance") >= cutoff)
+    far = cut_lineage(scan.select(*df.columns, F.sqrt(square).alias("__distance")))
+    cutoff = exact_quantiles(far, ["__distance"], [remove_quantile])["__distance"][0]
+    return far.filter(F.col("__distance") >= cutoff).select(*df.columns)
 
 
 def constant_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

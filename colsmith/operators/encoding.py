@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,14 +74,44 @@ def inverse_map(mapping: Mapping[str, float], digits: int | None = None) -> dict
 
 
 def inverse_value_map(df: DataFrame, maps: Mapping[str, Mapping[str, float]], tolerance: float = 1e-9) -> DataFrame:
-    """Encoded numbers back to the level with the same number (within a relative tolerance)."""
-    def back(c: str) -> Column:
-        x = F.col(c)
-        found = F.lit(None).cast("string")
-        for value, level in reversed(inverse_map(maps[c]).items()):
-            found = F.when(F.abs(x - value) <= tolerance * max(1.0, abs(value)), F.lit(level)).otherwise(found)
-        return found.alias(c)
-    return df.select(*[back(c) if c in maps else F.col(c) for c in df.columns])
+    """Encoded numbers back to the level with the same number (within a relative tolerance), else null."""
+    return closest_level(df, maps, tolerance)
+
+
+def closest_level(df: DataFrame, maps: Mapping[str, Mapping[str, float]], tolerance: float | None = None) -> DataFrame:
+    """Numbers to the level whose code is nearest, of equally near ones the first by level; null stays null.
+
+    With a ``tolerance``, a code further away (relative to its size, 1 at least) gives null. The sorted codes of a
+    column are one broadcast array and a value is found by binary search, so the width of the map costs little.
+    """
+    spark = df.sparkSession
+    made = {}
+    for c in df.columns:
+        if not maps.get(c):
+            made[c] = F.lit(None).cast("string") if c in maps and tolerance is not None else F.col(f"`{c}`")
+            continue
+        pairs = sorted((float(v), k) for v, k in inverse_map(maps[c]).items())
+        made[c] = _search(spark.sparkContext.broadcast(([v for v, _ in pairs], [k for _, k in pairs])), tolerance)(F.col(f"`{c}`").cast("double"))
+    return df.select(*[made[c].alias(c) for c in df.columns])
+
+
+def _search(shared, tolerance: float | None):
+    @F.pandas_udf("string")
+    def search(x: pd.Series) -> pd.Series:
+        codes, levels = np.array(shared.value[0]), np.array(shared.value[1], dtype=object)
+        value = x.to_numpy(float, na_value=np.nan)
+        right = np.searchsorted(codes, value).clip(0, len(codes) - 1)
+        left = (right - 1).clip(0)
+        far_left, far_right = np.abs(value - codes[left]), np.abs(value - codes[right])
+        first = (far_left < far_right) | (far_left == far_right) & (levels[left] < levels[right])
+        at = np.where(first, left, right)
+        out = levels[at].copy()
+        missing = np.isnan(value)
+        if tolerance is not None:
+            missing |= np.abs(value - codes[at]) > tolerance * np.maximum(1.0, np.abs(codes[at]))
+        out[missing] = None
+        return pd.Series(out)
+    return search
 
 
 # ---- one-hot and ordinal codes ------------------------------------------------------------

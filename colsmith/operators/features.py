@@ -21,8 +21,9 @@ CANDIDATE_LIMIT = 7500
 
 
 def seconds(col: Column) -> Column:
-    """Seconds since the epoch with microseconds; accepts timestamps with and without zone."""
-    return F.unix_micros(col.cast("timestamp")) / 1e6
+    """Seconds since the epoch with microseconds; a timestamp without zone counts its own clock, whatever the session's zone."""
+    clock = F.unix_date(col.cast("date")) * 86400 + F.hour(col) * 3600 + F.minute(col) * 60 + F.date_part(F.lit("SECOND"), col)
+    return F.when(F.typeof(col) == "timestamp_ntz", clock.cast("double")).otherwise(F.unix_micros(col.cast("timestamp")) / 1e6)
 
 
 # ---- time ---------------------------------------------------------------------------------

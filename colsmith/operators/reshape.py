@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -27,7 +29,10 @@ def tagged_union(first: DataFrame, second: DataFrame, tag: str = "dataset",
 def label_combine(first: DataFrame, second: DataFrame, key: str | None = None,
                   order_by: tuple[Sequence[str], Sequence[str]] | None = None,
                   rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """Bind the columns of two tables of equal length, by key or by position in a given order."""
+    """Bind the columns of two tables of equal length, by key or by position in a given order.
+
+    Keys must match one to one; a null, repeated or missing key is an error, as rows would be lost or doubled.
+    """
     n1, n2 = first.count(), second.count()
     if n1 != n2:
         raise CheckError(2031, f"{n1}|{n2}")
@@ -35,6 +40,11 @@ def label_combine(first: DataFrame, second: DataFrame, key: str | None = None,
     if shared:
         raise CheckError(2032, shared)
     if key is not None:
+        both = first.select(key, F.lit(1).alias("__a"), F.lit(0).alias("__b")).union(second.select(key, F.lit(0), F.lit(1)))
+        odd = both.groupBy(key).agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+        odd = odd.filter((F.col("__a") != 1) | (F.col("__b") != 1) | F.col(key).isNull()).count()
+        if odd:
+            raise CheckError(2031, f"{odd} keys do not match one to one")
         return first.join(second, key)
     left = ordered_scan(first, order_by[0], row_number="__pos", rows_per_range=rows_per_range)
     right = ordered_scan(second, order_by[1], row_number="__pos", rows_per_range=rows_per_range)
@@ -87,7 +97,10 @@ def _split_strata(df, size, keys, shuffle, stratify, seed, rows_per_range):
     numbered = ordered_scan(base, ["__cut", *keys], stratify, row_number="__pos", rows_per_range=rows_per_range)
     sizes = df.groupBy(*stratify).agg(F.round(F.count(F.lit(1)) * size).cast("long").alias("__second"),
                                       F.count(F.lit(1)).alias("__all"))
-    marked = numbered.join(F.broadcast(sizes), stratify) if sizes.count() <= 100_000 else numbered.join(sizes, stratify)
+    # a null is a stratum of its own; names of the sizes are apart from the rows' names
+    named = sizes.select(*[F.col(f"`{c}`").alias(f"__by{i}") for i, c in enumerate(stratify)], "__second", "__all")
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(stratify)])
+    marked = numbered.join(F.broadcast(named) if sizes.count() <= 100_000 else named, same)
     tail = F.col("__pos") > F.col("__all") - F.col("__second")
     return (marked.filter(~tail).select(*df.columns), marked.filter(tail).select(*df.columns))
 

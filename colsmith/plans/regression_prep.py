@@ -46,10 +46,7 @@ def invert_regression(df: DataFrame, state: Mapping) -> DataFrame:
 
 def nearest_level(df: DataFrame, maps: Mapping[str, Mapping[str, float]]) -> DataFrame:
     """The level whose code is nearest: a searched input rarely hits a code exactly."""
-    def back(c: str) -> Column:
-        known = F.array(*[F.struct(F.abs(F.col(c) - F.lit(v)).alias("far"), F.lit(k).alias("level")) for k, v in sorted(maps[c].items())])
-        return F.array_min(known)["level"].alias(c)
-    return df.select(*[back(c) if c in maps and maps[c] else F.col(c) for c in df.columns])
+    return encoding.closest_level(df, maps)
 
 
 def to_json(state: Mapping) -> str:
