@@ -41,6 +41,15 @@ def target_encode(spark, d):
     return rounded(encoding.apply_target(view(table(spark, d, "lineitem")).drop("l_extendedprice"), state), 4)
 
 
+@register("target_encode_wide", f"""
+WITH p AS (SELECT avg(l_extendedprice) m FROM lineitem), k AS (SELECT l_orderkey, count(*) n, avg(l_extendedprice) a FROM lineitem GROUP BY 1)
+SELECT l_linenumber, l_suppkey, round(m + (a - m) * {_sigmoid('n')}, 4) AS orderkey FROM lineitem x JOIN k ON x.l_orderkey = k.l_orderkey, p""")
+def target_encode_wide(spark, d):
+    lines = table(spark, d, "lineitem").select("l_linenumber", "l_suppkey", F.col("l_orderkey").cast("string").alias("orderkey"), "l_extendedprice")
+    state = encoding.fit_target(lines, ["orderkey"], F.col("l_extendedprice"))
+    return rounded(encoding.apply_target(lines.drop("l_extendedprice"), state), 4)
+
+
 def _class(c: str) -> str:
     return f"(p{c} + (a{c} - p{c}) * {_sigmoid('n')})"
 

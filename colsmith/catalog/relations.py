@@ -205,6 +205,17 @@ def nominal_drift(spark, d):
     return rounded(drift.nominal_drift(*_halves(spark, d), ["state", "line"], "l_returnflag"), 6)
 
 
+@register("nominal_drift_nulls", f"""
+WITH c AS (SELECT l, v, sum(a) a, sum(b) b FROM (SELECT l_returnflag l, line v, count(*) a, 0 b FROM {A} GROUP BY 1, 2 UNION ALL
+ SELECT l_returnflag, nullif(line, '1'), 0, count(*) FROM {B} GROUP BY 1, 2) GROUP BY l, v),
+k AS (SELECT *, sum(a) OVER (PARTITION BY l) n, sum(b) OVER (PARTITION BY l) m, sum(a) OVER (PARTITION BY v) seen, sum(b) OVER () t FROM c)
+SELECT 'line' AS feature, round(sum(abs(a / n - b / m) / 2 * m / t) FILTER (v IS NOT NULL), 6) AS divergence,
+ round(coalesce(sum(b / t) FILTER (seen = 0 AND v IS NOT NULL), 0), 6) AS mismatch FROM k WHERE m > 0""")
+def nominal_drift_nulls(spark, d):
+    train, test = _halves(spark, d)
+    return rounded(drift.nominal_drift(train, test.withColumn("line", F.nullif(F.col("line"), F.lit("1"))), ["line"], "l_returnflag"), 6)
+
+
 def _ks_sql(x: str, label: str, where: str = "true") -> str:
     """KS distance and asymptotic p per label; values are far from standard normal, so t never applies."""
     return f"""SELECT '{x}' AS feature, l, max(n) n, max(m) m, max(abs(ca / n - cb / m)) AS ks FROM (

@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lookup import LITERAL_LEVELS
+from ..functions.lookup import LITERAL_LEVELS, broadcast_fits
 
 UNSEEN = "Unknown"
-FEW_LEVELS = 10_000
+#: Levels of one column that a fitted state may hold: about 100 MB of map on the driver. Wider columns are an error.
+FEW_LEVELS = 1_000_000
+#: Levels of one column that tree models index and bin.
+TREE_LEVELS = 10_000
 
 
 def levels_of(df: DataFrame, cols: Sequence[str], limit: int = FEW_LEVELS) -> dict[str, list[str]]:
@@ -36,8 +39,8 @@ def map_values(df: DataFrame, maps: Mapping[str, Mapping], out: Mapping[str, str
 def map_many(df: DataFrame, lookups: Sequence[tuple[str, str, Mapping, object]]) -> DataFrame:
     """Several lookups (source, output, map, default) in one projection.
 
-    Small maps become literal map lookups; the larger maps of one source column share one
-    broadcast join of a driver-side dictionary, whose size the fit has bounded.
+    Small maps become literal map lookups; the larger maps of one source column share one join with a table of its
+    levels, which is broadcast when the measured keys and the values fit the broadcast budget.
     """
     names = list(df.columns)
     made: dict[str, Column] = {}
@@ -57,7 +60,8 @@ def map_many(df: DataFrame, lookups: Sequence[tuple[str, str, Mapping, object]])
         text = [{str(k): v for k, v in g[1].items()} for g in group]
         rows = [(k, *[t.get(k) for t in text]) for k in keys]
         table = df.sparkSession.createDataFrame(rows, T.StructType(fields))
-        df = df.join(F.broadcast(table), F.col(source).cast("string") == F.col(f"__k{i}"), "left")
+        small = broadcast_fits(len(rows), len(group), 32 + max(1, sum(map(len, keys)) // max(1, len(keys))))
+        df = df.join(F.broadcast(table) if small else table, F.col(source).cast("string") == F.col(f"__k{i}"), "left")
         for j, (name, _, base, vtype) in enumerate(group):
             made[name] = F.coalesce(F.col(f"__v{i}_{j}"), F.lit(base).cast(vtype))
     return df.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in names],

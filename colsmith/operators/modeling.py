@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator)
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.ordered import ROWS_PER_RANGE, ordered_scan
 from ..functions.quantiles import exact_quantiles
 from ..session import spread
-from .encoding import FEW_LEVELS, levels_of
+from .encoding import TREE_LEVELS, levels_of
 from .roles import BINARY, REGRESSION, nominal_columns, numeric_columns, problem_type
 
 
@@ -86,10 +86,13 @@ def feature_stages(df: DataFrame, features: Sequence[str]) -> list:
     nominal = [c for c in features if c in nominal_columns(df)]
     numeric = [c for c in features if c in numeric_columns(df)]
     stages = []
+    if numeric:
+        # missing numbers take the training mean, as trees and linear models refuse NaN
+        stages.append(Imputer(inputCols=numeric, outputCols=[f"__n_{c}" for c in numeric], strategy="mean"))
     if nominal:
         stages.append(StringIndexer(inputCols=nominal, outputCols=[f"__i_{c}" for c in nominal],
                                     stringOrderType="alphabetAsc", handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=[*numeric, *[f"__i_{c}" for c in nominal]], outputCol="features", handleInvalid="keep"))
+    stages.append(VectorAssembler(inputCols=[*[f"__n_{c}" for c in numeric], *[f"__i_{c}" for c in nominal]], outputCol="features", handleInvalid="keep"))
     return stages
 
 
@@ -103,9 +106,9 @@ def max_bins(df: DataFrame, features: Sequence[str]) -> int:
     if not nominal:
         return 32
     wide = df.agg(*[F.approx_count_distinct(c).alias(c) for c in nominal]).first().asDict()
-    over = [c for c, n in wide.items() if n > FEW_LEVELS]
+    over = [c for c, n in wide.items() if n > TREE_LEVELS]
     if over:
-        raise ValueError(f"columns {over} have more than {FEW_LEVELS} levels; combine rare levels first")
+        raise ValueError(f"columns {over} have more than {TREE_LEVELS} levels; target-encode them or combine rare levels first")
     return max(32, int(max(wide.values()) * 1.1) + 3)
 
 
@@ -337,8 +340,10 @@ def recommend_inputs(near: DataFrame, bounds: DataFrame, model, features: Sequen
             return F.least(F.greatest(to, F.lit(lo)), F.lit(hi)).alias(c)
         tries = tries.select("quantile", "move", *[moved(i, c) for i, c in enumerate(features)])
         scored = model.transform(tries).select("quantile", "move", *features, "prediction")
-        best = scored.groupBy("quantile").agg(F.min_by(F.struct(*features, "prediction"), F.struct(gap, "move")).alias("b"))
-        rows = best.select("quantile", "b.*").collect()      # one row per start
+        # ``moves`` tries of a start at most; the best leads on, the last round gives ``keep``
+        tried = F.sort_array(F.collect_list(F.struct(gap.alias("gap"), F.col("move"), F.struct(*features, "prediction").alias("b"))))
+        best = scored.groupBy("quantile").agg(F.slice(tried, 1, keep if r == rounds - 1 else 1).alias("tried"))
+        rows = best.select("quantile", F.explode("tried").alias("t")).select("quantile", "t.b.*").collect()
         step /= 2
         here = near.sparkSession.createDataFrame([(x["quantile"], *[x[c] for c in features]) for x in rows],
                                                  "quantile double, " + ", ".join(f"`{c}` double" for c in features))

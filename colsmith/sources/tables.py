@@ -26,10 +26,7 @@ def read_table(spark: SparkSession, path: str, usecols: Sequence[str] | None = N
         reader = spark.read.option("sep", sep).option("encoding", encoding).option("header", header)
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
         if skiprows:
-            # drop the leading lines by position, then parse the rest
-            lines = spark.read.option("encoding", encoding).text(path).select("value", F.monotonically_increasing_id().alias("at"))
-            head = [r["at"] for r in lines.orderBy("at").limit(skiprows).collect()]
-            df = reader.csv(lines.filter(~F.col("at").isin(head)).select("value").rdd.map(lambda r: r[0]))
+            df = _csv_lines(reader, _without_first_lines(spark, path, encoding, skiprows))
         else:
             df = reader.csv(path)
     else:
@@ -41,6 +38,24 @@ def read_table(spark: SparkSession, path: str, usecols: Sequence[str] | None = N
     return df.limit(nrows) if nrows is not None else df
 
 
+def _without_first_lines(spark: SparkSession, path: str, encoding: str, skiprows: int) -> DataFrame:
+    """The lines of every file but its first ``skiprows`` ones (which must lie in the file's first split)."""
+    lines = spark.read.option("encoding", encoding).text(path).select(
+        "value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # the rows of a split follow each other, so ids count from the id of its first row; one row for each file
+    first = lines.filter("block = 0").groupBy(F.col("file").alias("first_file")).agg(F.min("at").alias("first_at"))
+    head = (F.col("block") == 0) & (F.col("at") < F.col("first_at") + skiprows)
+    joined = lines.join(first, F.col("file") == F.col("first_file"), "left")
+    return joined.filter(~F.coalesce(head, F.lit(False))).select("value")
+
+
+def _csv_lines(reader, lines: DataFrame) -> DataFrame:
+    """Lines parsed by the csv reader inside the JVM."""
+    spark = lines.sparkSession
+    texts = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader._jreader.csv(texts), spark)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
     writer = df.write.mode(mode)
     writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path)

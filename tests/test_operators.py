@@ -493,3 +493,56 @@ def test_constant_imputation_modes(spark):
     assert imputation.fit_constants(df, method="mode", nominal_method="mode") == {"x": 1.0, "c": "a"}
     assert imputation.fit_constants(df, method="median") == {"x": 1.0, "c": "unknown"}
     assert imputation.apply_constants(df, imputation.fit_constants(df)).collect()[3].x == 2.0
+
+
+def test_null_strata_are_kept(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else "a", i % 2) for i in range(100)], "id int, s string, t int")
+    first, second = reshape.split(df, 0.2, ["id"], stratify=["s", "t"])
+    assert first.count() + second.count() == 100 and second.filter("s is null").count() == 5
+
+
+def test_keys_must_match_one_to_one(spark):
+    a = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "k int, x int")
+    for keys in ([1, 2, 4], [1, 2, 2], [1, 2, None]):
+        with pytest.raises(ValueError, match="2031"):
+            reshape.label_combine(a, spark.createDataFrame([(k, 0) for k in keys], "k int, y int"), "k")
+    assert reshape.label_combine(a, spark.createDataFrame([(k, 0) for k in (3, 1, 2)], "k int, y int"), "k").count() == 3
+
+
+def test_spearman_is_pairwise(spark):
+    rng = np.random.default_rng(3)
+    data = pd.DataFrame({"a": rng.normal(size=200).round(1), "b": rng.normal(size=200), "c": rng.normal(size=200)})
+    data["b"] += data["a"]
+    data.loc[::2, "c"] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in data.to_numpy()], "a double, b double, c double")
+    got, want = association.spearman(df, ["a", "b", "c"]), data.corr("spearman")
+    assert all(v == pytest.approx(want.loc[p]) for p, v in got.items())
+
+
+def test_null_shares_count_as_drift(spark):
+    train = spark.createDataFrame([("x",)] * 10, "c string")
+    test = spark.createDataFrame([("x",)] * 5 + [(None,)] * 5, "c string")
+    row = drift.nominal_drift(train, test, ["c"]).first()
+    assert (row.divergence, row.mismatch) == (0.25, 0.0)
+
+
+def test_clocks_without_zone_ignore_the_session(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("select timestamp_ntz'2024-03-10 00:00:00' a, timestamp_ntz'2024-03-11 00:00:00.25' b, "
+                       "timestamp'2024-03-10 00:00:00' c, timestamp'2024-03-11 00:00:00' d")
+        row = features.timestamp_differences(df, ["a", "b"]).first()
+        assert row.a_sub_b == 86400.25
+        assert features.timestamp_differences(df, ["c", "d"]).first().c_sub_d == 82800
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_levels_are_found_by_search(spark):
+    df = spark.createDataFrame([(0.0,), (1.4,), (1.6,), (9.0,), (None,), (1.5,)], "c double")
+    maps = {"c": {"b": 1.0, "a": 2.0, "z": 2.0}}
+    assert [r.c for r in encoding.closest_level(df, maps).collect()] == ["b", "b", "a", "a", None, "a"]
+    exact = spark.createDataFrame([(1.0 + 1e-12,), (1.1,), (2.0,)], "c double")
+    assert [r.c for r in encoding.inverse_value_map(exact, maps).collect()] == ["b", None, "a"]
+    assert encoding.inverse_value_map(df, {"c": {}}).filter("c is not null").count() == 0

@@ -28,6 +28,25 @@ def test_csv_reading(spark, csv):
     assert skipped.count() == 300 and skipped.filter("a = 'name'").count() == 0
 
 
+def test_first_lines_of_every_file_are_skipped(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for n in range(3):
+        (folder / f"{n}.csv").write_text(f"note {n}\nmore,{n}\na,b\n" + "".join(f"{n}{i},{i}\n" for i in range(5)))
+    df = tables.read_table(spark, str(folder), skiprows=2, fmt="csv")
+    assert df.columns == ["a", "b"] and df.count() == 15 and df.agg(F.sum("b")).first()[0] == 30
+
+
+def test_models_accept_missing_numbers(spark, signal):
+    holed = signal.withColumn("noise", F.when(F.col("rid") % 5 > 0, F.col("noise")))
+    table, models = modeling.surrogate_regression(holed, "y", ["a", "noise"], ["rid"])
+    assert {r.model for r in table.collect()} == {"linear", "boosted"}
+    near = signal.filter(F.abs(F.col("y") - 1.5) < 0.5)
+    found = modeling.recommend_inputs(near, modeling.feature_bounds(signal, ["a", "noise"]), models["linear"], ["a", "noise"], 1.5, keep=3, rounds=3).collect()
+    starts = [r.quantile for r in found if r.advisor == "search"]
+    assert len(starts) == 15 and all(starts.count(q) == 3 for q in modeling.START_QUANTILES)
+
+
 def test_headers(spark, csv, tmp_path):
     assert tables.has_header(spark, csv)
     (tmp_path / "bare.csv").write_text("".join(f"a,{i % 3},b\n" for i in range(50)))
