@@ -15,7 +15,8 @@ from colsmith.session import local_session  # noqa: E402
 HEADLINE = ["scan_select", "profile_numeric", "profile_category", "column_stats", "winsorize", "drop_near_duplicates", "purge_impurities",
             "kde_compare", "group_aggregates", "pearson_matrix_wide", "spearman", "cramers_v", "correlation_ratio", "nominal_drift",
             "ks_two_sample", "drift_classification", "time_delta_entity", "step_difference", "kmeans_bins", "target_encode",
-            "standardize", "split_holdout", "best_threshold", "regression_metrics", "prepare_for_regression", "surrogate_regression"]
+            "standardize", "split_holdout", "best_threshold", "regression_metrics", "prepare_for_regression", "surrogate_regression",
+            "inverse_value_map", "target_encode_wide"]
 
 
 def main() -> None:
