@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.aggregates import collect_stats
+from ..functions.aggregates import collect_stats, distinct_counts, long_stats, value_counts, with_distinct
 from ..functions.ordered import ROWS_PER_RANGE, ordered_scan
 from ..functions.quantiles import exact_quantiles
 from ..session import cut_lineage
@@ -48,11 +48,8 @@ def clean_text(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def fit_split_alnum(df: DataFrame, col: str) -> list[int]:
     """Positions of the letter / non-letter pieces that hold more than one value."""
     pieces = F.regexp_extract_all(F.col(col), F.lit("([A-Za-z]+|[^A-Za-z]+)"), 1)
-    longest = df.agg(F.max(F.size(pieces))).first()[0] or 0
-    if longest == 0:
-        return []
-    spread = df.select(pieces.alias("p")).agg(*[F.count_distinct(F.get("p", i)).alias(str(i)) for i in range(longest)]).first()
-    return [i for i in range(longest) if spread[str(i)] != 1]
+    spread = df.select(F.posexplode(pieces).alias("at", "piece")).groupBy("at").agg(F.min("piece").alias("lo"), F.max("piece").alias("hi"))
+    return sorted(r["at"] for r in spread.filter("lo <> hi").select("at").collect())      # at most the pieces of the longest text
 
 
 def apply_split_alnum(df: DataFrame, col: str, positions: Sequence[int]) -> DataFrame:
@@ -91,11 +88,20 @@ def find_impurities(df: DataFrame, max_tokens: int = 4, unique_threshold: int =
 
     Columns are judged one after the other on the surviving rows, so the tokens found so far
     filter each later check. A set of odd tokens is collected up to one more than allowed.
+    One scan of all columns first leaves out those that no deletion of rows could make match:
+    without an odd token, or with too few values.
     """
+    texts = _text_columns(df)
+
+    def odd_token(c: str) -> Column:
+        return F.when(F.col(c).try_cast("double").isNull(), F.col(c))
+    screen = collect_stats(df, texts, lambda x: {"wide": F.approx_count_distinct(x), "odd": F.count(F.when(x.try_cast("double").isNull(), x))})
     found: dict[str, list[str]] = {}
-    for c in _text_columns(df):
+    for c in texts:
+        if screen[c]["odd"] == 0 or screen[c]["wide"] <= unique_threshold // 2:
+            continue
         rest = drop_tokens(df, found)
-        odd = F.when(F.col(c).try_cast("double").isNull(), F.col(c))
+        odd = odd_token(c)
         wide, n_odd = rest.agg(F.approx_count_distinct(c), F.approx_count_distinct(odd)).first()
         if wide <= unique_threshold * 2:        # near the limit only an exact count decides
             if wide <= unique_threshold // 2 or rest.agg(F.count_distinct(c)).first()[0] <= unique_threshold:
@@ -151,14 +157,11 @@ def constant_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
 
 
 def high_cardinality(df: DataFrame, limit: int = 256, cols: Sequence[str] | None = None) -> DataFrame:
-    from ..functions.aggregates import long_stats
-    cols = list(cols or _text_columns(df))
-    return long_stats(df, cols, lambda x: {"n_distinct": F.count_distinct(x)}).filter(F.col("n_distinct") > limit)
+    return distinct_counts(df, list(cols or _text_columns(df)), out="n_distinct").filter(F.col("n_distinct") > limit)
 
 
 def quasi_constant(df: DataFrame, cols: Sequence[str], threshold: float = 0.9) -> DataFrame:
     """Columns whose commonest value (null counts as ``unknown``) covers the threshold share."""
-    from ..functions.aggregates import value_counts
     counts = value_counts(df, cols)
     shares = counts.groupBy("feature").agg((F.max("n") / F.sum("n")).alias("share"))
     return shares.filter(F.col("share") >= threshold)
@@ -184,16 +187,13 @@ def serial_columns(df: DataFrame, cols: Sequence[str] | None = None, order_by: S
             rule = F.bool_and(F.when(F.col("__rn") > 1, F.coalesce(step == 1, F.lit(False))))
             rising = F.bool_and(F.when(F.col("__rn") > 1, F.coalesce(step > 0, F.lit(False))))
             return F.coalesce(rule | (F.lit(named[c]) & rising), F.lit(True))
-        row = scan
-    else:
-        def verdict(c: str) -> Column:
-            x = F.col(c)
-            whole = (F.count_distinct(x) == F.count(F.lit(1)))
-            return whole & ((F.max(x) - F.min(x) == F.count(F.lit(1)) - 1) | F.lit(named[c]))
-        row = df
-    made = row.agg(*[verdict(c).alias(f"v{i}") for i, c in enumerate(numeric)])
-    return made.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"v{i}").alias("serial"))
-                                          for i, c in enumerate(numeric)])))
+        made = scan.agg(*[verdict(c).alias(f"v{i}") for i, c in enumerate(numeric)])
+        return made.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"v{i}").alias("serial"))
+                                              for i, c in enumerate(numeric)])))
+    spans = long_stats(df, numeric, lambda x: {"rows": F.count(F.lit(1)), "span": (F.max(x) - F.min(x)).cast("double")})
+    step = (F.col("span") == F.col("rows") - 1) | F.col("feature").isin([c for c in numeric if named[c]])
+    whole = F.col("d") == F.col("rows")
+    return with_distinct(spans, df, numeric, out="d").select("feature", (whole & step).alias("serial"))
 
 
 def clean_plan(df: DataFrame, exclude: Sequence[str] = (), limit: int = 256, order_by: Sequence[str] | None = None) -> list[str]:

@@ -7,16 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import collect_stats, long_stats, value_counts
+from ..functions.aggregates import collect_stats, long_stats, value_counts, with_distinct
 from ..functions.quantiles import exact_quantiles
 from .roles import (apply_time_formats, category_boundary, family_rule, infer_time_formats, nominal_columns, numeric_columns,
                     percent_layout, storage_kind, time_columns)
 
 
 def profile_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    return long_stats(df, list(cols or numeric_columns(df)), lambda x: {
+    cols = list(cols or numeric_columns(df))
+    return with_distinct(long_stats(df, cols, lambda x: {
         "count": F.count(x), "mean": F.avg(x.cast("double")), "std": F.stddev_samp(x.cast("double")),
-        "min": F.min(x).cast("double"), "max": F.max(x).cast("double"), "nunique": F.count_distinct(x)})
+        "min": F.min(x).cast("double"), "max": F.max(x).cast("double")}), df, cols)
 
 
 def profile_category(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -66,9 +67,9 @@ def profile_columns(df: DataFrame) -> DataFrame:
             parts.append(shaped(raw, "numerical", advised, process))
     times = time_columns(df)
     if times:
-        raw = long_stats(df, times, lambda x: {
+        raw = with_distinct(long_stats(df, times, lambda x: {
             "count": F.count(x), "mean": F.lit(None).cast("double"), "std": F.lit(None).cast("double"),
-            "min": F.min(x).cast("string"), "max": F.max(x).cast("string"), "nunique": F.count_distinct(x)})
+            "min": F.min(x).cast("string"), "max": F.max(x).cast("string")}), df, times)
         process = F.lit("%Y-%m-%d %H:%M:%S")
         for c, layout in layouts.items():
             process = F.when(F.col("feature") == c, percent_layout(layout)).otherwise(process)

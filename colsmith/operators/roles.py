@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.aggregates import collect_stats
+from ..functions.aggregates import collect_stats, with_distinct
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATS = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -78,21 +78,23 @@ def storage_kind(dtype: T.DataType) -> str:
 
 
 def feature_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(feature, n_distinct, family) for every column, from one aggregate."""
+    """(feature, n_distinct, family) for every column, from one aggregate and one count of distinct values."""
     cols = list(cols or df.columns)
     kinds = {c: storage_kind(df.schema[c].dataType) for c in cols}
     aggs = [F.count(F.lit(1)).alias("rows")]
+    structs = []
     for i, c in enumerate(cols):
-        aggs.append(F.count_distinct(F.col(c)).alias(f"d{i}"))
-        if kinds[c] in ("int", "float"):
+        numeric = kinds[c] in ("int", "float")
+        if numeric:
             aggs.append(F.max(F.col(c).cast("double")).alias(f"m{i}"))
+        structs.append(F.struct(F.lit(c).alias("feature"), F.lit(kinds[c]).alias("kind"),
+                                (F.col(f"m{i}") if numeric else F.lit(None).cast("double")).alias("top"), F.col("rows")))
+    stats = with_distinct(df.agg(*aggs).select(F.inline(F.array(*structs))), df, cols, out="n_distinct")
     boundary = F.floor(F.sqrt("rows") / F.log10("rows"))
-    structs = []
-    for i, c in enumerate(cols):
-        top = F.col(f"m{i}") if kinds[c] in ("int", "float") else F.lit(None)
-        structs.append(F.struct(F.lit(c).alias("feature"), F.col(f"d{i}").alias("n_distinct"),
-                                family_rule(kinds[c], F.col(f"d{i}"), top, boundary).alias("family")))
-    return df.agg(*aggs).select(F.inline(F.array(*structs)))
+    family = F.lit(None).cast("string")
+    for kind in sorted(set(kinds.values())):
+        family = F.when(F.col("kind") == kind, family_rule(kind, F.col("n_distinct"), F.col("top"), boundary)).otherwise(family)
+    return stats.select("feature", "n_distinct", family.alias("family"))
 
 
 def infer_types(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, str]:
@@ -106,14 +108,15 @@ def problem_type_table(df: DataFrame, labels: Sequence[str]) -> DataFrame:
         kind = storage_kind(df.schema[c].dataType)
         x = F.col(c)
         integral = F.bool_and(x == F.floor(x)) if kind == "float" else F.lit(True)
-        aggs += [F.count(x).alias(f"n{i}"), F.count_distinct(x).alias(f"d{i}"), integral.alias(f"w{i}")]
-        n, d = F.col(f"n{i}"), F.col(f"d{i}")
-        threshold = F.when(n > 1000, 0.05).otherwise(0.1)
-        classes = F.lit(True) if kind == "text" else (d / n <= threshold) & (d <= 1000) & F.col(f"w{i}")
-        verdict = F.when(d == 2, BINARY).when(classes, MULTICLASS).otherwise(REGRESSION)
-        structs.append(F.struct(F.lit(c).alias("label"), n.alias("n"), d.alias("n_distinct"),
-                                F.when(n > 0, verdict).alias("problem_type")))
-    return df.agg(*aggs).select(F.inline(F.array(*structs)))
+        aggs += [F.count(x).alias(f"n{i}"), integral.alias(f"w{i}")]
+        structs.append(F.struct(F.lit(c).alias("label"), F.col(f"n{i}").alias("n"), F.lit(kind == "text").alias("text"),
+                                F.col(f"w{i}").alias("whole")))
+    stats = with_distinct(df.agg(*aggs).select(F.inline(F.array(*structs))), df, labels, "label", "n_distinct")
+    n, d = F.col("n"), F.col("n_distinct")
+    threshold = F.when(n > 1000, 0.05).otherwise(0.1)
+    classes = F.col("text") | ((d / n <= threshold) & (d <= 1000) & F.col("whole"))
+    verdict = F.when(d == 2, BINARY).when(classes, MULTICLASS).otherwise(REGRESSION)
+    return stats.select("label", "n", "n_distinct", F.when(n > 0, verdict).alias("problem_type"))
 
 
 def problem_type(df: DataFrame, label: str) -> str:
