@@ -124,6 +124,21 @@ def min_max_inverse(spark, d):
     return rounded(scaling.invert_min_max(scaling.apply_min_max(lines, state), state), 4)
 
 
+@register("pca_pair", """
+WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS q, l_extendedprice / 1000 AS p FROM lineitem),
+c AS (SELECT avg(q) AS mq, avg(p) AS mp, var_samp(q) AS a, var_samp(p) AS b, covar_samp(q, p) AS k FROM x),
+e AS (SELECT *, (a + b) / 2 + sqrt(pow((a - b) / 2, 2) + k * k) AS top FROM c),
+v AS (SELECT *, k / sqrt(k * k + pow(top - a, 2)) AS vq, (top - a) / sqrt(k * k + pow(top - a, 2)) AS vp FROM e),
+s AS (SELECT *, CASE WHEN (CASE WHEN abs(vq) >= abs(vp) THEN vq ELSE vp END) < 0 THEN -1 ELSE 1 END AS sign1,
+  CASE WHEN (CASE WHEN abs(vp) >= abs(vq) THEN -vp ELSE vq END) < 0 THEN -1 ELSE 1 END AS sign2 FROM v)
+SELECT l_orderkey, l_linenumber, l_partkey, round(sign1 * ((q - mq) * vq + (p - mp) * vp), 3) + 0.0 AS pca_0,
+ round(sign2 * ((q - mq) * -vp + (p - mp) * vq), 3) + 0.0 AS pca_1 FROM x, s""")
+def pca_pair(spark, d):
+    """Both components of two columns, which have a closed form."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", (F.col("l_extendedprice") / 1000).alias("price"))
+    return rounded(scaling.apply_pca(lines, scaling.fit_pca(lines, ["l_quantity", "price"], 0.99999)), 3, "pca_0", "pca_1")
+
+
 @register("pca")
 def pca(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_extendedprice") / 1000).alias("price"),

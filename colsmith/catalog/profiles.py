@@ -271,6 +271,19 @@ def impute_mean(spark, d):
     return rounded(imputation.apply_constants(lines, fill), 4)
 
 
+@register("impute_iterative_line", """
+WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i FROM lineitem WHERE l_linenumber <> 3)
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, round(CASE WHEN l_linenumber <> 3 THEN l_extendedprice ELSE i + s * l_quantity END, 4) AS l_extendedprice
+FROM lineitem, f""")
+def impute_iterative_line(spark, d):
+    """One column with holes and one predictor: the equation is the least-squares line."""
+    lines = table(spark, d, "lineitem")
+    holed = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
+                         F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice")).alias("l_extendedprice"))
+    state = imputation.fit_chained(holed, ["l_quantity", "l_extendedprice"], ridge=0.0)
+    return rounded(imputation.apply_chained(holed, state), 4, "l_extendedprice")
+
+
 @register("impute_iterative")
 def impute_iterative(spark, d):
     lines = table(spark, d, "lineitem")

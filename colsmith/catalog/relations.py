@@ -62,6 +62,20 @@ def corr_levels(spark, d):
     return association.corr_levels(_mixed(spark, d), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "square"], "net")
 
 
+MANY = [f"w{i}" for i in range(34)]
+
+
+@register("corr_levels_many", "WITH w AS (SELECT l_extendedprice AS y, " + ", ".join(
+    f"l_quantity * {3 * i + 1} - l_discount * {100 * (i % 5)} + l_extendedprice / {i + 1} AS {c}" for i, c in enumerate(MANY)) + """ FROM lineitem)
+SELECT feature, r, CASE WHEN abs(r) <= 0.25 THEN 'micro' WHEN abs(r) <= 0.5 THEN 'low' WHEN abs(r) <= 0.75 THEN 'medium' ELSE 'high' END AS level
+FROM (SELECT feature, round(r, 2) AS r FROM (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr({c}, y) AS r FROM w" for c in MANY) + "))")
+def corr_levels_many(spark, d):
+    """More columns than a chart shows: all are graded."""
+    q, p, disc = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount")
+    wide = table(spark, d, "lineitem").select(p.alias("y"), *[(q * (3 * i + 1) - disc * (100 * (i % 5)) + p / (i + 1)).alias(c) for i, c in enumerate(MANY)])
+    return association.corr_levels(wide, MANY, "y")
+
+
 @register("label_corr_filter", f"""
 SELECT feature, round(r, 6) AS r, abs(r) >= 0.1 AS keep FROM ({' UNION ALL '.join(
     f"SELECT '{c}' AS feature, corr({c}, net) AS r FROM {MIXED}" for c in ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'])})""")
@@ -146,6 +160,20 @@ def correlated_columns(spark, d):
     return spark.createDataFrame(found, "dropped string, kept string, kind string")
 
 
+LEVELS_200 = "(SELECT 'p' || l_partkey % 200 AS u, 'q' || (l_partkey % 200) * 7 AS v, 's' || l_orderkey % 150 AS w FROM lineitem)"
+
+
+@register("correlated_columns_levels", f"""
+SELECT dropped, kept, 'nominal' AS kind FROM (SELECT 'v' AS dropped, 'u' AS kept, {_cramer_sql('u', 'v', LEVELS_200)} AS x
+ UNION ALL SELECT 'w', 'u', {_cramer_sql('u', 'w', LEVELS_200)}) WHERE x > 0.95""")
+def correlated_columns_levels(spark, d):
+    """Pairs of 200 by 200 and 200 by 150 levels are compared like any other."""
+    part = F.col("l_partkey") % 200
+    lines = table(spark, d, "lineitem").select(F.concat(F.lit("p"), part).alias("u"), F.concat(F.lit("q"), part * 7).alias("v"),
+                                               F.concat(F.lit("s"), F.col("l_orderkey") % 150).alias("w"))
+    return spark.createDataFrame(association.correlated_columns(lines, ["u", "v", "w"], [], cell_limit=None), "dropped string, kept string, kind string")
+
+
 @register("candidate_filter", f"""
 WITH r AS (SELECT {_rank('l_quantity')} q, {_rank('l_extendedprice')} p, {_rank('net')} n, {_rank('l_quantity * l_extendedprice')} x FROM {MIXED}),
 c AS (SELECT greatest(abs(corr(q, n)), abs(corr(p, n))) net, greatest(abs(corr(q, x)), abs(corr(p, x)), abs(corr(n, x))) prod FROM r)

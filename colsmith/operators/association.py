@@ -11,12 +11,11 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import collect_stats
+from ..functions.aggregates import collect_stats, distinct_counts
 from ..functions.lookup import broadcast_fits, level_lookup
 from ..functions.ordered import ROWS_PER_RANGE, average_ranks
 from ..session import cut_lineage
 
-CELL_LIMIT = 10_000
 _NARROW = 16
 
 
@@ -61,15 +60,23 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str], centre: np.ndarray |
             m = mask.astype(float)
             total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
         yield pa.record_batch({"row": list(range(p)) * 4, "part": [k for k in range(4) for _ in range(p)],
-                               "vals": [total[k, i].tolist() for k in range(4) for i in range(p)]},
-                              schema=pa.schema([("row", pa.int32()), ("part", pa.int32()), ("vals", pa.list_(pa.float64()))]))
+                               "vals": [total[k, i].tobytes() for k in range(4) for i in range(p)]},
+                              schema=pa.schema([("row", pa.int32()), ("part", pa.int32()), ("vals", pa.binary())]))
 
-    partial = data.mapInArrow(sums, "row int, part int, vals array<double>")
-    summed = (partial.select("row", "part", F.posexplode("vals").alias("col", "v"))
-              .groupBy("row", "part", "col").agg(F.sum("v").alias("v")).collect())
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for row, part, vals in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                held[row, part] = held.get((row, part), 0.0) + np.frombuffer(vals)
+        yield pa.record_batch({"row": [r for r, _ in held], "part": [k for _, k in held], "vals": [v.tobytes() for v in held.values()]},
+                              schema=pa.schema([("row", pa.int32()), ("part", pa.int32()), ("vals", pa.binary())]))
+
+    shape = "row int, part int, vals binary"
+    # one packed line of a matrix per row and part, added up where its key is shuffled to
+    summed = data.mapInArrow(sums, shape).repartition("row", "part").mapInArrow(add, shape).toArrow()
     s = np.zeros((4, p, p))
-    for r in summed:
-        s[r["part"], r["row"], r["col"]] = r["v"]
+    for row, part, vals in zip(*[summed.column(k).to_pylist() for k in range(3)]):
+        s[part, row] = np.frombuffer(vals)
     n, sx, sxx, sxy = s
     with np.errstate(divide="ignore", invalid="ignore"):
         cov = sxy - sx * sx.T / n
@@ -109,8 +116,8 @@ def label_corr_filter(df: DataFrame, cols: Sequence[str], label: str, threshold:
                                            "feature string, r double, keep boolean")
 
 
-def corr_levels(df: DataFrame, cols: Sequence[str], target: str, top: int = 30) -> DataFrame:
-    """Rounded correlations with the target, graded micro / low / medium / high by size."""
+def corr_levels(df: DataFrame, cols: Sequence[str], target: str, top: int | None = None) -> DataFrame:
+    """Rounded correlations with the target, graded micro / low / medium / high by size; ``top`` asks for the first columns only."""
     found = label_correlation(df, [c for c in cols if c != target][:top], target)
     base = df.sparkSession.createDataFrame(list(found.items()), "feature string, r double")
     # graded as shown: by the rounded figure
@@ -251,18 +258,19 @@ def correlation_ratio(df: DataFrame, numeric: Sequence[str], nominal: Sequence[s
 
 
 def correlated_columns(df: DataFrame, nominal: Sequence[str], numeric: Sequence[str], threshold: float = 0.95,
-                       distinct: dict[str, int] | None = None) -> list[tuple[str, str, str]]:
+                       cell_limit: int | None = 10_000) -> list[tuple[str, str, str]]:
     """(dropped, kept, kind): of nominal pairs the later goes, of numeric pairs the earlier.
 
-    Nominal pairs with more than 10,000 possible cells are not compared. Numeric pairs count
-    when the signed correlation exceeds the threshold.
+    Nominal pairs with more possible cells than ``cell_limit`` are not compared (two near-unique columns always look
+    associated); ``None`` compares all. Numeric pairs count when the signed correlation exceeds the threshold.
     """
     dropped: list[tuple[str, str, str]] = []
     gone: set[str] = set()
     if len(nominal) > 1:
-        if distinct is None:
-            distinct = {c: s["d"] for c, s in collect_stats(df, nominal, lambda x: {"d": F.count_distinct(x)}).items()}
-        pairs = [(a, b) for a, b in combinations(nominal, 2) if distinct[a] * distinct[b] <= CELL_LIMIT]
+        pairs = list(combinations(nominal, 2))
+        if cell_limit is not None:
+            wide = {r["feature"]: r["nunique"] for r in distinct_counts(df, nominal).collect()}
+            pairs = [(a, b) for a, b in pairs if wide.get(a, 0) * wide.get(b, 0) <= cell_limit]
         strength = {(r["a"], r["b"]): r["v"] for r in cramers_v(df, pairs).collect()} if pairs else {}
         for a, b in pairs:
             if a not in gone and b not in gone and strength.get((a, b), 0.0) > threshold:

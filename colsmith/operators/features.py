@@ -138,9 +138,14 @@ def row_norm(cols: Sequence[str]) -> Column:
     return F.sqrt(sum((F.pow(F.col(c).cast("double"), 2) for c in cols), F.lit(0.0)))
 
 
+def cross_count(n_numeric: int, n_nominal: int) -> int:
+    """Number of candidates that crosses of so many columns make."""
+    return n_numeric * n_nominal * 4 + n_numeric * (5 + (n_numeric - 1) * 2)
+
+
 def synthesis_budget(n_numeric: int, n_nominal: int, limit: int = CANDIDATE_LIMIT) -> bool:
     """Whether crosses of so many columns stay within the candidate limit."""
-    return n_numeric * n_nominal * 4 + n_numeric * (5 + (n_numeric - 1) * 2) <= limit
+    return cross_count(n_numeric, n_nominal) <= limit
 
 
 def column_arithmetic(a: Column, b: Column) -> dict[str, Column]:

@@ -358,9 +358,10 @@ def recommend_inputs(near: DataFrame, bounds: DataFrame, model, features: Sequen
 # ---- adversarial validation ---------------------------------------------------------------
 
 def adversarial_validation(train: DataFrame, test: DataFrame, features: Sequence[str], key: Sequence[str],
-                           limit: float = 0.6, max_rounds: int = 10, trees: int = 20, depth: int = 5, seed: int = 1) -> list[dict]:
+                           limit: float = 0.6, max_rounds: int | None = None, trees: int = 20, depth: int = 5, seed: int = 1) -> list[dict]:
     """Remove, one by one, the features that best tell train from test rows while AUC > limit.
 
+    It ends at the limit or at the last feature; ``max_rounds`` ends it earlier, after an entry that still says ``removed``.
     Returns one entry per round: auc on a 20 % holdout, the leading feature, whether it went.
     The tagged rows are indexed once and kept for all rounds.
     """
@@ -376,7 +377,7 @@ def adversarial_validation(train: DataFrame, test: DataFrame, features: Sequence
     left, log = list(order), []
     try:
         fit_rows, check_rows = holdout(both, [*key, "__test"], 0.2, seed)
-        for number in range(max_rounds):
+        for number in range(len(order) if max_rounds is None else max_rounds):
             stage = VectorAssembler(inputCols=[f"__i_{c}" if c in nominal else c for c in left], outputCol="features", handleInvalid="keep")
             model = RandomForestClassifier(labelCol="__test", numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed).fit(stage.transform(fit_rows))
             auc = BinaryClassificationEvaluator(labelCol="__test").evaluate(model.transform(stage.transform(check_rows)))

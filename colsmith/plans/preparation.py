@@ -149,7 +149,7 @@ def _fit_synthesis(typed: DataFrame, label: str, problem: str, types: Mapping[st
                 fills[c] = float(mode) if mode is not None else 0.0
         timed = _time_block(typed, layouts, series, key, fills).persist(StorageLevel.MEMORY_AND_DISK)
         numeric, nominal = _time_names(layouts, series)
-        lost = {d for d, *_ in association.correlated_columns(timed, nominal, numeric)}
+        lost = {d for d, *_ in association.correlated_columns(timed, nominal, numeric, cell_limit=params.get("cell_limit"))}
         if series:
             lost.discard(f"{next(iter(layouts))}_delta")        # the ruler of the step differences
         time_keep = [c for c in [*numeric, *nominal] if c not in lost]
@@ -176,7 +176,7 @@ def _fit_synthesis(typed: DataFrame, label: str, problem: str, types: Mapping[st
     filled = imputation.apply_constants(imputation.apply_chained(typed, chained) if chained else typed, fill)
 
     if params["filter_correlation"]:
-        lost = {d for d, *_ in association.correlated_columns(filled, nominal, numeric)}
+        lost = {d for d, *_ in association.correlated_columns(filled, nominal, numeric, cell_limit=params.get("cell_limit"))}
         numeric, nominal = [c for c in numeric if c not in lost], [c for c in nominal if c not in lost]
     numeric += num_conserve
     nominal += [c for c in kept_conserve if c not in num_conserve]
@@ -194,7 +194,10 @@ def _fit_synthesis(typed: DataFrame, label: str, problem: str, types: Mapping[st
         timed_filled = imputation.apply_constants(imputation.apply_chained(timed, chained) if chained else timed, fill)
         state["step"] = features.fit_step_difference(timed_filled, numeric, f"{ruler}_delta", [ruler, *key])
 
-    if numeric and features.synthesis_budget(len(numeric), len(nominal)):
+    crosses, limit = features.cross_count(len(numeric), len(nominal)), params.get("candidate_limit", features.CANDIDATE_LIMIT)
+    # the mold tells whether crosses were left out and how many there would be
+    state["crosses"] = {"candidates": crosses, "limit": limit, "made": limit is None or crosses <= limit}
+    if numeric and state["crosses"]["made"]:
         rare = features.apply_rare(filled, state["rare"])
         if params["unary"]:
             roots = features.nonnegative(filled, numeric)

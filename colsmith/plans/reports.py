@@ -33,7 +33,7 @@ def eda_report(df: DataFrame, target: str | None = None, top: int = 30, numeric:
         parts.append(_long("box", profiling.box_summary(df, numeric), "feature", ["min", "q1", "median", "q3", "max", "n_outliers", "percent"]))
         parts.append(_long("skew", profiling.skew_report(df, numeric), "feature", ["skew"]))
         if target in numeric:
-            parts.append(_long("correlation", association.corr_levels(df, numeric, target, top), "feature", ["r", "level"]))
+            parts.append(_long("correlation", association.corr_levels(df, numeric, target), "feature", ["r", "level"]))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -134,6 +134,10 @@ def test_adversarial_finds_the_shift(signal):
 def test_selection_prefers_the_signal(signal):
     weights = selection.importances(signal, ["a", "noise"], "flag", "binary", trees=10, boosts=3)
     assert weights["a"] > weights["noise"]
+    # twelve classes are boosted like two: the noise gets no share from a second forest
+    twelve = signal.withColumn("band", F.least(F.greatest(F.floor(F.col("a") * 4 + 6), F.lit(0)), F.lit(11)).cast("string"))
+    many = selection.importances(twelve, ["a", "noise"], "band", "multiclass", trees=10, class_boosts=1, depth=3)
+    assert many == {"a": 1.0, "noise": 0.0}
     assert selection.importance_select({"a": 1.0, **{f"n{i}": 0.01 for i in range(20)}, "z": 0.001})[0] == "a"
     verdict = selection.boruta_select(signal, ["a", "noise"], "flag", "binary", ["rid"], rounds=8, trees=5, rows_per_range=300)
     assert verdict["a"] == "confirmed"
