@@ -8,6 +8,7 @@ alike for all texts; bands of samples find near pairs, which are verified on the
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -178,25 +179,36 @@ def with_next(docs: DataFrame, schema: str, make: Callable[[list, list[str], lis
     """Apply ``make(ids, texts, next texts)`` to every row and its successor by falling id; after the last comes the first.
 
     Rows go to ranges of ids in one shuffle. The first row of a range is also sent to the range before it, so each
-    range is read by itself. Rows of equal ids follow by a hash of their text, then the text; null ids come last.
+    range is read by itself. Rows of equal ids follow by a hash of their text, then the text; null ids come last. An id
+    (or null) that holds more rows than a range should is split by that hash; only rows equal in id and hash stay together.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     key = F.coalesce("id", F.lit(-(1 << 63)))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.select(key.alias("key")).agg(F.percentile_approx("key", [n / ranges for n in range(1, ranges)] or [0.5], 100 * ranges)).first()[0]
-    cuts = sorted(set(cuts or []))
+    times = Counter(cuts or [])
+    hot = sorted(k for k, n in times.items() if n > 1)
+    # the hash takes part in a row's place only under hot ids, so texts are read for it only where there are any
+    tie = F.when(key.isin(hot), F.xxhash64("text")).otherwise(F.lit(0)) if hot else F.lit(0).cast("long")
+    placed = rows.select("id", "text", key.alias("key"), tie.alias("sub"))
+    points = [(k, -(1 << 63)) for k in times]
+    if hot:
+        inner = placed.agg(*[F.percentile_approx(F.when(F.col("key") == k, F.col("sub")), [n / times[k] for n in range(1, times[k])], 100 * times[k])
+                             for k in hot]).first()
+        points += [(k, s) for k, subs in zip(hot, inner) for s in subs]
+    points = sorted(set(points))
     # ranges count from the largest ids down
-    number = lambda k: F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= k)) if cuts else F.lit(0)
-    tops = {r.range: r.top for r in rows.select(key.alias("key")).select(number(F.col("key")).alias("range"), "key")
-            .groupBy("range").agg(F.max("key").alias("top")).collect()}  # one row for each range
+    borders = F.array(*[F.struct(F.lit(k).cast("long").alias("key"), F.lit(s).cast("long").alias("sub")) for k, s in points])
+    number = F.lit(len(points)) - F.size(F.filter(borders, lambda b: b <= F.struct("key", "sub"))) if points else F.lit(0)
+    tops = {r.range: r.top for r in placed.groupBy(number.alias("range")).agg(F.max(F.struct("key", "sub")).alias("top")).collect()}  # one row for each range
     held = sorted(tops)
     if not held:
         return spark.createDataFrame([], schema)
     guards = [(tops[after], r) for r, after in zip(held, held[1:] + held[:1])]
-    copies = [F.when(F.col("key") == F.lit(top), F.struct(F.lit(r).alias("range"), F.lit(1).alias("guard"))) for top, r in guards]
-    places = F.filter(F.array(F.struct(number(F.col("key")).alias("range"), F.lit(0).alias("guard")), *copies), lambda p: p.isNotNull())
-    spread = rows.withColumn("key", key).withColumn("place", F.explode(places))
+    copies = [F.when((F.col("key") == top.key) & (F.col("sub") == top.sub), F.struct(F.lit(r).alias("range"), F.lit(1).alias("guard"))) for top, r in guards]
+    places = F.filter(F.array(F.struct(number.alias("range"), F.lit(0).alias("guard")), *copies), lambda p: p.isNotNull())
+    spread = placed.withColumn("place", F.explode(places))
     spread = spread.select("id", "text", "key", F.xxhash64("text").alias("tie"), F.col("place.range").alias("range"), F.col("place.guard").alias("guard"))
     spread = spread.repartition(ranges, "range").sortWithinPartitions("range", "guard", F.desc("key"), F.desc("tie"), F.desc("text"))
 

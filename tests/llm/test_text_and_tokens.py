@@ -139,6 +139,27 @@ def test_successors_with_one_row_repeats_and_nulls(spark):
     assert len(rows) == 4 and len({r.edited_sha256 for r in rows}) == 4
 
 
+def test_an_id_with_most_rows_is_split(spark):
+    rng = random.Random(9)
+    ids = [None] * 200 + [7] * 150 + list(range(1000, 1100))
+    texts = [f"{n} " + "".join(rng.choice("abc de") for _ in range(rng.randint(0, 40))) for n in range(len(ids))]
+    docs = table(spark, texts, ids)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = edit_fingerprint.fingerprints_with_edits(docs).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ranked = sorted(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).collect(), reverse=True,
+                    key=lambda r: (-(1 << 63) if r.doc_id is None else r.doc_id, r.tie))
+    edited = []
+    for r, after in zip(ranked, ranked[1:] + ranked[:1]):
+        cut = len(r.text) // 3
+        edited.append((r.doc_id, hashlib.sha256((r.text[:len(r.text) - cut] + after.text[:cut]).encode()).hexdigest()))
+    assert sorted(map(repr, edited)) == sorted(repr((r.doc_id, r.edited_sha256)) for r in rows)
+    assert len({r.part for r in rows if r.doc_id is None}) > 1 and len({r.part for r in rows if r.doc_id == 7}) > 1
+
+
 def test_walks_together_and_alone_agree(monkeypatch):
     rng = random.Random(6)
     texts = ["".join(rng.choice("abc défg") for _ in range(rng.randint(0, 400))) for _ in range(70)]
