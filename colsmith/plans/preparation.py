@@ -74,7 +74,8 @@ def _pick(df: DataFrame, candidates: Sequence[str], natives: Sequence[str], labe
     """Union of the importance and the target-correlation choice among the candidates."""
     if not candidates:
         return []
-    weights = selection.importances(df, [*natives, *candidates], label, problem, params["trees"], params["boosts"], seed=params["seed"])
+    weights = selection.importances(df, [*natives, *candidates], label, problem, params["trees"], params["boosts"], seed=params["seed"],
+                                    class_boosts=params.get("class_boosts", 5))
     chosen = set(selection.importance_select(weights, params["seed"]))
     if problem == REGRESSION:
         coded = df.withColumn("__code", F.col(label).cast("double"))
