@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
 from .store import materialize, slices
 
 SLOTS = 128
@@ -24,6 +25,8 @@ CLASSES = 256
 #: From so many texts on, a step is taken for all texts at once.
 TOGETHER = 48
 BANDS, BAND_SLOTS = 16, 8
+#: Characters and texts of a block of a band; a tile holds two blocks. A longer text is a block by itself.
+BLOCK_CHARS, BLOCK_TEXTS = 1 << 20, 500
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -259,24 +262,167 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
     return with_next(docs, schema, make, id_col, text_col).withColumnRenamed("id", id_col)
 
 
+def edit_distance(a: str, b: str, limit: int) -> int | None:
+    """Edits between two texts, or None above ``limit``: bit vectors of one text's length, a step for each character of the other."""
+    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    if abs(len(x) - len(y)) > limit:
+        return None
+    short = min(len(x), len(y))
+    differ = np.flatnonzero(x[:short] != y[:short])
+    head = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(x[head:][::-1][:short - head] != y[head:][::-1][:short - head])
+    tail = int(differ[0]) if len(differ) else short - head
+    pattern, text = sorted((x[head:len(x) - tail].tolist(), y[head:len(y) - tail].tolist()), key=len)
+    if not pattern:
+        return len(text) if len(text) <= limit else None
+    masks: dict[int, int] = {}
+    for n, c in enumerate(pattern):
+        masks[c] = masks.get(c, 0) | 1 << n
+    full, top = (1 << len(pattern)) - 1, 1 << (len(pattern) - 1)
+    up, down, score = full, 0, len(pattern)
+    for left, c in zip(range(len(text) - 1, -1, -1), text):
+        equal = masks.get(c, 0)
+        vertical = equal | down
+        across = (((equal & up) + up) ^ up) | equal
+        more, less = down | (full & ~(across | up)), up & across
+        score += 1 if more & top else -1 if less & top else 0
+        if score - left > limit:
+            return None
+        more, less = (more << 1 | 1) & full, (less << 1) & full
+        up, down = less | (full & ~(vertical | more)), more & vertical
+    return score if score <= limit else None
+
+
+def _limit(a: str, b: str, max_edits: float) -> int:
+    return int(max(len(a), len(b)) * max_edits)
+
+
+def _new_links(digests: list[str], texts: list[str], roots: list[str], blocks: list[int], max_edits: float) -> list[tuple[int, int, int]]:
+    """``(text, text, edits)`` of links that join texts of different roots; once joined, texts are not compared again.
+
+    Two blocks are compared with each other only. Counts of characters give a lower bound of the edits, so most pairs
+    that are no links cost no edit distance.
+    """
+    group = list(range(len(texts)))
+    first: dict[str, int] = {}
+    for n, root in enumerate(roots):
+        group[n] = first.setdefault(root, n)
+
+    def top(n: int) -> int:
+        while group[n] != n:
+            group[n] = group[group[n]]
+            n = group[n]
+        return n
+
+    sizes = np.array([len(t) for t in texts])
+    counts = np.array([np.bincount(_classes(t), minlength=CLASSES) for t in texts], np.int32)
+    block = np.array(blocks)
+    across = block.min() != block.max()
+    links = []
+    for a in range(len(texts) - 1):
+        differ = counts[a + 1:] - counts[a]
+        bound = np.maximum(np.maximum(differ, 0).sum(1), np.maximum(-differ, 0).sum(1))
+        near = bound <= (np.maximum(sizes[a + 1:], sizes[a]) * max_edits).astype(np.int64)
+        if across:
+            near &= block[a + 1:] != block[a]
+        for b in (np.flatnonzero(near) + a + 1).tolist():
+            if top(a) != top(b):
+                edits = edit_distance(texts[a], texts[b], _limit(texts[a], texts[b], max_edits))
+                if edits is not None:
+                    group[top(b)] = top(a)
+                    links.append((a, b, edits))
+    return links
+
+
+_LINKS = "text_sha256 string, near_sha256 string, edits int"
+
+
+def _verify(pairs: DataFrame, max_edits: float) -> DataFrame:
+    """Links among the pairs ``digest, head, text, head_text``."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            edits = pa.array([edit_distance(t, h, _limit(t, h, max_edits)) for t, h in zip(columns[2], columns[3])], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), edits], ["text_sha256", "near_sha256", "edits"])
+
+    return pairs.select("digest", "head", "text", "head_text").mapInArrow(run, _LINKS).filter("edits is not null")
+
+
+def _tiles(rows: DataFrame, max_edits: float) -> DataFrame:
+    """New links of every tile of ``band, low, high, block, digest, root, text``."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> pa.RecordBatch:
+            found = _new_links(*[[r[c] for r in held] for c in ("digest", "text", "root", "block")], max_edits)
+            return pa.RecordBatch.from_arrays([pa.array([held[a]["digest"] for a, _, _ in found], pa.string()),
+                                               pa.array([held[b]["digest"] for _, b, _ in found], pa.string()),
+                                               pa.array([e for _, _, e in found], pa.int32())], ["text_sha256", "near_sha256", "edits"])
+
+        for batch in batches:
+            for part in slices(batch, batch.schema.get_field_index("text")):
+                for row in part.to_pylist():
+                    now = (row["band"], row["low"], row["high"])
+                    if now != key:
+                        if len(held) > 1:
+                            yield close()
+                        key, held = now, []
+                    held.append(row)
+        if len(held) > 1:
+            yield close()
+
+    spread = rows.select("band", "low", "high", "block", "digest", "root", "text")
+    return spread.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "digest").mapInArrow(run, _LINKS)
+
+
 def near_texts(docs: DataFrame, max_edits: float = 0.2, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS,
                band_slots: int = BAND_SLOTS, seed: int = 1) -> DataFrame:
     """Links between near texts: ``text_sha256, near_sha256, edits`` with at most ``max_edits`` edits a character.
 
-    Equal texts are one node (empty texts none). Nodes that share a band of sampled walk times meet; each is compared
-    with the least digest of its band, on the whole texts by edit distance, so a band of n texts costs n comparisons,
-    not n squared. Links are the stars of all bands.
+    Equal texts are one node (empty and null texts none). Nodes that share a band of sampled walk times meet, and are
+    verified by edit distance on the whole texts. The links are enough to hang together whatever hangs together by the
+    links among all that meet: each node is compared with the least digest of its band first, and only bands whose
+    members still belong to different components are then compared member by member, in tiles of bounded size.
+    """
+    return _near_links(_text_nodes(docs, text_col), max_edits, bands, band_slots, seed)
+
+
+def near_text_classes(docs: DataFrame, max_edits: float = 0.2, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``id_col, text_sha256, class_sha256`` of every row; the class is the least digest that the text hangs together with.
+
+    Null texts count as empty; empty texts are one class. Null and repeated ids stay rows of their own.
     """
-    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).filter("text != ''")
-    nodes = rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.max("text").alias("text"))
+    classes = components(near_texts(docs, max_edits, id_col, text_col, **options).select(F.col("text_sha256").alias("a"), F.col("near_sha256").alias("b")))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("text_sha256"))
+    found = rows.join(classes.withColumnRenamed("node", "text_sha256"), "text_sha256", "left")
+    return found.select(F.col("id").alias(id_col), "text_sha256", F.coalesce("root", "text_sha256").alias("class_sha256"))
+
+
+def _text_nodes(docs: DataFrame, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(f"`{text_col}`").alias("text")).filter("text != ''")
+    return materialize(rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.max("text").alias("text")), "texts")
+
+
+def _near_links(nodes: DataFrame, max_edits: float, bands: int, band_slots: int, seed: int) -> DataFrame:
     prints = fingerprint_documents(nodes, "digest", "text", seed)
     size = band_slots * 2
     pieces = F.array(*[F.concat(F.lit(f"{b}:"), F.substring("fingerprint", b * size + 1, size)) for b in range(bands)])
-    members = materialize(prints.select("digest", F.explode(pieces).alias("band")), "bands")
-    heads = members.groupBy("band").agg(F.min("digest").alias("head"))
+    members = materialize(prints.select("digest", "n_chars", F.explode(pieces).alias("band")), "bands")
+    heads = members.groupBy("band").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     pairs = members.join(heads, "band").filter("digest != head").select("digest", "head").distinct()
     texts = nodes.select(F.col("digest").alias("head"), F.col("text").alias("head_text"))
-    both = pairs.join(nodes, "digest").join(texts, "head")
-    limit = (F.greatest(F.length("text"), F.length("head_text")) * max_edits).cast("int")
-    both = both.withColumn("edits", F.levenshtein("text", "head_text")).filter(F.col("edits") <= limit)
-    return both.select(F.col("digest").alias("text_sha256"), F.col("head").alias("near_sha256"), "edits")
+    stars = materialize(_verify(pairs.join(nodes, "digest").join(texts, "head"), max_edits), "stars")
+
+    roots = components(stars.select(F.col("text_sha256").alias("a"), F.col("near_sha256").alias("b"))).withColumnRenamed("node", "digest")
+    rooted = members.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    rooted = materialize(rooted, "rooted")
+    blocks = F.ceil(F.greatest(F.sum("n_chars") / BLOCK_CHARS, F.count(F.lit(1)) / BLOCK_TEXTS)).cast("int")
+    # bands of the same members and components need one look
+    same = [F.min("digest").alias("lo"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y")]
+    unsettled = rooted.groupBy("band").agg(blocks.alias("blocks"), F.min("root").alias("a"), F.max("root").alias("b"), *same).filter("a < b")
+    unsettled = unsettled.groupBy("lo", "n", "x", "y").agg(F.min("band").alias("band"), F.first("blocks").alias("blocks")).select("band", "blocks")
+    placed = rooted.join(unsettled, "band").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    rest = _tiles(placed.join(nodes, "digest"), max_edits)
+    return stars.unionByName(materialize(rest, "links")).distinct()

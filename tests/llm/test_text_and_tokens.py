@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from colsmith.llm import bpe, edit_fingerprint, html_text, language, mixing, token_files
 from colsmith.llm.catalog import OP3_SQL
+from colsmith.llm.edit_fingerprint import edit_distance
 
 ODD = "ab1 2'srelTZ\n\t .,é　\xa0ñ🙂​-_́ß"
 SCHEMA = "doc_id long, text string, source string, lang string, size int, mix string"
@@ -191,6 +192,64 @@ def test_near_texts_are_verified(spark):
     assert all(r.edits <= 2 for r in rows)
 
 
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distance_matches_brute_force():
+    rng = random.Random(9)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("ab🙂") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        real = plain_edits(a, b)
+        for limit in (0, 2, 5, 20):
+            assert edit_distance(a, b, limit) == (real if real <= limit else None)
+    long = "".join(rng.choice("abcd ") for _ in range(3000))
+    assert edit_distance(long, "x" + long[:1000] + long[1003:], 10) == 4
+
+
+@pytest.mark.parametrize("block", [3, 500])
+def test_near_text_classes_match_brute_force(spark, monkeypatch, block):
+    """Chains of texts, whose ends are no links of each other, hang together as by all links among texts that share a band."""
+    monkeypatch.setattr(edit_fingerprint, "BLOCK_TEXTS", block)
+    rng = random.Random(10)
+    texts = []
+    for _ in range(4):
+        text = "".join(rng.choice("etaoin shrdlu") for _ in range(150))
+        for _ in range(12):
+            texts.append(text)
+            at = rng.randrange(90, 130)
+            text = text[:at] + "".join(rng.choice("etaoin shrdlu") for _ in range(12)) + text[at + rng.randint(8, 14):]
+    most = 0.1
+    size = edit_fingerprint.BAND_SLOTS
+    prints = edit_fingerprint.walk().fingerprints(texts)
+    bands = [{(n, p[n:n + size]) for n in range(0, 128, size)} for p in prints]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if bands[a] & bands[b]
+             and plain_edits(texts[a], texts[b]) <= int(max(len(texts[a]), len(texts[b])) * most)]
+    group = list(range(len(texts)))
+    for _ in texts:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    assert any((a, b) not in links for a in range(len(texts)) for b in range(a) if group[a] == group[b])
+    docs = table(spark, [*texts, texts[0], "", None], [*range(len(texts)), None, 900, 901])
+    rows = edit_fingerprint.near_text_classes(docs, most).collect()
+    assert len(rows) == len(texts) + 3
+    got = {}
+    for r in rows:
+        if r.doc_id is not None and r.doc_id < 900:
+            got.setdefault(r.class_sha256, set()).add(r.doc_id)
+    want = {}
+    for n, g in enumerate(group):
+        want.setdefault(g, set()).add(n)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert {r.class_sha256 for r in rows if r.doc_id in (900, 901)} == {hashlib.sha256(b"").hexdigest()}
+    assert edit_fingerprint.near_text_classes(docs.filter("false")).count() == 0
+
+
 # ---- language --------------------------------------------------------------------------------------------------------
 
 LANGUAGES = {"en": "the and with of ing that was for", "fr": "le les des que est où été pour", "de": "der die das und ist über für nicht", "es": "el los que una por año niño con"}
