@@ -24,6 +24,23 @@ def label_encode(spark, d):
     return encoding.apply_label_codes(orders, codes)
 
 
+def _order_levels(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("level"))
+    return orders, encoding.fit_label_codes(orders, ["level"])
+
+
+@register("label_encode_wide", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey::VARCHAR) - 1 AS level FROM orders")
+def label_encode_wide(spark, d):
+    orders, codes = _order_levels(spark, d)
+    return encoding.apply_label_codes(orders, codes)
+
+
+@register("label_decode_wide", "SELECT o_orderkey, o_orderkey::VARCHAR AS level FROM orders")
+def label_decode_wide(spark, d):
+    orders, codes = _order_levels(spark, d)
+    return encoding.inverse_value_map(encoding.apply_label_codes(orders, codes), codes)
+
+
 def _sigmoid(n: str) -> str:
     return f"(1 / (1 + exp(-({n} - 20) / 10.0)))"
 
@@ -77,6 +94,20 @@ def shrinkage_encode(spark, d):
     return rounded(encoding.apply_target(lines.drop("l_extendedprice"), state), 4)
 
 
+@register("shrinkage_encode_wide", """
+WITH r AS (SELECT *, l_quantity + 10 * (l_orderkey % 7) AS y FROM lineitem),
+k AS (SELECT l_orderkey, count(*) n, avg(y) a, var_pop(y) v FROM r GROUP BY 1),
+t AS (SELECT sum(n) n, count(*) g, sum(n * a) / sum(n) m, sum(n * v) / (sum(n) - count(*)) s2, (sum(n) - sum(n * n) / sum(n)) / (count(*) - 1) n0 FROM k),
+b AS (SELECT greatest(0, (sum(k.n * pow(a - m, 2)) / (max(g) - 1) - max(s2)) / max(n0)) t2 FROM k, t)
+SELECT l_linenumber, l_suppkey, round(CASE WHEN t2 > 0 THEN t2 / (t2 + s2 / k.n) ELSE 0 END * (a - m), 4) AS orderkey
+FROM lineitem x JOIN k ON x.l_orderkey = k.l_orderkey, t, b""")
+def shrinkage_encode_wide(spark, d):
+    lines = table(spark, d, "lineitem").select("l_linenumber", "l_suppkey", F.col("l_orderkey").cast("string").alias("orderkey"),
+                                               (F.col("l_quantity") + 10 * (F.col("l_orderkey") % 7)).alias("y"))
+    state = encoding.fit_shrinkage(lines, ["orderkey"], F.col("y"))
+    return rounded(encoding.apply_target(lines.drop("y"), state), 4)
+
+
 @register("shrinkage_encode_binary", """
 WITH k AS (SELECT l_linenumber, count(*) n, avg((l_linestatus <> 'F')::INT) a FROM lineitem GROUP BY 1),
 e AS (SELECT *, ln((n * a + 0.5) / (n * (1 - a) + 0.5)) lo, 1 / (n * a + 0.5) + 1 / (n * (1 - a) + 0.5) s FROM k),

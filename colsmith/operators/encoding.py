@@ -1,4 +1,9 @@
-"""Categories to numbers and back."""
+"""Categories to numbers and back.
+
+A fitted column is a dictionary ``level -> value``, or, with more than ``TABLE_LEVELS`` levels, the path of a Parquet
+table of its levels (``path#column``), so the width of a column is not limited and the state stays JSON. Such tables
+lie in the folder of ``colsmith.levels.dir``, else in the shared folder; keep them as long as the state.
+"""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
@@ -9,10 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lookup import LITERAL_LEVELS, broadcast_fits
+from ..functions.lookup import LITERAL_LEVELS, broadcast_fits, level_lookup
+from ..functions.ordered import ordered_scan
+from ..session import shared_table
 
 UNSEEN = "Unknown"
-#: Levels of one column that a fitted state may hold: about 100 MB of map on the driver. Wider columns are an error.
+#: Levels of one column that a fitted state holds as a dictionary; wider columns become a table of levels.
+TABLE_LEVELS = 10_000
+#: Levels of one column that may come to the driver where a dictionary is the only form. Wider columns are an error.
 FEW_LEVELS = 1_000_000
 #: Levels of one column that tree models index and bin.
 TREE_LEVELS = 10_000
@@ -40,12 +49,18 @@ def map_many(df: DataFrame, lookups: Sequence[tuple[str, str, Mapping, object]])
     """Several lookups (source, output, map, default) in one projection.
 
     Small maps become literal map lookups; the larger maps of one source column share one join with a table of its
-    levels, which is broadcast when the measured keys and the values fit the broadcast budget.
+    levels, which is broadcast when the measured keys and the values fit the broadcast budget. Level tables are looked
+    up where they lie, hot levels by broadcast.
     """
     names = list(df.columns)
     made: dict[str, Column] = {}
     wide: dict[str, list] = {}
+    stored: dict[tuple[str, str], list] = {}
     for source, name, mapping, base in lookups:
+        if isinstance(mapping, str):
+            path, _, column = mapping.rpartition("#")
+            stored.setdefault((source, path), []).append((name, column, base))
+            continue
         sample = next((v for v in mapping.values() if v is not None), None)
         vtype = T.StringType() if isinstance(sample, str) else T.LongType() if isinstance(sample, int) else T.DoubleType()
         if len(mapping) > LITERAL_LEVELS:
@@ -64,10 +79,28 @@ def map_many(df: DataFrame, lookups: Sequence[tuple[str, str, Mapping, object]])
         df = df.join(F.broadcast(table) if small else table, F.col(source).cast("string") == F.col(f"__k{i}"), "left")
         for j, (name, _, base, vtype) in enumerate(group):
             made[name] = F.coalesce(F.col(f"__v{i}_{j}"), F.lit(base).cast(vtype))
+    for i, ((source, path), group) in enumerate(stored.items()):
+        levels = df.sparkSession.read.parquet(path)
+        levels = levels.select(F.col("level").alias(f"__t{i}"), F.col("n").alias(f"__n{i}"), *[F.col(c).alias(f"__x{i}_{j}") for j, (_, c, _) in enumerate(group)])
+        df = _looked_up(df.withColumn(f"__t{i}", F.col(f"`{source}`").cast("string")), levels, f"__t{i}", f"__n{i}")
+        for j, (name, _, base) in enumerate(group):
+            made[name] = F.coalesce(F.col(f"__x{i}_{j}"), F.lit(base).cast(levels.schema[f"__x{i}_{j}"].dataType))
     return df.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in names],
                      *[v.alias(n) for n, v in made.items() if n not in names])
 
 
+def _looked_up(df: DataFrame, levels: DataFrame, key: str, count: str) -> DataFrame:
+    """``df`` with the columns of a table of levels, whose size is measured first."""
+    size = levels.agg(F.count(F.lit(1)).alias("levels"), F.sum(count).alias("rows"), F.avg(F.octet_length(F.col(key).cast("string"))).alias("bytes")).first()
+    small = broadcast_fits(size["levels"], len(levels.columns) - 2, 32 + int(size["bytes"] or 0))
+    return level_lookup(df, levels, key, count, size["rows"] or 0, small)
+
+
+def _store(levels: DataFrame) -> str:
+    """The path of a new table of ``level, n`` and values."""
+    return shared_table(levels, "levels", levels.sparkSession.conf.get("colsmith.levels.dir", None))
+
+
 def inverse_map(mapping: Mapping[str, float], digits: int | None = None) -> dict:
     """Value -> level; where levels share a value the first level in sorted order wins."""
     out: dict = {}
@@ -86,17 +119,45 @@ def closest_level(df: DataFrame, maps: Mapping[str, Mapping[str, float]], tolera
     """Numbers to the level whose code is nearest, of equally near ones the first by level; null stays null.
 
     With a ``tolerance``, a code further away (relative to its size, 1 at least) gives null. The sorted codes of a
-    column are one broadcast array and a value is found by binary search, so the width of the map costs little.
+    column are one broadcast array and a value is found by binary search, so the width of the map costs little. Where
+    the map is a table, the distinct values and the codes are scanned in order together.
     """
     spark = df.sparkSession
     made = {}
-    for c in df.columns:
+    names = df.columns
+    for i, c in enumerate(names):
+        if isinstance(maps.get(c), str):
+            df = _closest_in_table(df, c, maps[c], tolerance, f"__c{i}")
+            made[c] = F.col(f"__c{i}")
+            continue
         if not maps.get(c):
             made[c] = F.lit(None).cast("string") if c in maps and tolerance is not None else F.col(f"`{c}`")
             continue
         pairs = sorted((float(v), k) for v, k in inverse_map(maps[c]).items())
         made[c] = _search(spark.sparkContext.broadcast(([v for v, _ in pairs], [k for _, k in pairs])), tolerance)(F.col(f"`{c}`").cast("double"))
-    return df.select(*[made[c].alias(c) for c in df.columns])
+    return df.select(*[made[c].alias(c) for c in names])
+
+
+def _closest_in_table(df: DataFrame, c: str, stored: str, tolerance: float | None, out: str) -> DataFrame:
+    """``df`` with the level ``out`` whose code in the table is nearest to column ``c``."""
+    path, _, column = stored.rpartition("#")
+    key = F.col(f"`{c}`").cast("double")
+    codes = df.sparkSession.read.parquet(path).select(F.col(column).cast("double").alias("v"), "level").filter("v is not null")
+    codes = codes.groupBy("v").agg(F.min("level").alias("level"))
+    asked = df.select(key.alias("v")).filter("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    both = codes.select("v", F.lit(0).alias("asked"), "level", F.lit(0).cast("long").alias("n"))
+    both = both.unionByName(asked.select("v", F.lit(1).alias("asked"), F.lit(None).cast("string").alias("level"), "n")).withColumn("falling", -F.col("v"))
+    code = F.when(F.col("asked") == 0, F.struct("v", "level"))
+    both = ordered_scan(both, ["v", "asked"], fill={"below": code})
+    both = ordered_scan(both, ["falling", "asked"], fill={"above": code}).filter("asked = 1")
+    far_below, far_above = F.abs(F.col("v") - F.col("below.v")), F.abs(F.col("v") - F.col("above.v"))
+    first = F.col("above").isNull() | (far_below < far_above) | ((far_below == far_above) & (F.col("below.level") < F.col("above.level")))
+    best = F.when(F.col("below").isNotNull() & first, F.col("below")).otherwise(F.col("above"))
+    found = both.select("v", "n", best.alias("best"))
+    if tolerance is not None:
+        found = found.filter(F.abs(F.col("v") - F.col("best.v")) <= tolerance * F.greatest(F.lit(1.0), F.abs("best.v")))
+    found = df.sparkSession.read.parquet(shared_table(found.select(F.col("v").alias(f"{out}v"), F.col("n").alias(f"{out}n"), F.col("best.level").alias(out)), "closest"))
+    return _looked_up(df.withColumn(f"{out}v", key), found, f"{out}v", f"{out}n").drop(f"{out}v")
 
 
 def _search(shared, tolerance: float | None):
@@ -131,29 +192,58 @@ def apply_one_hot(df: DataFrame, levels: Mapping[str, Sequence[str]], drop: bool
     return df.select(*rest, *made)
 
 
-def fit_label_codes(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, int]]:
+def fit_label_codes(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, int] | str]:
     """Codes by sorted level; ``Unknown`` takes part in the order and receives unseen levels."""
-    return {c: {lv: i for i, lv in enumerate(sorted({*found, UNSEEN}))} for c, found in levels_of(df, cols).items()}
+    out: dict[str, dict[str, int] | str] = {}
+    for c in cols:
+        counts = df.select(F.col(f"`{c}`").cast("string").alias("level")).filter("level is not null").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+        found = [r[0] for r in counts.select("level").limit(TABLE_LEVELS + 1).collect()]
+        if len(found) <= TABLE_LEVELS:
+            out[c] = {lv: i for i, lv in enumerate(sorted({*found, UNSEEN}))}
+            continue
+        unseen = df.sparkSession.createDataFrame([(UNSEEN, 0)], "level string, n long")
+        levels = counts.unionByName(unseen).groupBy("level").agg(F.sum("n").alias("n"))
+        numbered = ordered_scan(levels, ["level"], row_number="rank")
+        out[c] = _store(numbered.select("level", "n", (F.col("rank") - 1).alias("v0"))) + "#v0"
+    return out
 
 
-def apply_label_codes(df: DataFrame, codes: Mapping[str, Mapping[str, int]]) -> DataFrame:
-    return map_values(df, codes, default={c: m[UNSEEN] for c, m in codes.items()})
+def apply_label_codes(df: DataFrame, codes: Mapping[str, Mapping[str, int] | str]) -> DataFrame:
+    def unseen(m: Mapping[str, int] | str) -> int:
+        if not isinstance(m, str):
+            return m[UNSEEN]
+        path, _, column = m.rpartition("#")
+        return df.sparkSession.read.parquet(path).filter(F.col("level") == UNSEEN).select(column).first()[0]
+    return map_values(df, codes, default={c: unseen(m) for c, m in codes.items()})
 
 
 # ---- target statistics --------------------------------------------------------------------
 
-def _level_stats(df: DataFrame, cols: Sequence[str], targets: Mapping[str, Column]) -> tuple[dict, dict]:
-    """Per level count, mean and squared deviation of each target, one pass for all columns."""
-    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("by"), F.col(c).cast("string").alias("level")) for c in cols]))
-    base = df.select(cells, *[t.cast("double").alias(f"t{i}") for i, t in enumerate(targets.values())])
+def _level_stats(df: DataFrame, cols: Sequence[str], targets: Mapping[str, Column]) -> tuple[dict[str, list | DataFrame], dict]:
+    """Per level count, mean and squared deviation of each target, and the means of all rows.
+
+    Columns of few levels are counted together and come as rows, wide ones as a table each.
+    """
+    wide = wide_columns(df, cols)
+    stats: dict[str, list | DataFrame] = {c: [] for c in cols if c not in wide}
     aggs = [F.count("t0").alias("n")]
     for i in range(len(targets)):
         aggs += [F.avg(f"t{i}").alias(f"m{i}"), F.coalesce(F.var_pop(f"t{i}"), F.lit(0.0)).alias(f"v{i}")]
-    stats: dict[str, list] = {c: [] for c in cols}
-    for r in base.filter(F.col("level").isNotNull()).groupBy("by", "level").agg(*aggs).collect():
-        stats[r["by"]].append(r)
+    values = [t.cast("double").alias(f"t{i}") for i, t in enumerate(targets.values())]
+    if stats:
+        cells = F.inline(F.array(*[F.struct(F.lit(c).alias("by"), F.col(f"`{c}`").cast("string").alias("level")) for c in stats]))
+        for r in df.select(cells, *values).filter(F.col("level").isNotNull()).groupBy("by", "level").agg(*aggs).collect():
+            stats[r["by"]].append(r)
+    for c in wide:
+        stats[c] = df.select(F.col(f"`{c}`").cast("string").alias("level"), *values).filter(F.col("level").isNotNull()).groupBy("level").agg(*aggs)
     total = df.agg(*[F.avg(t.cast("double")).alias(n) for n, t in targets.items()]).first().asDict()
-    return stats, total
+    return {c: stats[c] for c in cols}, total
+
+
+def wide_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Columns whose levels are kept as a table. Near the limit the estimate may go either way; both forms give the same codes."""
+    found = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(cols)]).first() if cols else ()
+    return [c for c, d in zip(cols, found) if d > TABLE_LEVELS]
 
 
 def check_width(df: DataFrame, cols: Sequence[str]) -> None:
@@ -169,12 +259,17 @@ def smoothing(n: float, k: float, f: float) -> float:
     return 1.0 / (1.0 + exp(min(700.0, -(n - k) / f)))
 
 
+def _smoothed(mean: str, prior: float, k: float, f: float) -> Column:
+    """The same as a column of a table of levels."""
+    return prior + (F.col(mean) - prior) / (1.0 + F.exp(F.least(F.lit(700.0), -(F.col("n") - k) / f)))
+
+
 def fit_target(df: DataFrame, cols: Sequence[str], target: Column, k: float = 20.0, f: float = 10.0) -> dict:
     """Level -> mean of the target pulled to the overall mean by a sigmoid of the level count."""
-    check_width(df, cols)
     stats, total = _level_stats(df, cols, {"y": target})
     prior = total["y"]
-    maps = {c: {r["level"]: prior + (r["m0"] - prior) * smoothing(r["n"], k, f) for r in rows if r["m0"] is not None}
+    maps = {c: _store(rows.filter("m0 is not null").select("level", "n", _smoothed("m0", prior, k, f).alias("v0"))) + "#v0" if isinstance(rows, DataFrame)
+            else {r["level"]: prior + (r["m0"] - prior) * smoothing(r["n"], k, f) for r in rows if r["m0"] is not None}
             for c, rows in stats.items()}
     return {"maps": maps, "default": dict.fromkeys(cols, prior)}
 
@@ -187,11 +282,15 @@ def binary_target(df: DataFrame, label: str) -> Column:
 
 def fit_target_multiclass(df: DataFrame, cols: Sequence[str], label: str, k: float = 20.0, f: float = 10.0) -> dict:
     """One-vs-rest target encoding: ``<col>_<class>`` for each class."""
-    check_width(df, cols)
     classes = levels_of(df, [label], 1000)[label]
     stats, prior = _level_stats(df, cols, {y: (F.col(label).cast("string") == y).cast("double") for y in classes})
-    maps = {c: {y: {r["level"]: prior[y] + (r[f"m{i}"] - prior[y]) * smoothing(r["n"], k, f) for r in rows}
-                for i, y in enumerate(classes)} for c, rows in stats.items()}
+    maps: dict[str, dict] = {}
+    for c, rows in stats.items():
+        if isinstance(rows, DataFrame):
+            path = _store(rows.select("level", "n", *[_smoothed(f"m{i}", prior[y], k, f).alias(f"v{i}") for i, y in enumerate(classes)]))
+            maps[c] = {y: f"{path}#v{i}" for i, y in enumerate(classes)}
+        else:
+            maps[c] = {y: {r["level"]: prior[y] + (r[f"m{i}"] - prior[y]) * smoothing(r["n"], k, f) for r in rows} for i, y in enumerate(classes)}
     return {"maps": maps, "default": prior, "classes": classes}
 
 
@@ -209,10 +308,15 @@ def fit_shrinkage(df: DataFrame, cols: Sequence[str], target: Column, binomial:
     the logit of the rate with one half added to hits and misses.
     """
     from math import log
-    check_width(df, cols)
     stats, total = _level_stats(df, cols, {"y": target})
-    maps: dict[str, dict[str, float]] = {}
+    maps: dict[str, dict[str, float] | str] = {}
+    default: dict[str, float] = {}
     for c, rows in stats.items():
+        if isinstance(rows, DataFrame):
+            path = _store(_shrunk(rows.filter("n > 0"), binomial))
+            maps[c] = f"{path}#v0"
+            default[c] = df.sparkSession.read.parquet(path).agg(F.max_by("v0", F.struct("n", "level"))).first()[0]
+            continue
         rows = [r for r in rows if r["n"]]
         n, g = sum(r["n"] for r in rows), len(rows)
         if binomial:
@@ -230,8 +334,28 @@ def fit_shrinkage(df: DataFrame, cols: Sequence[str], target: Column, binomial:
             t2 = max(0.0, (between - s2) / n0) if n0 else 0.0
             maps[c] = {r["level"]: (t2 / (t2 + s2 / r["n"]) if t2 else 0.0) * (r["m0"] - mean) for r in rows}
     # an unseen level takes the effect of the commonest level
-    top = {c: max(rows, key=lambda r: (r["n"], r["level"]))["level"] for c, rows in stats.items() if rows}
-    return {"maps": maps, "default": {c: maps[c][top[c]] for c in top}}
+    top = {c: max(rows, key=lambda r: (r["n"], r["level"]))["level"] for c, rows in stats.items() if isinstance(rows, list) and rows}
+    return {"maps": maps, "default": default | {c: maps[c][top[c]] for c in top}}
+
+
+def _shrunk(rows: DataFrame, binomial: bool) -> DataFrame:
+    """``level, n, v0``: the same moment estimates from a table of levels."""
+    rows = rows.sparkSession.read.parquet(shared_table(rows.select("level", "n", "m0", "v0"), "moments"))
+    n, hits, misses = F.col("n"), F.col("n") * F.col("m0") + 0.5, F.col("n") * (1 - F.col("m0")) + 0.5
+    effect, noise = (F.log(hits / misses), 1 / hits + 1 / misses) if binomial else (F.col("m0"), F.lit(0.0))
+    s = rows.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"), (F.sum(n * effect) / F.sum(n)).alias("mean"), F.sum(n * F.col("v0")).alias("within"),
+                 F.sum(n * n).alias("squares"), F.avg(noise).alias("noise")).first()
+    away = (effect - s["mean"]) * (effect - s["mean"])
+    spread = rows.agg(F.sum(away if binomial else n * away)).first()[0] / max(s["g"] - 1, 1)
+    if binomial:
+        t2 = max(0.0, spread - s["noise"])
+        weight = t2 / (t2 + noise)
+    else:
+        s2 = s["within"] / max(s["n"] - s["g"], 1)
+        n0 = (s["n"] - s["squares"] / s["n"]) / max(s["g"] - 1, 1)
+        t2 = max(0.0, (spread - s2) / n0) if n0 else 0.0
+        weight = t2 / (t2 + s2 / n)
+    return rows.select("level", "n", ((weight if t2 else F.lit(0.0)) * (effect - s["mean"])).alias("v0"))
 
 
 def apply_target(df: DataFrame, state: Mapping) -> DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from colsmith.functions import lookup
 from colsmith.functions import tests_of_fit as tof
 from colsmith.operators import association, cleaning, drift, encoding, features, imputation, profiling, reshape, roles, scaling
 from colsmith.operators.roles import CheckError
@@ -435,6 +436,33 @@ def test_wide_columns_are_refused_not_cut(spark):
         encoding.levels_of(df, ["c"], 20)
 
 
+@pytest.mark.parametrize("budget", [None, 0])
+def test_level_tables_code_like_dictionaries(spark, monkeypatch, budget):
+    """A column of any width is coded: with the limit at 5 levels all encoders keep tables, with the codes of the dictionaries."""
+    if budget is not None:
+        monkeypatch.setattr(lookup, "BROADCAST_BYTES", budget)
+    rows = [(f"k{i % 23 if i % 3 else 0}" if i % 11 else None, "few", float(i * 7 % 31), "abc"[i % 3]) for i in range(400)]
+    df = spark.createDataFrame(rows, "c string, d string, y double, z string")
+    new = spark.createDataFrame([("k3", "few", 0.0), ("k0", "few", 1.0), ("new", "other", 2.0), (None, None, 3.0)], "c string, d string, i double")
+    y, hit = F.col("y"), (F.col("y") > 12).cast("double")
+
+    def coded():
+        states = [encoding.fit_target(df, ["c", "d"], y), encoding.fit_shrinkage(df, ["c", "d"], y), encoding.fit_shrinkage(df, ["c", "d"], hit, binomial=True)]
+        many, codes = encoding.fit_target_multiclass(df, ["c", "d"], "z"), encoding.fit_label_codes(df, ["c", "d"])
+        outs = [encoding.apply_target(new, s) for s in states] + [encoding.apply_target_multiclass(new, many), encoding.apply_label_codes(new, codes)]
+        turned = encoding.closest_level(new.select(F.col("i").alias("c"), "d").withColumn("c", F.col("c") * 5), {"c": codes["c"]})
+        exact = encoding.inverse_value_map(encoding.apply_target(df.select("c", "y"), {"maps": {"c": states[0]["maps"]["c"]}, "default": {}}), {"c": states[0]["maps"]["c"]})
+        plain = [[tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in o.collect()] for o in [*outs, turned, exact]]
+        return [sorted(rows, key=repr) for rows in plain], states[0]["maps"]
+
+    want, maps = coded()
+    assert isinstance(maps["c"], dict)
+    monkeypatch.setattr(encoding, "TABLE_LEVELS", 5)
+    got, maps = coded()
+    assert isinstance(maps["c"], str) and isinstance(maps["d"], dict)
+    assert got == want
+
+
 def test_inverse_map_with_shared_codes():
     assert encoding.inverse_map({"b": 1.0, "a": 1.0, "c": 2.0}) == {1.0: "a", 2.0: "c"}
 
