@@ -1,6 +1,7 @@
 """Encoders, scalers and reduction."""
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import encoding, scaling
@@ -15,6 +16,14 @@ def one_hot(spark, d):
     return encoding.apply_one_hot(orders, encoding.fit_one_hot(orders, ["o_orderpriority"]))
 
 
+@register("one_hot_sparse", "SELECT o_orderkey, " + ", ".join(
+    f"(o_orderpriority = '{p}')::DOUBLE AS p{i}" for i, p in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "Unknown"))) + " FROM orders")
+def one_hot_sparse(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    coded = encoding.apply_one_hot_sparse(orders, encoding.fit_label_codes(orders, ["o_orderpriority"]))
+    return coded.select("o_orderkey", *[vector_to_array("o_orderpriority")[i].alias(f"p{i}") for i in range(6)])
+
+
 @register("label_encode", """
 WITH k AS (SELECT level, row_number() OVER (ORDER BY level) - 1 AS code FROM (SELECT DISTINCT o_orderstatus AS level FROM orders WHERE o_orderstatus <> 'F' UNION SELECT 'Unknown'))
 SELECT o_orderkey, code AS o_orderstatus FROM orders JOIN k ON level = CASE WHEN o_orderstatus = 'F' THEN 'Unknown' ELSE o_orderstatus END""")

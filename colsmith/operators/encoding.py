@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,6 +193,23 @@ def apply_one_hot(df: DataFrame, levels: Mapping[str, Sequence[str]], drop: bool
     return df.select(*rest, *made)
 
 
+def apply_one_hot_sparse(df: DataFrame, codes: Mapping[str, Mapping[str, int] | str]) -> DataFrame:
+    """Each column as a sparse indicator vector over its label codes (``fit_label_codes``), for columns too wide for a column a level.
+
+    A new level or null is all zero; the place of ``Unknown`` is set by that very level only.
+    """
+    spark = df.sparkSession
+    sizes = {c: spark.read.parquet(m.rpartition("#")[0]).count() if isinstance(m, str) else len(m) for c, m in codes.items()}
+    places = {c: f"__place{i}" for i, c in enumerate(codes)}
+    placed = map_values(df, codes, out=places, default=sizes)
+    # sizes come from the codes, not from the rows; the extra place of unseen levels is the last and dropped
+    largest = spark.createDataFrame([tuple(float(sizes[c] - 1) for c in codes)], T.StructType([T.StructField(p, T.DoubleType()) for p in places.values()]))
+    vectors = {p: f"{p}_vector" for p in places.values()}
+    model = OneHotEncoder(inputCols=list(vectors), outputCols=list(vectors.values()), handleInvalid="keep", dropLast=True).fit(largest)
+    made = model.transform(placed)
+    return made.select(*[F.col(vectors[places[c]]).alias(c) if c in codes else F.col(f"`{c}`") for c in df.columns])
+
+
 def fit_label_codes(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, int] | str]:
     """Codes by sorted level; ``Unknown`` takes part in the order and receives unseen levels."""
     out: dict[str, dict[str, int] | str] = {}

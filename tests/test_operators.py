@@ -423,6 +423,15 @@ def test_one_hot_ignores_new_levels(spark):
     assert out.columns == ["c_a", "c_b"] and [tuple(r) for r in out.collect()] == [(1, 0), (0, 0), (0, 0)]
 
 
+def test_sparse_one_hot_of_any_width(spark, monkeypatch):
+    df = spark.createDataFrame([("b", "x"), ("a", "y"), ("c", "x")], "c string, d string")
+    new = spark.createDataFrame([("c", "x"), ("zz", None), ("a", "y")], "c string, d string")
+    for limit in (10, 2):
+        monkeypatch.setattr(encoding, "TABLE_LEVELS", limit)
+        out = encoding.apply_one_hot_sparse(new, encoding.fit_label_codes(df, ["c", "d"]))
+        assert sorted((str(r.c), str(r.d)) for r in out.collect()) == sorted([("(4,[3],[1.0])", "(3,[1],[1.0])"), ("(4,[],[])", "(3,[],[])"), ("(4,[1],[1.0])", "(3,[2],[1.0])")])
+
+
 def test_label_codes_place_unknown_in_order(spark):
     codes = encoding.fit_label_codes(spark.createDataFrame([("A",), ("Z",)], "c string"), ["c"])
     assert codes == {"c": {"A": 0, "Unknown": 1, "Z": 2}}
