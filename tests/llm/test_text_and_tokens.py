@@ -450,5 +450,32 @@ def test_pages_without_an_article_lose_repeated_runs(spark, monkeypatch, chunk):
     assert got == expected
 
 
+@pytest.mark.parametrize("chunk", [30, 10**6])
+def test_main_text_of_other_pages_counts_as_repeated(spark, monkeypatch, chunk):
+    monkeypatch.setattr(html_text, "CHUNK_TOKENS", chunk)
+    rng = random.Random(15)
+    shared = "This run of words stands in an article of the same host"
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(10)]
+    rows = [(n, f"http://host.example/{n}", f"<article><p>{own[n]}</p><p>{shared if n == 3 else own[n][::-1]}</p></article>") for n in range(9)]
+    rows.append((9, "http://host.example/9", f"<p>{own[9]}</p><p>{shared}</p>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    assert got == {**{n: f"{own[n]}\n\n{shared if n == 3 else own[n][::-1]}" for n in range(9)}, 9: own[9]}
+
+
+def test_every_host_goes_through_the_suffix_arrays(spark, tmp_path, monkeypatch):
+    log, real = tmp_path / "tokens", html_text.repeated_starts
+
+    def noted(tokens, page, run):
+        with open(log, "a") as f:
+            f.write(f"{len(tokens)}\n")
+        return real(tokens, page, run)
+
+    monkeypatch.setattr(html_text, "repeated_starts", noted)
+    rows = [(n, f"http://h{n % 3}.example/{n}", f"<nav>a b c</nav><article>{'word ' * 10}</article>") for n in range(9)]
+    html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sum(map(int, log.read_text().split())) == 9 * 13
+
+
 def test_no_pages(spark):
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
