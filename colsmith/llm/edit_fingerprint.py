@@ -3,11 +3,13 @@
 All texts share one random walk rule: at walk time j on character c, a fixed random bit says whether to read the next
 character or this one again. Texts with few edits fall into step again after each edit, so edit distance becomes the
 number of times at which their walks read different characters. The fingerprint samples the walk at times chosen
-alike for all texts; bands of samples find near pairs, which are verified on the whole texts.
+alike for all texts; bands of samples find most near pairs, which are verified on the whole texts. Edits take walks out of
+step, so bands alone lose pairs with many edits; all texts of like length that are not joined by then are compared as well, where ``every_pair`` is set.
 """
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -376,23 +378,33 @@ def _tiles(rows: DataFrame, max_edits: float) -> DataFrame:
 
 
 def near_texts(docs: DataFrame, max_edits: float = 0.2, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS,
-               band_slots: int = BAND_SLOTS, seed: int = 1) -> DataFrame:
+               band_slots: int = BAND_SLOTS, seed: int = 1, every_pair: bool = True) -> DataFrame:
     """Links between near texts: ``text_sha256, near_sha256, edits`` with at most ``max_edits`` edits a character.
 
     Equal texts are one node (empty and null texts none). Nodes that share a band of sampled walk times meet, and are
     verified by edit distance on the whole texts. The links are enough to hang together whatever hangs together by the
     links among all that meet: each node is compared with the least digest of its band first, and only bands whose
-    members still belong to different components are then compared member by member, in tiles of bounded size.
+    members still belong to different components are then compared member by member, in tiles of bounded size. With
+    ``every_pair`` all texts whose lengths allow a link and whose components differ by then are compared in such tiles, so
+    the links hang together what all pairs by edit distance do; the work grows with the square of the texts of like
+    length. Without it, pairs that share no band are lost, most of those near ``max_edits`` (see the README).
     """
-    return _near_links(_text_nodes(docs, text_col), max_edits, bands, band_slots, seed)
+    nodes = _text_nodes(docs, text_col)
+    links = _near_links(nodes, max_edits, bands, band_slots, seed)
+    if not every_pair or max_edits <= 0:
+        return links
+    links = materialize(links, "band-links")
+    return links.unionByName(materialize(_other_links(nodes, links, max_edits), "other-links")).distinct()
 
 
-def near_text_classes(docs: DataFrame, max_edits: float = 0.2, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def near_text_classes(docs: DataFrame, max_edits: float = 0.2, id_col: str = "doc_id", text_col: str = "text", every_pair: bool = False,
+                      **options) -> DataFrame:
     """``id_col, text_sha256, class_sha256`` of every row; the class is the least digest that the text hangs together with.
 
+    By default texts meet in bands only; ``every_pair`` makes the classes those of all pairs by edit distance.
     Null texts count as empty; empty texts are one class. Null and repeated ids stay rows of their own.
     """
-    classes = components(near_texts(docs, max_edits, id_col, text_col, **options).select(F.col("text_sha256").alias("a"), F.col("near_sha256").alias("b")))
+    classes = components(near_texts(docs, max_edits, id_col, text_col, every_pair=every_pair, **options).select(F.col("text_sha256").alias("a"), F.col("near_sha256").alias("b")))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("text_sha256"))
     found = rows.join(classes.withColumnRenamed("node", "text_sha256"), "text_sha256", "left")
     return found.select(F.col("id").alias(id_col), "text_sha256", F.coalesce("root", "text_sha256").alias("class_sha256"))
@@ -403,6 +415,36 @@ def _text_nodes(docs: DataFrame, text_col: str) -> DataFrame:
     return materialize(rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.max("text").alias("text")), "texts")
 
 
+def _other_links(nodes: DataFrame, links: DataFrame, max_edits: float) -> DataFrame:
+    """New links among all texts, given links among some: blocks of a length class meet those of their own class and the next.
+
+    The shorter text of a link has ``1 - max_edits`` of the longer one's characters at least, which is a class's width.
+    """
+    roots = components(links.select(F.col("text_sha256").alias("a"), F.col("near_sha256").alias("b"))).withColumnRenamed("node", "digest")
+    n_chars = F.length("text")
+    width = -math.log(1 - max_edits) * (1 + 1e-9) if max_edits < 1 else None
+    kind = F.floor(F.log(n_chars) / width).cast("int") if width else F.lit(0)
+    sized = nodes.join(roots, "digest", "left").select("digest", F.coalesce("root", "digest").alias("root"), "text", n_chars.alias("n_chars"), kind.alias("kind"))
+    sized = materialize(sized, "sized")
+    blocks = F.ceil(F.greatest(F.sum("n_chars") / BLOCK_CHARS, F.count(F.lit(1)) / BLOCK_TEXTS)).cast("int")
+    # one row for each length class
+    counted = sorted((r.kind, r.blocks) for r in sized.groupBy("kind").agg(blocks.alias("blocks")).collect())
+    if not counted:
+        return links.limit(0)
+    first, rows, at = {}, [], 0
+    for k, n in counted:
+        first[k] = at
+        at += n
+    held = dict(counted)
+    for k, n in counted:
+        low, high = first.get(k - 1, first[k]), first[k] + n + held.get(k + 1, 0)
+        rows.append((k, first[k], n, low, high - 1))
+    classes = nodes.sparkSession.createDataFrame(rows, "kind int, first int, n int, low_block int, high_block int")
+    placed = sized.join(F.broadcast(classes), "kind").withColumn("block", F.col("first") + F.pmod(F.xxhash64("digest"), F.col("n")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence("low_block", "high_block"))).withColumn("band", F.lit("all"))
+    return _tiles(placed.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")), max_edits)
+
+
 def _near_links(nodes: DataFrame, max_edits: float, bands: int, band_slots: int, seed: int) -> DataFrame:
     prints = fingerprint_documents(nodes, "digest", "text", seed)
     size = band_slots * 2

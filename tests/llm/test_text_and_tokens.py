@@ -192,6 +192,36 @@ def test_near_texts_are_verified(spark):
     assert all(r.edits <= 2 for r in rows)
 
 
+@pytest.mark.parametrize("block", [4, 500])
+def test_near_text_classes_find_every_link_up_to_the_limit(spark, monkeypatch, block):
+    monkeypatch.setattr(edit_fingerprint, "BLOCK_TEXTS", block)
+    rng = random.Random(12)
+    texts = []
+    for _ in range(8):
+        text = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(100, 300))]
+        texts.append("".join(text))
+        for share in (0.02, 0.05, 0.1, 0.15, 0.19):
+            copy = list(text)
+            for _ in range(int(len(text) * share)):
+                at = rng.randrange(len(copy))
+                copy[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
+            texts.append("".join(copy))
+    group = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if group[a] != group[b] and edit_distance(texts[a], texts[b], int(max(len(texts[a]), len(texts[b])) * 0.2)) is not None:
+                    group[a] = group[b] = min(group[a], group[b])
+    rows = edit_fingerprint.near_text_classes(table(spark, texts), every_pair=True).collect()
+    got, want = {}, {}
+    for r in rows:
+        got.setdefault(r.class_sha256, set()).add(r.doc_id)
+    for n, g in enumerate(group):
+        want.setdefault(g, set()).add(n)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert max(map(len, got.values())) == 6
+
+
 def plain_edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
