@@ -2,7 +2,9 @@
 
 The unit is a gram: the shortest run of lines from a line on that holds ``min_words`` words (one line, mostly). A window
 is a run of grams, and the gram with the least hash of every window is selected, so that any repeated run of
-``sure_words`` words shares a selected gram in both places. Each selected gram carries the hashes of its neighbours up to
+``sure_words`` words shares a selected gram in both places. By default a window is one gram: all are selected, with those that end
+at each line, so that every line of a repeated run of ``min_words`` words lies in a gram of that run, which is looked up by itself
+wherever the rest of the run stands first. Each selected gram carries the hashes of its neighbours up to
 ``sure_words`` words either way, which reaches the next selected ones; comparing them with those of the gram's first
 place extends the match.
 """
@@ -20,14 +22,15 @@ from pyspark.sql import types as T
 from .store import materialize, slices, spare
 
 MIN_WORDS = 5
-SURE_WORDS = 10
+SURE_WORDS = 5
 
 
 def select_grams(lines: list[str], min_words: int = MIN_WORDS, sure_words: int = SURE_WORDS) -> tuple[list[bytes], list[int], list[tuple[int, int, bytes]]]:
     """Line hashes (of the line without outer white space), word counts, and (first line, last line, hash) of the selected grams.
 
     A window from a gram on reaches as far as it takes to hold ``sure_words - min_words + 1`` words. Behind the last gram
-    inside a run come fewer than ``min_words`` words of it, so a run of ``sure_words`` words holds a whole window.
+    inside a run come fewer than ``min_words`` words of it, so a run of ``sure_words`` words holds a whole window. Where windows
+    are single grams, the shortest runs of ``min_words`` words that end at each line are selected too.
     """
     hashes = [xxhash.xxh3_128_digest(line.strip().encode()) for line in lines]
     counts = [len(line.split()) for line in lines]
@@ -44,8 +47,17 @@ def select_grams(lines: list[str], min_words: int = MIN_WORDS, sure_words: int =
             end += 1
         if end == len(lines):
             break
-        grams.append((start, end, hashes[start] if start == end else xxhash.xxh3_128_digest(b"".join(hashes[start:end + 1]))))
+        grams.append((start, end, _mark(hashes, start, end)))
     need = max(min_words, sure_words - min_words + 1)
+    if need <= min_words:
+        spans = {(low, high) for low, high, _ in grams}
+        start = 0
+        for end, count in enumerate(counts):
+            while before[end + 1] - before[start + 1] >= min_words:
+                start += 1
+            if count and before[end + 1] - before[start] >= min_words and (start, end) not in spans:
+                grams.append((start, end, _mark(hashes, start, end)))
+        return hashes, counts, sorted(grams)
     chosen: set[int] = set()
     last = 0
     for first, gram in enumerate(grams):
@@ -59,6 +71,10 @@ def select_grams(lines: list[str], min_words: int = MIN_WORDS, sure_words: int =
     return hashes, counts, [grams[k] for k in sorted(chosen)]
 
 
+def _mark(hashes: list[bytes], start: int, end: int) -> bytes:
+    return hashes[start] if start == end else xxhash.xxh3_128_digest(b"".join(hashes[start:end + 1]))
+
+
 def _around(hashes: list[bytes], counts: list[int], at: int, step: int, words: int) -> bytes:
     """The first 8 hash bytes of the lines after (or before) ``at`` until they hold ``words`` words."""
     out, held = [], 0
@@ -81,8 +97,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, sure_words: int = S
     """``docs`` without later repeats of runs of lines; adds ``n_lines`` and ``removed_lines`` (underscores if taken).
 
     The first place by (id, text hash, line) of every line stays, so no content is lost. Lines compare without outer
-    white space. A repeated run of ``sure_words`` words or more is found and cut where it agrees with the first place of
-    its selected grams; runs of fewer than ``min_words`` words are never cut. Null ids come last; rows of equal id and text count as one document and are cut alike. A null text stays null, with 0 lines; an
+    white space. By default every line of a repeated run of ``min_words`` words is cut. With larger ``sure_words`` a run of as many
+    words is found and cut where it agrees with the first place of its selected grams; runs of fewer than ``min_words`` words are never cut. Null ids come last; rows of equal id and text count as one document and are cut alike. A null text stays null, with 0 lines; an
     empty text is one empty line; a text whose lines all go becomes empty.
     """
     def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -253,6 +253,21 @@ def test_line_dedup_guarantee_of_windows():
         assert any(0 <= low and high < 8 for low, high, _ in picks[0] & picks[1])
 
 
+def test_line_dedup_cuts_every_repeated_run(spark):
+    rng = random.Random(11)
+    short = [sentence(rng, rng.randint(1, 5)) for _ in range(15)]
+    texts = ["\n".join(rng.choice(short) if rng.random() < 0.7 else sentence(rng, rng.randint(1, 9)) for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    common = [sentence(rng, 5) for _ in range(12)]
+    # each line first stands among other neighbours; a repeated line of 5 words ends texts or is one
+    texts += [f"{sentence(rng, 7)}\n{line}\n{sentence(rng, 7)}" for line in common] + ["\n".join(common)] * 2
+    texts += [f"{sentence(rng, 9)}\nClick here to read more" for _ in range(3)] + ["Click here to read more"]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    gone = brute_lines(texts, 5)
+    for d, text in enumerate(texts):
+        assert got[d].text == "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone[d])
+    assert got[73].text == got[77].text == ""
+
+
 def test_line_dedup_edge_rows(spark):
     line = "one two three four five six"
     rows = line_dedup.dedup_lines(table(spark, [line, line, line, None, ""], [1, 1, None, 2, 3])).collect()
