@@ -144,13 +144,18 @@ class SegmentEncoder:
 
     Texts are cut where the pre-tokenizer always cuts, so the ids of a text are those of its segments in a row. New
     segments are joined to long texts (again at such places) and encoded there; byte lengths of the ids tell them apart.
+    With ``added_tokens`` the vocabulary's added tokens are found in texts, as the library does by default; texts that hold one
+    go through the library whole. Without, such literals are plain text.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, added_tokens: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.whole = Tokenizer.from_str(vocabulary)
+        self.literals = sorted(t.content for t in self.whole.get_added_tokens_decoder().values()) if added_tokens else []
+        # segments hold no added token, and parts of one are plain text
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
@@ -188,6 +193,21 @@ class SegmentEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` in a row, and the number of ids of each text."""
         texts = pa.compute.fill_null(texts, "")
+        holds = np.zeros(len(texts), bool)
+        for literal in self.literals:
+            holds |= pa.compute.match_substring(texts, literal).to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return self._encode(texts)
+        ids, sizes = self._encode(pa.compute.if_else(pa.array(holds), "", texts))
+        rows = np.flatnonzero(holds)
+        coded = [np.array(e.ids, ids.dtype) for e in self.whole.encode_batch_fast(texts.take(pa.array(rows)).to_pylist(), add_special_tokens=False)]
+        # these rows have no ids so far
+        before = (np.cumsum(sizes) - sizes)[rows]
+        ids = np.insert(ids, np.repeat(before, [len(c) for c in coded]), np.concatenate(coded))
+        sizes[rows] = [len(c) for c in coded]
+        return ids, sizes
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.forget()
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset: texts.offset + len(texts) + 1]
@@ -215,14 +235,14 @@ class SegmentEncoder:
 
 @functools.lru_cache(maxsize=2)
 def _encoder(vocabulary: str) -> SegmentEncoder:
-    return SegmentEncoder(vocabulary)
+    return SegmentEncoder(vocabulary, added_tokens=True)
 
 
 # ---- writing and reading ---------------------------------------------------------------------------------------------
 
 def write_token_files(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
                       vocabulary: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> str:
-    """Encode every whole text, append ``end_id`` and write blocks in rising id order; returns the path.
+    """Encode every whole text as the tokenizers library does by default (added tokens in texts are found), append ``end_id`` and write blocks in rising id order; returns the path.
 
     Null ids come first, texts of equal ids follow in the order of a hash of the text and then the text itself; a null
     text is empty and holds the end id alone. Documents are range-partitioned by id; a partition's blocks hold about

@@ -103,6 +103,22 @@ def test_token_files_round_trip(spark, tmp_path, block):
     assert one.doc(0).tolist() == reference_ids(texts)[0] + [0]
 
 
+def test_token_files_find_added_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
+    rng = random.Random(16)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny", "<|endoftext", None, "", *odd_texts(17, 20)]
+    texts += [a + "<|endoftext|>" + b for a, b in zip(odd_texts(18, 40), odd_texts(19, 40))]
+    rng.shuffle(texts)
+    path = token_files.write_token_files(table(spark, texts), str(tmp_path / "files"))
+    rows = {r.doc_id: r for r in token_files.read_token_files(spark, path).collect()}
+    at = 0
+    for n, text in enumerate(texts):
+        expected = plain.encode(text or "", add_special_tokens=False).ids + [0]
+        assert (rows[n].start, np.frombuffer(rows[n].ids, "<u4").tolist()) == (at, expected)
+        at += len(expected)
+
+
 def test_token_files_edge_tables(spark, tmp_path):
     path = token_files.write_token_files(table(spark, ["a b", "a b", "c"], [None, None, 3]), str(tmp_path / "a"))
     rows = token_files.token_summary(spark, path).orderBy("start").collect()
