@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, edit_fingerprint, exact_dedup, html_text, language, licenses, line_dedup, mixing, ngram_join, token_files)
+from . import (bpe, edit_fingerprint, exact_dedup, hard_negatives, html_text, language, licenses, line_dedup, mixing, ngram_join, token_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,32 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Every place of a document that holds a license notice."""
     return licenses.scan_licenses(_documents(spark, folder))
+
+
+OP13_SQL = """
+WITH used AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, c.label = a.label AS same, CAST(list_inner_product(a.vec, c.vec) AS BIGINT) AS score
+  FROM used a, used c WHERE a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) AS INTEGER) AS "rank",
+       n.id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+WHERE 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+QUALIFY "rank" <= 5
+"""
+
+
+@query(OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector against all vectors."""
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(rows, label_col=label)
