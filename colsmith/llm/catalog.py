@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, edit_fingerprint, exact_dedup, hard_negatives, html_text, language, licenses, line_dedup, mixing, ngram_join, token_files)
+from . import (bpe, edit_fingerprint, exact_dedup, hard_negatives, html_text, language, licenses, line_dedup, mixing, ngram_join, packing, token_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,6 +134,12 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(_documents(spark, folder))
 
 
+@query()
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document in full windows of 2,048 tokens."""
+    return packing.pack_documents(_documents(spark, folder), with_ids=False)
+
+
 OP13_SQL = """
 WITH used AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
