@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, edit_fingerprint, exact_dedup, hard_negatives, html_text, language, licenses, line_dedup, mixing, ngram_join, packing, token_files)
+from . import (bpe, edit_fingerprint, exact_dedup, hard_negatives, html_text, language, licenses, line_dedup, mixing, ngram_join, packing, spelling, token_files)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,6 +140,47 @@ def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, folder), with_ids=False)
 
 
+OP12_SQL = """
+WITH RECURSIVE
+steps AS (SELECT n, 0 AS k, n AS v FROM range(256) r(n)
+          UNION ALL SELECT n, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS t FROM steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run
+  FROM documents),
+kinds AS (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (
+  SELECT k.*, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c)::BIGINT // 64, 128 + unicode(c)::BIGINT % 64] END))),
+      lambda a, b: xor(t[xor(a & 255, b) + 1]::BIGINT, a >> 8)), 4294967295) AS h
+  FROM kinds k, crc),
+words AS (
+  SELECT word, sum(times)::BIGINT AS n
+  FROM (SELECT times, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+cut AS (SELECT word, n, i, left(word, i::INTEGER - 1) || substr(word, i::INTEGER + 1) AS less FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+shorter AS (SELECT DISTINCT c.word AS big, c.n AS big_n, w.word AS small, w.n AS small_n FROM cut c JOIN words w ON c.less = w.word),
+near AS (
+  SELECT big AS word, small AS near, small_n AS near_n FROM shorter UNION ALL SELECT small, big, big_n FROM shorter
+  UNION ALL SELECT a.word, b.word, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.less = b.less AND length(a.word) = length(b.word) AND a.word <> b.word),
+best AS (SELECT word, count(*)::BIGINT AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n)::BIGINT AS near_n FROM near GROUP BY word),
+told AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+paths AS (SELECT word, word AS root FROM told UNION ALL SELECT p.word, t.form FROM paths p JOIN told t ON p.root = t.word WHERE t.form IS NOT NULL),
+ends AS (SELECT p.word, p.root FROM paths p JOIN told t ON p.root = t.word WHERE t.form IS NULL)
+SELECT t.word, t.form, e.root, t.n, t.n_near, t.form_n FROM told t JOIN ends e ON t.word = e.word
+"""
+
+
+@query(OP12_SQL)
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that are one edit apart, and the form and root that each is a variant of."""
+    words = spelling.count_words(_documents(spark, folder), change=spelling.delete_letter(97), id_col="doc_id")
+    return spelling.group_variants(words)
+
+
 OP13_SQL = """
 WITH used AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
