@@ -184,6 +184,28 @@ def candidate_filter(spark, d):
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
+# turned where the other side is null: ranks of the whole column and ranks of the common rows tell different stories
+HOLES = {"price": ("l_extendedprice", "l_linenumber <> 1"), "turned": ("CASE WHEN l_linenumber = 1 THEN -l_extendedprice ELSE l_extendedprice END", "l_linenumber <> 2"),
+         "net": ("l_extendedprice * (1 - l_discount)", "l_linenumber <> 1"), "quantity": ("l_quantity", "l_linenumber <> 3"),
+         "square": ("l_quantity * l_quantity", "l_linenumber < 6"), "discount": ("l_discount", "l_orderkey % 5 <> 0"),
+         "prod": ("l_discount * l_extendedprice", "l_orderkey % 5 <> 0"), "mix": ("l_tax + l_discount", "l_orderkey % 3 <> 0"), "tax": ("l_tax", "true")}
+
+
+def _holes_sql(cols: list[str], width: int) -> str:
+    rho = " UNION ALL ".join(f"""SELECT '{b}' AS feature, abs(corr(x, y)) AS r FROM (SELECT {_rank(a)} x, {_rank(b)} y FROM h WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+                             for a, b in combinations(cols, 2))
+    return f"SELECT {width} AS width, feature FROM ({rho}) GROUP BY feature HAVING max(r) <= 0.9"
+
+
+@register("candidate_filter_nulls", "WITH h AS (SELECT " + ", ".join(f"CASE WHEN {ok} THEN {x} END AS {c}" for c, (x, ok) in HOLES.items()) + " FROM lineitem) "
+          + _holes_sql(list(HOLES)[:6], 6) + " UNION ALL " + _holes_sql(list(HOLES)[:7], 7) + " UNION ALL " + _holes_sql(list(HOLES), 9))
+def candidate_filter_nulls(spark, d):
+    """Columns with nulls in different rows: the verdict on a column is the same beside six, seven or nine others."""
+    holed = table(spark, d, "lineitem").select(*[F.expr(f"CASE WHEN {ok} THEN {x} END").alias(c) for c, (x, ok) in HOLES.items()])
+    rows = [(width, c) for width in (6, 7, 9) for c in association.candidate_filter(holed, list(HOLES)[1:width], list(HOLES)[:1])]
+    return spark.createDataFrame(rows, "width int, feature string")
+
+
 # ---- drift --------------------------------------------------------------------------------
 
 # a category with a label-dependent and a time-dependent share, so that drift is visible

@@ -1,7 +1,6 @@
 """Association between columns: Pearson, Spearman, Cramer's V, correlation ratio."""
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
@@ -12,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import collect_stats, distinct_counts
-from ..functions.lookup import broadcast_fits, level_lookup
-from ..functions.ordered import ROWS_PER_RANGE, average_ranks
-from ..session import cut_lineage
+from ..functions.ordered import ROWS_PER_RANGE
+from .ranks import pairwise_spearman, rank_bounds
 
 _NARROW = 16
 
@@ -132,62 +130,9 @@ def top_correlated(df: DataFrame, cols: Sequence[str], target: str, k: int = 3)
     return base.filter(F.col("r").isNotNull()).orderBy(F.desc(F.abs("r")), "feature").limit(k)
 
 
-def rank_columns(rows: DataFrame, cols: Sequence[str], weight: str, rows_per_range: int = ROWS_PER_RANGE,
-                 kept: list[DataFrame] | None = None) -> DataFrame:
-    """``weight`` and the average rank of every value, as ``__rank_<position>`` columns.
-
-    ``rows`` are distinct value combinations with their number of copies. Each column is reduced
-    to its distinct values and counts; ranks are running counts over those, looked up by a
-    broadcast or hot-value-safe join. Count tables are persisted and listed in ``kept`` for the
-    caller to release.
-    """
-    total, *sizes = rows.agg(F.sum(weight), *[F.approx_count_distinct(c) for c in cols]).first()
-    out = rows
-    for i, c in enumerate(cols):
-        counts = rows.groupBy(c).agg(F.sum(weight).alias("__n"))
-        if kept is not None:
-            kept.append(counts.persist(StorageLevel.MEMORY_AND_DISK))
-        ranks = average_ranks(counts, c, out=f"__rank_{i}", count="__n", rows_per_range=rows_per_range)
-        small = broadcast_fits(sizes[i], 1)
-        out = level_lookup(out if small else cut_lineage(out), ranks, c, "__n", total, small)
-    return out.select(weight, *[f"__rank_{i}" for i in range(len(cols))])
-
-
 def spearman(df: DataFrame, cols: Sequence[str], rows_per_range: int = ROWS_PER_RANGE) -> dict[tuple[str, str], float | None]:
-    """Rank correlations of all pairs, each over the rows that are complete for the pair.
-
-    Columns that are never null share one set of ranks; a pair with a null somewhere is ranked on its own rows.
-    """
-    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)]).first()
-    whole = [c for i, c in enumerate(cols) if counts[f"c{i}"] == counts["n"]]
-    found = _complete_spearman(df, whole, rows_per_range) if len(whole) > 1 else {}
-    return {(a, b): found[a, b] if (a, b) in found else _complete_spearman(df, [a, b], rows_per_range)[a, b] for a, b in combinations(cols, 2)}
-
-
-def _complete_spearman(df: DataFrame, cols: Sequence[str], rows_per_range: int) -> dict[tuple[str, str], float | None]:
-    """Rank correlations over the rows without a null in any of the columns."""
-    full = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
-    names = full.columns
-    # copies collapse before anything is joined, however many there are
-    rows = full.groupBy(*names).agg(F.count(F.lit(1)).alias("__w")).persist(StorageLevel.MEMORY_AND_DISK)
-    kept = [rows]
-    try:
-        ranked = rank_columns(rows, names, "__w", rows_per_range, kept)
-        pairs = list(combinations(range(len(cols)), 2))
-        w, r = F.col("__w"), [F.col(f"__rank_{i}") for i in range(len(cols))]
-        # the mean rank is known to be (n + 1) / 2
-        n = rows.agg(F.sum("__w")).first()[0] or 0
-        mid = [x - (n + 1) / 2 for x in r]
-        made = ranked.agg(*[F.sum(w * m * m).alias(f"s{i}") for i, m in enumerate(mid)],
-                          *[F.sum(w * mid[i] * mid[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    finally:
-        for held in kept:
-            held.unpersist()
-
-    def rho(i: int, j: int) -> float | None:
-        scale = (made[f"s{i}"] or 0.0) * (made[f"s{j}"] or 0.0)
-        return made[f"c{i}_{j}"] / math.sqrt(scale) if scale > 0 else None
-    return {(cols[i], cols[j]): rho(i, j) for i, j in pairs}
+    """Rank correlations of all pairs, each over the rows that are complete for the pair."""
+    return pairwise_spearman(df, list(combinations(cols, 2)), rows_per_range)
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -287,57 +232,46 @@ def correlated_columns(df: DataFrame, nominal: Sequence[str], numeric: Sequence[
 
 
 def binned_rank_correlations(df: DataFrame, cols: Sequence[str], bins: int = 200) -> dict[tuple[str, str], float | None]:
-    """Rank correlations from per-column quantile grids: no row is shuffled.
+    """Pairwise-complete rank correlations from per-column quantile grids: no row is shuffled.
 
-    A value's rank is the middle of the grid positions it covers, so a repeated value gets the
-    average rank of its copies. Spreading ranks over a grid cell changes a correlation by about
-    ``1 / bins ** 2``; what remains is the rank error of the quantile sketch, 2.5e-4.
+    Values between two grid values share their mean rank, which changes a correlation by about ``1 / bins ** 2``; columns
+    of at most ``bins`` values are exact.
     """
-    probs = [i / bins for i in range(bins + 1)]
-    data = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
-    grids: list[np.ndarray] = []
-    for at in range(0, len(cols), 40):
-        block = range(at, min(at + 40, len(cols)))
-        row = data.agg(*[F.percentile_approx(F.when(~F.isnan(f"x{i}"), F.col(f"x{i}")), probs, 20 * bins).alias(f"q{i}") for i in block]).first()
-        grids += [np.asarray(row[f"q{i}"] or [0.0], dtype=float) for i in block]
-
-    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for i, grid in enumerate(grids):
-                v = np.asarray(batch.column(i).to_numpy(zero_copy_only=False), dtype=float)
-                r = (np.searchsorted(grid, v, "left") + np.searchsorted(grid, v, "right")) / 2.0
-                made.append(pa.array(r, mask=~np.isfinite(v)))
-            yield pa.record_batch(made, names=[f"x{i}" for i in range(len(grids))])
-
-    ranked = data.mapInArrow(ranks, ", ".join(f"x{i} double" for i in range(len(cols))))
-    matrix = correlation_matrix(ranked, ranked.columns, np.full(len(cols), bins / 2.0))
-    return {(cols[i], cols[j]): None if np.isnan(matrix[i, j]) else float(matrix[i, j])
-            for i in range(len(cols)) for j in range(i + 1, len(cols))}
+    out: dict[tuple[str, str], float | None] = {}
+    for block in rank_bounds(df, cols, bins):
+        for i, a in enumerate(block.left):
+            for j, b in enumerate(block.right):
+                if a < b:
+                    out[cols[a], cols[b]] = None if np.isnan(block.estimate[i, j]) else float(block.estimate[i, j])
+    return out
 
 
 def candidate_filter(df: DataFrame, candidates: Sequence[str], originals: Sequence[str], threshold: float = 0.9,
-                     method: str = "spearman", margin: float = 0.002) -> list[str]:
-    """Candidates not strongly rank-correlated with an original or an earlier candidate.
+                     method: str = "spearman") -> list[str]:
+    """Candidates not strongly correlated with an original or an earlier candidate, each pair over its complete rows.
 
-    Many columns are screened with binned ranks; the pairs near the threshold, where binning
-    could change the verdict, are settled with exact ranks.
+    By ranks, bounds from quantile grids settle most pairs at any number of columns; pairs whose bounds enclose the
+    threshold are ranked exactly. Only pairs that may exceed the threshold are kept on the driver.
     """
     cols = [*originals, *candidates]
     if not candidates:
         return []
     if method != "spearman":
         found = correlations(df, list(combinations(cols, 2)))
-    elif len(cols) <= 6:
-        found = spearman(df, cols)
+        strong = {b for (_, b), r in found.items() if r is not None and abs(r) > threshold}
     else:
-        found = binned_rank_correlations(df, cols)
-        certain = {b for (_, b), r in found.items() if r is not None and abs(r) > threshold + margin}
-        for (a, b), r in found.items():
-            if b in candidates and b not in certain and r is not None and abs(abs(r) - threshold) <= margin:
-                found[a, b] = spearman(df, [a, b])[a, b]
-    kept = []
-    for i, c in enumerate(cols):
-        if i >= len(originals) and not any(abs(found[b, c] or 0.0) > threshold for b in cols[:i]):
-            kept.append(c)
-    return kept
+        above: set[int] = set()
+        unsure: list[tuple[int, int]] = []
+        for block in rank_bounds(df, cols):
+            rows, places = np.nonzero(block.high > threshold)
+            for i, j in zip(rows.tolist(), places.tolist()):
+                a, b = block.left[i], block.right[j]
+                if a >= b or b < len(originals):
+                    continue
+                if block.low[i, j] > threshold:
+                    above.add(b)
+                else:
+                    unsure.append((a, b))
+        exact = pairwise_spearman(df, [(cols[a], cols[b]) for a, b in unsure if b not in above])
+        strong = {cols[b] for b in above} | {b for (_, b), r in exact.items() if r is not None and abs(r) > threshold}
+    return [c for c in candidates if c not in strong]

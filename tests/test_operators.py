@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from colsmith.functions import lookup
 from colsmith.functions import tests_of_fit as tof
-from colsmith.operators import association, cleaning, drift, encoding, features, imputation, profiling, reshape, roles, scaling
+from colsmith.operators import association, cleaning, drift, encoding, features, imputation, profiling, ranks, reshape, roles, scaling
 from colsmith.operators.roles import CheckError
 
 
@@ -206,7 +206,7 @@ def test_correlation_matrix_is_pairwise_complete(spark, frame):
 @pytest.mark.parametrize("wide", [False, True])
 def test_spearman_equals_pandas(spark, frame, wide, monkeypatch):
     if wide:        # the path for columns with too many levels to broadcast
-        monkeypatch.setattr(association, "broadcast_fits", lambda *_: False)
+        monkeypatch.setattr(ranks, "broadcast_fits", lambda *_: False)
     full = frame.dropna()
     got = association.spearman(spark.createDataFrame(full).repartition(5), list(full), rows_per_range=100)
     want = full.corr("spearman")
@@ -556,6 +556,73 @@ def test_spearman_is_pairwise(spark):
     assert all(v == pytest.approx(want.loc[p]) for p, v in got.items())
 
 
+def holed_frame(n=700, seed=8):
+    """Columns that share null masks, columns with their own, ties, a constant and one without any value."""
+    rng = np.random.default_rng(seed)
+    a = rng.normal(size=n)
+    data = pd.DataFrame({"a": a, "b": a + rng.normal(size=n) * 0.2, "c": np.where(np.arange(n) % 3 == 0, -5 * a, a), "d": rng.integers(0, 5, n).astype(float),
+                         "e": rng.normal(size=n) + a, "f": np.exp(a), "k": 4.0, "none": np.nan})
+    data.loc[np.arange(n) % 3 == 0, ["a", "f"]] = np.nan
+    data.loc[np.arange(n) % 7 == 0, "b"] = np.nan
+    data.loc[rng.random(n) < 0.3, "d"] = np.nan
+    return data
+
+
+def as_table(spark, data):
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in data.to_numpy()]
+    return spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data)).repartition(5)
+
+
+def test_null_groups(spark):
+    data = holed_frame()
+    got = ranks.null_groups(as_table(spark, data))
+    masks = [tuple(data[c].isna()) for c in data]
+    assert [[x == y for y in got] for x in got] == [[x == y for y in masks] for x in masks]
+    assert got[list(data).index("c")] == got[list(data).index("k")] == 0
+
+
+@pytest.mark.parametrize("together", [20, 2])
+def test_pairwise_spearman_of_many_columns(spark, together, monkeypatch):
+    monkeypatch.setattr(ranks, "COLUMNS_TOGETHER", together)
+    monkeypatch.setattr(ranks, "FEW_PAIRS", 40 if together == 20 else 0)
+    data = holed_frame()
+    got, want = association.spearman(as_table(spark, data), list(data), rows_per_range=200), data.corr("spearman")
+    assert len(got) == 28
+    for pair, r in got.items():
+        assert (r is None) == np.isnan(want.loc[pair]) and (r is None or r == pytest.approx(want.loc[pair], abs=1e-9)), pair
+
+
+@pytest.mark.parametrize("bins,block", [(200, 2000), (8, 2000), (8, 3)])
+def test_rank_bounds_hold(spark, bins, block, monkeypatch):
+    monkeypatch.setattr(ranks, "BLOCK_COLUMNS", block)
+    data = holed_frame()
+    want = data.corr("spearman").to_numpy()
+    seen = set()
+    for part in ranks.rank_bounds(as_table(spark, data), list(data), bins):
+        for i, a in enumerate(part.left):
+            for j, b in enumerate(part.right):
+                seen.add((min(a, b), max(a, b)))
+                if np.isnan(want[a, b]):
+                    assert not part.high[i, j] > 0.0 or bins == 8
+                else:
+                    assert part.low[i, j] - 1e-9 <= abs(want[a, b]) <= part.high[i, j] + 1e-9
+                    assert abs(part.estimate[i, j] - want[a, b]) < (5e-3 if bins == 200 else 0.2)
+    assert len(seen) == 36
+
+
+def test_candidate_verdicts_do_not_depend_on_width(spark):
+    data = holed_frame()
+    want = data.corr("spearman").abs()
+    df = as_table(spark, data)
+    verdicts = {}
+    for cols in (["a", "c"], ["a", "c", "b", "d", "e"], ["a", "c", "b", "d", "e", "f", "k", "none"]):
+        kept = association.candidate_filter(df, cols[1:], cols[:1], threshold=0.9)
+        assert kept == [c for n, c in enumerate(cols) if n and not any(want.loc[b, c] > 0.9 for b in cols[:n])]
+        verdicts[len(cols)] = "c" in kept
+    # b is a copy of a where both are there, whatever stands elsewhere
+    assert set(verdicts.values()) == {False}
+
+
 def test_null_shares_count_as_drift(spark):
     train = spark.createDataFrame([("x",)] * 10, "c string")
     test = spark.createDataFrame([("x",)] * 5 + [(None,)] * 5, "c string")
