@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, features, imputation, profiling, roles
+from ..operators import cleaning, features, groups, imputation, profiling, roles
 from ..session import table
 from .registry import LINE_NUMERIC, TEST_SQL, TRAIN_SQL, line_halves, register, rounded
 
@@ -201,6 +201,30 @@ def group_aggregates(spark, d):
     return rounded(out.drop("l_returnflag", "l_suppkey", "l_extendedprice", "l_quantity"), 4)
 
 
+FITTED_CATS = ["l_orderkey", "l_suppkey", "l_returnflag"]
+FITTED = {"mean": "avg({x})", "std": "stddev_samp({x})", "span": "max({x}) - min({x})"}
+
+
+def _fitted_sql() -> str:
+    cols, joins = [], []
+    for c in FITTED_CATS:
+        aggs = ", ".join(f"{f.format(x=x)} AS {x}_{a}" for a, f in FITTED.items() for x in ("price", "size"))
+        joins.append(f"LEFT JOIN (SELECT {c}, {aggs} FROM a GROUP BY {c}) t_{c} ON t.{c} = t_{c}.{c}")
+        cols += [f"round(coalesce(t_{c}.{x}_{a}, (SELECT {f.format(x=x)} FROM a)), 6) AS {c}_{x}_groupBy_{a}" for a, f in FITTED.items() for x in ("price", "size")]
+    logs = "*, ln(l_extendedprice) AS price, sqrt(l_quantity) AS size"
+    return f"WITH a AS (SELECT {logs} FROM ({TRAIN_SQL})), t AS ({TEST_SQL}) SELECT t.l_orderkey, t.l_linenumber, {', '.join(cols)} FROM t " + " ".join(joins)
+
+
+@register("group_features_fitted", _fitted_sql())
+def group_features_fitted(spark, d):
+    """What the levels' train rows say about test rows: one column wide enough for a stored table of levels, one aggregate of one's own."""
+    train, test = line_halves(spark, d)
+    train = train.withColumns({"price": F.log("l_extendedprice"), "size": F.sqrt("l_quantity")})
+    state = groups.fit_groups(train, FITTED_CATS, ["price", "size"], list(FITTED), {"span": lambda x: F.max(x) - F.min(x)})
+    made = groups.apply_groups(test, state)
+    return rounded(made.select("l_orderkey", "l_linenumber", *[n for g in state.values() for n in g["default"]]), 6)
+
+
 # ---- column checks ------------------------------------------------------------------------
 
 @register("constant_columns", """

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.lookup import LITERAL_LEVELS, broadcast_fits, level_lookup
 from ..functions.ordered import ordered_scan
-from ..session import shared_table
+from ..session import cut_lineage, shared_table
 
 UNSEEN = "Unknown"
 #: Levels of one column that a fitted state holds as a dictionary; wider columns become a table of levels.
@@ -83,6 +83,8 @@ def map_many(df: DataFrame, lookups: Sequence[tuple[str, str, Mapping, object]])
     for i, ((source, path), group) in enumerate(stored.items()):
         levels = df.sparkSession.read.parquet(path)
         levels = levels.select(F.col("level").alias(f"__t{i}"), F.col("n").alias(f"__n{i}"), *[F.col(c).alias(f"__x{i}_{j}") for j, (_, c, _) in enumerate(group)])
+        if i:
+            df = cut_lineage(df)            # a wide lookup reads its input twice: do not nest that
         df = _looked_up(df.withColumn(f"__t{i}", F.col(f"`{source}`").cast("string")), levels, f"__t{i}", f"__n{i}")
         for j, (name, _, base) in enumerate(group):
             made[name] = F.coalesce(F.col(f"__x{i}_{j}"), F.lit(base).cast(levels.schema[f"__x{i}_{j}"].dataType))
@@ -97,7 +99,7 @@ def _looked_up(df: DataFrame, levels: DataFrame, key: str, count: str) -> DataFr
     return level_lookup(df, levels, key, count, size["rows"] or 0, small)
 
 
-def _store(levels: DataFrame) -> str:
+def store_levels(levels: DataFrame) -> str:
     """The path of a new table of ``level, n`` and values."""
     return shared_table(levels, "levels", levels.sparkSession.conf.get("colsmith.levels.dir", None))
 
@@ -222,7 +224,7 @@ def fit_label_codes(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, i
         unseen = df.sparkSession.createDataFrame([(UNSEEN, 0)], "level string, n long")
         levels = counts.unionByName(unseen).groupBy("level").agg(F.sum("n").alias("n"))
         numbered = ordered_scan(levels, ["level"], row_number="rank")
-        out[c] = _store(numbered.select("level", "n", (F.col("rank") - 1).alias("v0"))) + "#v0"
+        out[c] = store_levels(numbered.select("level", "n", (F.col("rank") - 1).alias("v0"))) + "#v0"
     return out
 
 
@@ -264,14 +266,6 @@ def wide_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [c for c, d in zip(cols, found) if d > TABLE_LEVELS]
 
 
-def check_width(df: DataFrame, cols: Sequence[str]) -> None:
-    # level tables come to the driver as fitted state, so count them first
-    wide = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first().asDict() if cols else {}
-    over = [c for c, d in wide.items() if d > FEW_LEVELS]
-    if over:
-        raise ValueError(f"columns {over} have more than {FEW_LEVELS} levels; combine rare levels first")
-
-
 def smoothing(n: float, k: float, f: float) -> float:
     from math import exp
     return 1.0 / (1.0 + exp(min(700.0, -(n - k) / f)))
@@ -286,7 +280,7 @@ def fit_target(df: DataFrame, cols: Sequence[str], target: Column, k: float = 20
     """Level -> mean of the target pulled to the overall mean by a sigmoid of the level count."""
     stats, total = _level_stats(df, cols, {"y": target})
     prior = total["y"]
-    maps = {c: _store(rows.filter("m0 is not null").select("level", "n", _smoothed("m0", prior, k, f).alias("v0"))) + "#v0" if isinstance(rows, DataFrame)
+    maps = {c: store_levels(rows.filter("m0 is not null").select("level", "n", _smoothed("m0", prior, k, f).alias("v0"))) + "#v0" if isinstance(rows, DataFrame)
             else {r["level"]: prior + (r["m0"] - prior) * smoothing(r["n"], k, f) for r in rows if r["m0"] is not None}
             for c, rows in stats.items()}
     return {"maps": maps, "default": dict.fromkeys(cols, prior)}
@@ -305,7 +299,7 @@ def fit_target_multiclass(df: DataFrame, cols: Sequence[str], label: str, k: flo
     maps: dict[str, dict] = {}
     for c, rows in stats.items():
         if isinstance(rows, DataFrame):
-            path = _store(rows.select("level", "n", *[_smoothed(f"m{i}", prior[y], k, f).alias(f"v{i}") for i, y in enumerate(classes)]))
+            path = store_levels(rows.select("level", "n", *[_smoothed(f"m{i}", prior[y], k, f).alias(f"v{i}") for i, y in enumerate(classes)]))
             maps[c] = {y: f"{path}#v{i}" for i, y in enumerate(classes)}
         else:
             maps[c] = {y: {r["level"]: prior[y] + (r[f"m{i}"] - prior[y]) * smoothing(r["n"], k, f) for r in rows} for i, y in enumerate(classes)}
@@ -331,7 +325,7 @@ def fit_shrinkage(df: DataFrame, cols: Sequence[str], target: Column, binomial:
     default: dict[str, float] = {}
     for c, rows in stats.items():
         if isinstance(rows, DataFrame):
-            path = _store(_shrunk(rows.filter("n > 0"), binomial))
+            path = store_levels(_shrunk(rows.filter("n > 0"), binomial))
             maps[c] = f"{path}#v0"
             default[c] = df.sparkSession.read.parquet(path).agg(F.max_by("v0", F.struct("n", "level"))).first()[0]
             continue

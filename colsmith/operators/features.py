@@ -357,8 +357,9 @@ def group_tables(df: DataFrame, cats: Sequence[str], nums: Sequence[str], aggs:
 
 
 def group_aggregates(df: DataFrame, cats: Sequence[str], nums: Sequence[str],
-                     aggs: Sequence[str] = ("max", "min", "mean", "std"), source: DataFrame | None = None) -> DataFrame:
-    """Every row with the aggregates of its levels.
+                     aggs: Sequence[str] = ("max", "min", "mean", "std"), source: DataFrame | None = None,
+                     functions: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Every row with the aggregates of its levels; ``functions`` names further aggregates as functions of a column.
 
     A window would move every wide row to the task of its level; instead the level tables
     (map-side combined) are looked up, by broadcast when their counted size is small.
@@ -366,7 +367,7 @@ def group_aggregates(df: DataFrame, cats: Sequence[str], nums: Sequence[str],
     base = df if source is None else source
     sizes = base.agg(F.count(F.lit(1)).alias("__rows"), *[F.approx_count_distinct(c).alias(c) for c in cats]).first()
     small = {c: broadcast_fits(sizes[c], len(nums) * len(aggs)) for c in cats}
-    tables = group_tables(base, cats, nums, aggs)
+    tables = group_tables(base, cats, nums, aggs, functions)
     wide_seen = False
     for c in sorted(cats, key=lambda x: not small[x]):
         if not small[c] and wide_seen:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import association, cleaning, drift, encoding, features, imputation, modeling, roles, scaling, selection
+from ..operators import association, cleaning, drift, encoding, features, groups, imputation, modeling, roles, scaling, selection
 from ..operators.reshape import duplicate_features
 from ..operators.roles import BINARY, REGRESSION, CheckError
 from .mold import Mold, setup
@@ -87,11 +87,12 @@ def _pick(df: DataFrame, candidates: Sequence[str], natives: Sequence[str], labe
 
 
 def fit(train: DataFrame, label: str, test: DataFrame | None = None, types: Mapping[str, str] | None = None,
-        key: Sequence[str] = (), **params) -> Mold:
+        key: Sequence[str] = (), functions: groups.Functions | None = None, **params) -> Mold:
     """Learn the whole preparation from a train table (and an optional test table for drift).
 
     ``key`` names columns that identify a row: they order equal timestamps and stay out of the
-    features unless ``types`` lists them.
+    features unless ``types`` lists them. ``functions`` names aggregates of one's own for the
+    setting ``groupby``; the mold keeps their values, so replaying does not need them.
     """
     params = setup(**params)
     if label not in train.columns:
@@ -110,7 +111,7 @@ def fit(train: DataFrame, label: str, test: DataFrame | None = None, types: Mapp
 
     typed = _typed(train, types, layouts, label, problem, key).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        synthesis = _fit_synthesis(typed, label, problem, types, layouts, key, params)
+        synthesis = _fit_synthesis(typed, label, problem, types, layouts, key, params, functions)
     finally:
         typed.unpersist()
     synthesis["unique_label"] = None if problem == REGRESSION else encoding.levels_of(train, [label], 1000)[label]
@@ -135,7 +136,7 @@ def fit(train: DataFrame, label: str, test: DataFrame | None = None, types: Mapp
 
 
 def _fit_synthesis(typed: DataFrame, label: str, problem: str, types: Mapping[str, str], layouts: Mapping[str, str],
-                   key: Sequence[str], params: Mapping) -> dict:
+                   key: Sequence[str], params: Mapping, functions: groups.Functions | None = None) -> dict:
     conserve = list(params["conserve_columns"])
     drop_key = [c for c in key if c not in types]
     series = bool(params["time_series"] and layouts)
@@ -210,22 +211,14 @@ def _fit_synthesis(typed: DataFrame, label: str, problem: str, types: Mapping[st
             state["roots"] = roots
             state["unary"] = [alias[a] for a in _pick(wide, kept, numeric, label, problem, params)]
         if params["groupby"] and nominal:
-            encoding.check_width(rare, nominal)        # level tables become fitted state
-            tables = features.group_tables(rare, nominal, numeric, params["groupby"])
-            wide = features.group_aggregates(rare, nominal, numeric, params["groupby"])
+            wide = features.group_aggregates(rare, nominal, numeric, params["groupby"], functions=functions)
             names = [features.group_name(c, x, a) for c in nominal for a in params["groupby"] for x in numeric]
             stats = wide.agg(*[F.count(F.when(F.col(f"`{n}`").isNull(), 1)).alias(f"m{i}") for i, n in enumerate(names)],
                              *[F.min(f"`{n}`").eqNullSafe(F.max(f"`{n}`")).alias(f"c{i}") for i, n in enumerate(names)]).first()
             names = [n for i, n in enumerate(names) if not stats[f"m{i}"] and not stats[f"c{i}"]]
             found = association.candidate_filter(wide, names, [], method="pearson")
-            picked = set(_pick(wide.select(label, *numeric, *found), found, numeric, label, problem, params))
-            base = rare.agg(*[features.AGGREGATES[a](F.col(x)).alias(f"{x}|{a}") for a in params["groupby"] for x in numeric]).first()
-            for c in nominal:
-                mine = {features.group_name(c, x, a): base[f"{x}|{a}"] for a in params["groupby"] for x in numeric
-                        if features.group_name(c, x, a) in picked}
-                if mine:
-                    rows = tables[c].select(c, *mine).collect()
-                    state["groups"][c] = {"default": mine, "levels": {r[c]: {n: r[n] for n in mine} for r in rows}}
+            picked = _pick(wide.select(label, *numeric, *found), found, numeric, label, problem, params)
+            state["groups"] = groups.fit_groups(rare, nominal, numeric, params["groupby"], functions, picked)
     if timed is not typed:
         timed.unpersist()
     return state
@@ -250,13 +243,7 @@ def synthesise(mold: Mold, df: DataFrame) -> DataFrame:
     if s["step"]:
         out = features.apply_step_difference(out, s["step"])
         step_names = [f"{c}_delta" for c in s["step"]["divide"]]
-    for c, g in s["groups"].items():
-        names = list(g["default"])
-        schema = T.StructType([T.StructField("__level", T.StringType()), *[T.StructField(n, T.DoubleType()) for n in names]])
-        table = df.sparkSession.createDataFrame([(lv, *[v[n] for n in names]) for lv, v in g["levels"].items()], schema)
-        joined = out.join(F.broadcast(table), F.col(c) == F.col("__level"), "left").drop("__level")
-        out = joined.select(*[F.coalesce(F.col(f"`{n}`"), F.lit(g["default"][n])).alias(n) if n in names else F.col(f"`{n}`")
-                              for n in joined.columns])
+    out = groups.apply_groups(out, s["groups"]) if s["groups"] else out
     unary = _unary_exprs(params["unary"] or [], numeric, s["roots"])
     deskewed = {c: features.yeo_johnson(F.col(c), v["lambda"]) / v["factor"] for c, v in s["deskew"].items()}
     final = [deskewed[c].alias(c) if c in deskewed else F.col(c) for c in numeric] + [F.col(c) for c in nominal]
@@ -378,9 +365,9 @@ def transform(mold: Mold, df: DataFrame) -> DataFrame:
 
 
 def cast(train: DataFrame, label: str, test: DataFrame | None = None, types: Mapping[str, str] | None = None,
-         key: Sequence[str] = (), **params) -> tuple[Mold, DataFrame]:
+         key: Sequence[str] = (), functions: groups.Functions | None = None, **params) -> tuple[Mold, DataFrame]:
     """Fit, then the train output by replay (equal synthesised rows are kept once)."""
-    mold = fit(train, label, test, types, key, **params)
+    mold = fit(train, label, test, types, key, functions, **params)
     return mold, transform(mold, synthesise(mold, train).dropDuplicates())
 
 

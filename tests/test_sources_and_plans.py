@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from colsmith.operators import modeling, selection
+from colsmith.operators import encoding, groups, modeling, selection
 from colsmith.operators.roles import CheckError
 from colsmith.plans import mold as molds
 from colsmith.plans import preparation, regression_prep, reports
@@ -233,3 +233,33 @@ def test_row_wise_state_applies_to_a_stream(spark, tmp_path):
              .queryName("prepared").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
     query.awaitTermination(60)
     assert sorted(tuple(r) for r in spark.table("prepared").collect()) == [(-1.0, 1, 0), (1.0, 0, 1)]
+
+
+def test_group_state_of_two_million_levels(spark):
+    """Wide group state is a table: it never passes the driver, and null and unseen levels take the overall aggregate."""
+    levels = 2_000_000
+    base = spark.range(levels + levels // 2).select(F.concat(F.lit("k"), F.col("id") % levels).alias("c"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("d"),
+                                                    (F.col("id") * 1.0).alias("v"))
+    state = groups.fit_groups(base, ["c", "d"], ["v"], ["mean", "spread"], {"spread": lambda x: F.max(x) - F.min(x)})
+    assert isinstance(state["c"]["maps"]["c_v_groupBy_mean"], str) and len(state["d"]["maps"]["d_v_groupBy_mean"]) == 2
+    assert len(json.dumps(state)) < 2000
+    asked = spark.createDataFrame([("k5", "x"), ("k1999999", "y"), ("never", "never"), (None, None)], "c string, d string")
+    got = {r.c: (r.c_v_groupBy_mean, r.c_v_groupBy_spread) for r in groups.apply_groups(asked, state).collect()}
+    whole = (levels * 1.5 - 1) / 2
+    assert got == {"k5": (1_000_005.0, 2_000_000.0), "k1999999": (1_999_999.0, 0.0), "never": (whole, levels * 1.5 - 1), None: (whole, levels * 1.5 - 1)}
+
+
+def test_flow_with_an_aggregate_of_ones_own_and_stored_levels(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(encoding, "TABLE_LEVELS", 3)
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"rid": range(400), "kind": rng.choice(list("abcdefgh"), 400), "v": rng.normal(size=400), "w": rng.normal(size=400)})
+    pdf["y"] = pdf.v + pdf.kind.map(lambda k: pdf.v[pdf.kind == k].max() - pdf.v[pdf.kind == k].min()) * 5
+    train = spark.createDataFrame(pdf)
+    mold, out = preparation.cast(train, "y", key=["rid"], trees=3, boosts=2, unary=None, groupby=["span", "mean"], bucket_size=0, statistic=False,
+                                 functions={"span": lambda x: F.max(x) - F.min(x)})
+    stored = mold.synthesis["groups"]
+    assert "kind_v_groupBy_span" in stored["kind"]["default"] and all(isinstance(m, str) for m in stored["kind"]["maps"].values())
+    molds.save_mold(spark, mold, str(tmp_path / "mold"))
+    again = preparation.shape(molds.load_mold(spark, str(tmp_path / "mold")), train.repartition(3))
+    a, b = (t.toPandas().sort_values("rid").reset_index(drop=True) for t in (out, again))
+    pd.testing.assert_frame_equal(a, b[a.columns], atol=1e-9)
