@@ -317,3 +317,26 @@ def impute_iterative(spark, d):
                          F.when(F.col("l_linenumber") != 5, total).alias("total"))
     cols = ["l_quantity", "l_extendedprice", "l_discount", "total"]
     return imputation.apply_chained(holed, imputation.fit_chained(holed, cols, rounds=5))
+
+
+def _two_holes_sql(rounds: int) -> str:
+    """Both lines round by round: y is filled from x and x from y, the column with fewer holes first."""
+    parts = ["""h AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 6 THEN l_quantity END AS x, CASE WHEN l_linenumber NOT IN (3, 4) THEN ln(l_extendedprice) END AS y FROM lineitem)""",
+             "e0 AS (SELECT 0.0 AS a, 0.0 AS b, avg(y) AS c, 0.0 AS d FROM h)"]
+    for n in range(1, rounds + 1):
+        # x = a + b y over rows with x, y filled by the line of the round before; then y = c + d x over rows with y
+        parts.append(f"f{n} AS (SELECT regr_intercept(x, coalesce(y, c + d * x)) AS a, regr_slope(x, coalesce(y, c + d * x)) AS b FROM h, e{n - 1} WHERE x IS NOT NULL)")
+        parts.append(f"e{n} AS (SELECT any_value(a) AS a, any_value(b) AS b, regr_intercept(y, coalesce(x, a + b * y)) AS c, regr_slope(y, coalesce(x, a + b * y)) AS d FROM h, f{n} WHERE y IS NOT NULL)")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT l_orderkey, l_linenumber, round(coalesce(x, a + b * coalesce(y, m)), 5) AS x, round(coalesce(y, c + d * coalesce(x, a + b * m)), 5) AS y
+FROM h, e{rounds}, (SELECT avg(y) AS m FROM h)"""
+
+
+@register("impute_iterative_two_holes", _two_holes_sql(3))
+def impute_iterative_two_holes(spark, d):
+    """Two columns with holes, each the other's predictor, for three rounds."""
+    number = F.col("l_linenumber")
+    holed = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(number != 6, F.col("l_quantity").cast("double")).alias("x"),
+                                               F.when(~number.isin(3, 4), F.log("l_extendedprice")).alias("y"))
+    state = imputation.fit_chained(holed, ["x", "y"], rounds=3, tolerance=0.0, ridge=0.0)
+    return rounded(imputation.apply_chained(holed, state), 5, "x", "y")

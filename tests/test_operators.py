@@ -525,6 +525,59 @@ def test_chained_imputation_recovers_a_line(spark):
     assert other.y == pytest.approx(2.0, abs=0.15)
 
 
+def plain_chain(x, rounds, ridge):
+    """Chained regressions over whole rows: fill by the equations so far, fit each holed column on all others."""
+    gone = np.isnan(x)
+    means = np.nan_to_num(np.nanmean(x, 0))
+    holes = sorted((i for i in range(x.shape[1]) if gone[:, i].any()), key=lambda i: gone[:, i].sum())
+    equations = {}
+
+    def filled():
+        out = np.where(gone, means, x)
+        for c in holes:
+            if c in equations:
+                out[gone[:, c], c] = (out @ equations[c][1:] + equations[c][0])[gone[:, c]]
+        return out
+    for _ in range(rounds):
+        for c in holes:
+            z = filled()[~gone[:, c]]
+            others = [i for i in range(x.shape[1]) if i != c and z[:, i].std() > 1e-9]
+            centred = (z[:, others] - z[:, others].mean(0)) / z[:, others].std(0)
+            w = np.linalg.solve(centred.T @ centred / len(z) + ridge * np.eye(len(others)), centred.T @ (z[:, c] - z[:, c].mean()) / len(z)) / z[:, others].std(0)
+            b = np.zeros(x.shape[1] + 1)
+            b[1:][others] = w
+            b[0] = z[:, c].mean() - z[:, others].mean(0) @ w
+            equations[c] = b
+    return filled(), len(holes)
+
+
+@pytest.mark.parametrize("on_driver", [True, False])
+def test_chained_imputation_equals_whole_rows(spark, on_driver, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 6))
+    x[:, 1] += 2 * x[:, 0]
+    x[:, 3] = 1000 + x[:, 1] - x[:, 2] + 0.1 * rng.normal(size=400)
+    x[:, 5] = 7.0
+    x[rng.random((400, 6)) < [0.3, 0.1, 0.2, 0.05, 0, 0.1]] = np.nan
+    if not on_driver:
+        monkeypatch.setattr(imputation, "PATTERN_BYTES", 0)
+        monkeypatch.setattr(imputation, "TASK_BYTES", 1)
+    names = [f"c {i}" for i in range(6)]
+    df = spark.createDataFrame([(n, *[None if np.isnan(v) else float(v) for v in r]) for n, r in enumerate(x)], "n int, " + ", ".join(f"`{c}` double" for c in names)).repartition(5)
+    want, holes = plain_chain(x, 3, 1e-6)
+    state = imputation.fit_chained(df, names, rounds=3, tolerance=0.0)
+    got = imputation.apply_chained(df, state).orderBy("n").toPandas()[names].to_numpy()
+    np.testing.assert_allclose(got, want, atol=1e-6)
+    assert len(state["equations"]) == holes
+
+
+def test_chained_imputation_of_an_empty_column(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None), (2.0, 4.0, None), (3.0, None, None), (float("inf"), 8.0, None)], "a double, b double, c double")
+    state = imputation.fit_chained(df, ["a", "b", "c"], ridge=0.0)
+    got = imputation.apply_chained(df, state).collect()
+    assert got[2].b == pytest.approx(6.0, abs=0.2) and got[3].a == pytest.approx(4.0, abs=0.2) and all(r.c == 0.0 for r in got)
+
+
 def test_constant_imputation_modes(spark):
     df = spark.createDataFrame([(1.0, "b"), (1.0, "a"), (4.0, None), (None, "a"), (None, "b")], "x double, c string")
     assert imputation.fit_constants(df, method="mode", nominal_method="mode") == {"x": 1.0, "c": "a"}
