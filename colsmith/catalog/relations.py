@@ -347,3 +347,18 @@ def adversarial_validation(spark, d):
     shifted = test.withColumn("l_extendedprice", F.col("l_extendedprice") + 20000)
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
     return modeling.adversarial_table(train, shifted, cols, ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+@register("adversarial_planted", """
+SELECT 0 AS round, 'moved' AS feature, true AS removed UNION ALL SELECT 1, 'holed', true UNION ALL SELECT 2, 'bent', true""")
+def adversarial_planted(spark, d):
+    """Planted drift goes in the order of its size: values, then nulls that only one table has, then a small shift."""
+    lines = table(spark, d, "lineitem").withColumn("side", F.pmod(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey"), F.lit(2)))
+    later = F.col("side") == 1
+    data = lines.select("l_orderkey", "l_linenumber", "l_partkey", "side", "l_tax", F.when(F.col("l_suppkey") % 3 > 0, F.col("l_discount")).alias("l_discount"),
+                        F.when(later, F.col("l_extendedprice") + 200000).otherwise(F.col("l_extendedprice")).alias("moved"),
+                        F.when(~later | (F.col("l_linenumber") < 4), F.col("l_quantity")).alias("holed"),
+                        F.when(later & (F.col("l_suppkey") % 2 == 0), F.lit(-1)).otherwise(F.col("l_suppkey") % 50).alias("bent"))
+    train, test = data.filter(~later), data.filter(later)
+    made = modeling.adversarial_table(train, test, ["l_tax", "l_discount", "moved", "holed", "bent"], ["l_orderkey", "l_linenumber", "l_partkey"], trees=10)
+    return made.filter("removed").select("round", "feature", "removed")

@@ -4,22 +4,27 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field
+from functools import reduce
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator)
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import collect_stats
 from ..functions.ordered import ROWS_PER_RANGE, ordered_scan
 from ..functions.quantiles import exact_quantiles
 from ..session import spread
+from .boosting import BoostedClasses, fit_boosted
 from .encoding import TREE_LEVELS, levels_of
 from .roles import BINARY, REGRESSION, nominal_columns, numeric_columns, problem_type
 
@@ -81,8 +86,18 @@ def best_threshold(df: DataFrame, label: str, score: str, positive: object = 1,
 
 # ---- assembling ---------------------------------------------------------------------------
 
+def features_with_values(df: DataFrame, features: Sequence[str]) -> list[str]:
+    """``features`` without the numeric ones that have no value at all: nothing could stand in for what they miss."""
+    numeric = [c for c in features if c in numeric_columns(df)]
+    found = collect_stats(df, numeric, lambda x: {"n": F.count(F.when(x.isNotNull() & ~F.isnan(x.cast("double")), 1))})
+    return [c for c in features if c not in found or found[c]["n"]]
+
+
 def feature_stages(df: DataFrame, features: Sequence[str]) -> list:
-    """Index nominal features (alphabetical, new levels kept apart) and assemble everything."""
+    """Index nominal features (alphabetical, new levels kept apart) and assemble everything; numeric columns without a value are left out."""
+    features = features_with_values(df, features)
+    if not features:
+        raise ValueError("no feature has a value")
     nominal = [c for c in features if c in nominal_columns(df)]
     numeric = [c for c in features if c in numeric_columns(df)]
     stages = []
@@ -120,15 +135,27 @@ def holdout(df: DataFrame, key: Sequence[str], share: float, seed: int = 1) -> t
 
 # ---- search -------------------------------------------------------------------------------
 
+@dataclass
+class Trial:
+    """One grid point of a search: its mean metric over the folds."""
+    model: str
+    params: dict
+    value: float
+    folds: list[float]
+    seconds: float
+
+
 @dataclass
 class Run:
-    """Outcome of a model search: fitted pipelines in leaderboard order."""
+    """Outcome of a model search: the best fitted pipeline of each family in leaderboard order, and every trial."""
     target: str
     problem: str
     features: list[str]
     classes: list[str]
     models: list[tuple[str, float, PipelineModel]] = field(default_factory=list)
     seconds: float = 0.0
+    trials: list[Trial] = field(default_factory=list)
+    left_out: list[str] = field(default_factory=list)
 
     @property
     def leader(self) -> PipelineModel:
@@ -151,6 +178,9 @@ def _candidates(problem: str, bins: int, seed: int) -> list[tuple[str, object, l
     out.append(("forest", forest, ParamGridBuilder().addGrid(forest.numTrees, [20]).addGrid(forest.maxDepth, [5]).build()))
     if problem in (BINARY, REGRESSION):
         out.append(("boosted", boost, ParamGridBuilder().addGrid(boost.maxDepth, [3]).build()))
+    else:
+        # trees of all classes grow together (see ``boosting``)
+        out.append(("boosted", None, [{"depth": 3}]))
     return out
 
 
@@ -162,53 +192,103 @@ def _evaluator(problem: str, label: str):
     return MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
 
 
+def _fold_sets(rows: DataFrame, features: Sequence[str], folds: int) -> list[tuple[PipelineModel, DataFrame, DataFrame]]:
+    """Preparation, training rows and check rows of each fold, and last of the whole table (nothing to check).
+
+    The preparation is fitted on the training rows alone. A fold without rows on one side is left out.
+    """
+    sets = []
+    for fold in (*range(folds), None):
+        train = rows if fold is None else rows.filter(F.col("__fold") != fold)
+        if train.isEmpty() or (fold is not None and rows.filter(F.col("__fold") == fold).isEmpty()):
+            continue
+        prep = Pipeline(stages=feature_stages(train, features)).fit(train)
+        ready = spread(prep.transform(rows).select("features", "__y", "__fold")).persist(StorageLevel.MEMORY_AND_DISK)
+        sets.append((prep, ready if fold is None else ready.filter(F.col("__fold") != fold), ready.filter(F.col("__fold") == fold)))
+    return sets
+
+
+def _boost_all(sets: Sequence[tuple], classes: int, rounds: int, depth: int) -> list[BoostedClasses]:
+    """Class-wise boosted trees of all training sets in one run of jobs."""
+    parts = [train.select(F.lit(m).alias("m"), F.lit(True).alias("train"), F.col("__y").cast("int").alias("y"), vector_to_array("features").alias("x"))
+             for m, (_, train, _) in enumerate(sets)]
+    rows = reduce(DataFrame.union, parts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return [BoostedClasses.of(m) for m in fit_boosted(rows, len(sets), classes, rounds, depth)]
+    finally:
+        rows.unpersist()
+
+
 def auto_train(df: DataFrame, target: str, features: Sequence[str] | None = None, budget_seconds: float = 600.0,
-               max_models: int = 25, folds: int = 3, seed: int = 1, parallelism: int = 2) -> Run:
+               max_models: int = 25, folds: int = 3, seed: int = 1, parallelism: int = 2, boosts: int = 10) -> Run:
     """Cross-validated search over linear, tree, forest and boosted models.
 
-    A text target means classification. The budget is checked between candidates; the assembled
-    training rows are kept once for all of them.
+    A text target means classification. Every grid point is a trial, listed with its folds; ``max_models`` and the budget
+    are checked between trials, and the best point of each family is fitted on all rows. Folds follow a hash of the row
+    (copies of a row share a fold), so they do not depend on the cluster; imputation and indexing are fitted on each
+    fold's training rows. Numeric features without any value are left out (``left_out``). ``parallelism`` folds are
+    fitted side by side; boosted trees of more than two classes grow for all folds at once.
     """
     start = time.monotonic()
     problem = problem_type(df, target) if target in nominal_columns(df) or target not in numeric_columns(df) else REGRESSION
     features = list(features or [c for c in df.columns if c != target and c in (*numeric_columns(df), *nominal_columns(df))])
     bins = max_bins(df, features)
-    prep_stages = feature_stages(df, features)
+    rows = df.filter(F.col(target).isNotNull())
+    used = features_with_values(rows, features)
     classes: list[str] = []
     if problem == REGRESSION:
-        rows = df.filter(F.col(target).isNotNull()).withColumn("__y", F.col(target).cast("double"))
-        label = []
+        rows = rows.withColumn("__y", F.col(target).cast("double"))
     else:
-        rows = df.filter(F.col(target).isNotNull())
         levels_of(rows, [target], 1000)         # refuses a label that is no class label
-        label = [StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="skip")]
-    prep = Pipeline(stages=prep_stages).fit(rows)
-    indexed = prep.transform(rows)
-    if label:
-        indexer = label[0].fit(rows)
+        indexer = StringIndexer(inputCol=target, outputCol="__y", stringOrderType="alphabetAsc", handleInvalid="skip").fit(rows)
         classes = list(indexer.labels)
-        indexed = indexer.transform(indexed)
-    ready = spread(indexed.select("features", "__y")).persist(StorageLevel.MEMORY_AND_DISK)
-    run = Run(target, problem, features, classes)
+        rows = indexer.transform(rows)
+    fold = F.pmod(F.xxhash64(*used, target, F.lit(seed)), F.lit(folds)).cast("int").alias("__fold")
+    rows = rows.select(*used, "__y", fold)
+    run = Run(target, problem, used, classes, left_out=[c for c in features if c not in used])
+    sets = _fold_sets(rows, used, folds)
+    checks, (prep, whole, _) = sets[:-1], sets[-1]
+    metric = _evaluator(problem, "__y")
     try:
         for name, estimator, grid in _candidates(problem, bins, seed):
-            if run.models and (time.monotonic() - start > budget_seconds or len(run.models) >= max_models):
-                break
-            estimator = estimator.copy({estimator.getParam("labelCol"): "__y"})
-            search = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=_evaluator(problem, "__y"),
-                                    numFolds=folds, seed=seed, parallelism=parallelism, collectSubModels=False)
-            found = search.fit(ready)
-            run.models.append((name, float(max(found.avgMetrics)), PipelineModel(stages=[prep, found.bestModel])))
+            best: tuple[float, object] | None = None
+            for point in grid:
+                if run.trials and (time.monotonic() - start > budget_seconds or len(run.trials) >= max_models):
+                    break
+                began = time.monotonic()
+                made = None
+                if estimator is None:
+                    made = _boost_all(sets, len(classes), boosts, point["depth"])
+                    values = [float(metric.evaluate(m.transform(check))) for m, (_, _, check) in zip(made, checks)]
+                else:
+                    asked = estimator.copy({estimator.getParam("labelCol"): "__y", **point})
+                    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+                        run_fold = inheritable_thread_target(df.sparkSession)(lambda s: float(metric.evaluate(asked.fit(s[1]).transform(s[2]))))
+                        values = list(pool.map(run_fold, checks))
+                value = sum(values) / len(values) if values else float("nan")
+                run.trials.append(Trial(name, {getattr(k, "name", k): v for k, v in point.items()}, value, values, round(time.monotonic() - began, 3)))
+                if best is None or value > best[0]:
+                    best = (value, made[-1] if made else asked)
+            if best is not None:
+                fitted = best[1] if isinstance(best[1], BoostedClasses) else best[1].fit(whole)
+                run.models.append((name, best[0], PipelineModel(stages=[prep, fitted])))
     finally:
-        ready.unpersist()
+        for _, train, _ in sets:
+            train.unpersist()
     run.models.sort(key=lambda m: -m[1])
+    run.trials.sort(key=lambda t: -t.value)
     run.seconds = time.monotonic() - start
     return run
 
 
 def leaderboard(spark, run: Run) -> DataFrame:
-    rows = [(i + 1, name, run.metric(), value) for i, (name, value, _) in enumerate(run.models)]
-    return spark.createDataFrame(rows, "rank int, model string, metric string, value double").orderBy("rank")
+    """Every trial, best first; ``fitted`` marks the trial behind each family's fitted model."""
+    seen: set[str] = set()
+    rows = []
+    for i, t in enumerate(run.trials):
+        rows.append((i + 1, t.model, json.dumps(t.params, sort_keys=True), run.metric(), t.value, t.folds, t.model not in seen))
+        seen.add(t.model)
+    return spark.createDataFrame(rows, "rank int, model string, params string, metric string, value double, folds array<double>, fitted boolean").orderBy("rank")
 
 
 def feature_importance(df: DataFrame, run: Run, top: int = 10) -> DataFrame:
@@ -255,7 +335,8 @@ def save_run(spark, run: Run, folder: str) -> None:
         model.write().overwrite().save(f"{folder}/models/{i + 1:02d}")
     rows = [json.dumps({"rank": i + 1, "model": n, "metric": run.metric(), "value": v, "target": run.target,
                         "problem": run.problem, "features": run.features, "classes": run.classes,
-                        "seconds": run.seconds, "total_models": len(run.models), "path": f"models/{i + 1:02d}"})
+                        "seconds": run.seconds, "total_models": len(run.models), "path": f"models/{i + 1:02d}",
+                        "trials": [asdict(t) for t in run.trials], "left_out": run.left_out})
             for i, (n, v, _) in enumerate(run.models)]
     spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/run_info")
 
@@ -263,7 +344,8 @@ def save_run(spark, run: Run, folder: str) -> None:
 def load_run(spark, folder: str) -> Run:
     facts = sorted((json.loads(r.value) for r in spark.read.text(f"{folder}/run_info").collect()), key=lambda r: r["rank"])
     first = facts[0]
-    run = Run(first["target"], first["problem"], first["features"], first["classes"], seconds=first["seconds"])
+    run = Run(first["target"], first["problem"], first["features"], first["classes"], seconds=first["seconds"],
+              trials=[Trial(**t) for t in first["trials"]], left_out=first["left_out"])
     run.models = [(r["model"], r["value"], PipelineModel.load(f"{folder}/{r['path']}")) for r in facts]
     return run
 
@@ -274,12 +356,13 @@ def surrogate_regression(df: DataFrame, target: str, features: Sequence[str], ke
                          seed: int = 1, boosts: int = 20) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """Linear and boosted regressors with train and holdout errors; r2 is of truth against prediction."""
     bins = max_bins(df, features)
-    prep = Pipeline(stages=feature_stages(df, features)).fit(df)
+    known, unknown = holdout(df.filter(F.col(target).isNotNull()), key, share, seed)
+    # what is learned about the features, too, comes from the training part alone
+    prep = Pipeline(stages=feature_stages(known, features)).fit(known)
     # both models and all four scores read the same narrow assembled rows
-    ready = spread(prep.transform(df).select(*{*key, target}, "features")).persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = (spread(prep.transform(part).select(*{*key, target}, "features")).persist(StorageLevel.MEMORY_AND_DISK) for part in (known, unknown))
     results, models = [], {}
     try:
-        train, test = holdout(ready, key, share, seed)
         for name, est in (("linear", LinearRegression(labelCol=target)),
                           ("boosted", GBTRegressor(labelCol=target, seed=seed, maxIter=boosts, maxDepth=4, maxBins=bins))):
             fitted = est.fit(train)
@@ -290,7 +373,8 @@ def surrogate_regression(df: DataFrame, target: str, features: Sequence[str], ke
                 row += [m["mse"], m["r2"]]
             results.append(tuple(row))
     finally:
-        ready.unpersist()
+        train.unpersist()
+        test.unpersist()
     table = df.sparkSession.createDataFrame(results, "model string, train_mse double, train_r2 double, test_mse double, test_r2 double")
     return table, models
 
@@ -363,29 +447,41 @@ def adversarial_validation(train: DataFrame, test: DataFrame, features: Sequence
 
     It ends at the limit or at the last feature; ``max_rounds`` ends it earlier, after an entry that still says ``removed``.
     Returns one entry per round: auc on a 20 % holdout, the leading feature, whether it went.
-    The tagged rows are indexed once and kept for all rounds.
+    The tagged rows are prepared once and kept for all rounds. A missing number stands as the mean of all rows and, beside
+    it, as a mark of its own, so nulls that came or went count as drift; a feature's importance is that of both together.
+    Null levels are a level. A feature without any value in either table says nothing and is never the leading one.
     """
     order = feature_order(train, features)
     both = (train.select(*key, *features).withColumn("__test", F.lit(0.0))
             .unionByName(test.select(*key, *features).withColumn("__test", F.lit(1.0))))
     nominal = [c for c in order if c in nominal_columns(train)]
+    numeric = [c for c in order if c not in nominal]
     bins = max_bins(both, features)
+
+    def number(x: Column) -> Column:
+        return F.when(F.abs(x.cast("double")) < float("inf"), x.cast("double"))
+    found = collect_stats(both, numeric, lambda x: {"m": F.avg(number(x)), "n": F.count(number(x)), "k": F.count(F.lit(1))})
+    slots = {c: [f"__v_{c}"] + [f"__m_{c}"] * (found[c]["n"] < found[c]["k"]) for c in numeric if found[c]["n"]} | {c: [f"__i_{c}"] for c in nominal}
     if nominal:
         both = StringIndexer(inputCols=nominal, outputCols=[f"__i_{c}" for c in nominal], stringOrderType="alphabetAsc",
                              handleInvalid="keep").fit(both).transform(both)
-    both = both.persist(StorageLevel.MEMORY_AND_DISK)
-    left, log = list(order), []
+    values = [F.coalesce(number(F.col(f"`{c}`")), F.lit(found[c]["m"])).alias(f"__v_{c}") for c in numeric if c in slots]
+    marks = [number(F.col(f"`{c}`")).isNull().cast("double").alias(f"__m_{c}") for c in numeric if len(slots.get(c, ())) > 1]
+    both = both.select(*key, "__test", *values, *marks, *[F.col(f"`__i_{c}`") for c in nominal]).persist(StorageLevel.MEMORY_AND_DISK)
+    left, log = [c for c in order if c in slots], []
     try:
         fit_rows, check_rows = holdout(both, [*key, "__test"], 0.2, seed)
-        for number in range(len(order) if max_rounds is None else max_rounds):
-            stage = VectorAssembler(inputCols=[f"__i_{c}" if c in nominal else c for c in left], outputCol="features", handleInvalid="keep")
+        for round_number in range(len(left) if max_rounds is None else max_rounds):
+            used = [(c, slot) for c in left for slot in slots[c]]
+            stage = VectorAssembler(inputCols=[slot for _, slot in used], outputCol="features", handleInvalid="keep")
             model = RandomForestClassifier(labelCol="__test", numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed).fit(stage.transform(fit_rows))
             auc = BinaryClassificationEvaluator(labelCol="__test").evaluate(model.transform(stage.transform(check_rows)))
-            weights = [float(v) for v in model.featureImportances.toArray()]
-            top = left[weights.index(max(weights))]
+            weights = dict.fromkeys(left, 0.0)
+            for (c, _), v in zip(used, model.featureImportances.toArray()):
+                weights[c] += float(v)
+            top = max(left, key=lambda c: weights[c])
             remove = auc > limit and len(left) > 1
-            log.append({"round": number, "auc": float(auc), "feature": top, "removed": remove,
-                        "importances": dict(zip(left, weights))})
+            log.append({"round": round_number, "auc": float(auc), "feature": top, "removed": remove, "importances": weights})
             if not remove:
                 break
             left.remove(top)

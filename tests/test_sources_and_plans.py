@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from colsmith.operators import encoding, groups, modeling, selection
+from colsmith.operators import boosting, encoding, groups, modeling, selection
 from colsmith.operators.roles import CheckError
 from colsmith.plans import mold as molds
 from colsmith.plans import preparation, regression_prep, reports
@@ -110,6 +110,84 @@ def test_search_save_load_predict(spark, signal, tmp_path):
     assert modeling.feature_importance(signal, run).first().feature == "a"
 
 
+@pytest.fixture(scope="module")
+def bands(signal):
+    """Twelve classes, a column with nulls and one without any value."""
+    band = F.least(F.greatest(F.floor(F.col("a") * 3 + 6), F.lit(0)), F.lit(11)).cast("string")
+    return (signal.withColumn("band", F.concat(F.lit("b"), band)).withColumn("noise", F.when(F.col("rid") % 5 > 0, F.col("noise")))
+            .withColumn("none", F.lit(None).cast("double")).cache())
+
+
+def test_many_classes_are_boosted_and_every_trial_is_listed(spark, bands, tmp_path):
+    run = modeling.auto_train(bands, "band", ["a", "noise", "g", "none"], folds=2, boosts=4)
+    board = modeling.leaderboard(spark, run).collect()
+    assert sorted((r.model, json.loads(r.params).get("regParam")) for r in board) == [
+        ("boosted", None), ("forest", None), ("logistic", 0.0), ("logistic", 0.1), ("tree", None)]
+    assert [r["rank"] for r in board] == [1, 2, 3, 4, 5] and all(len(r.folds) == 2 for r in board)
+    assert sum(r.fitted for r in board) == len(run.models) == 4 and run.left_out == ["none"] and len(run.classes) == 12
+    assert {name: value for name, value, _ in run.models}["boosted"] > 0.8
+    model = next(m for name, _, m in run.models if name == "boosted")
+    modeling.save_run(spark, run, str(tmp_path / "run"))
+    again = modeling.load_run(spark, str(tmp_path / "run"))
+    loaded = next(m for name, _, m in again.models if name == "boosted")
+    a, b = (modeling.score(bands, m, run).orderBy("rid").select("predict").collect() for m in (model, loaded))
+    assert a == b and again.trials == run.trials and again.left_out == ["none"]
+    weights = model.stages[-1].featureImportances.toArray()
+    assert weights[0] > 0.9 and len(weights) == 3
+
+
+def test_boosting_equals_a_plain_version(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)).round(1)
+    x[:, 2] = 1.0
+    y = np.where(x[:, 0] > 0.3, 2, (x[:, 1] > 0).astype(int))
+    rows = spark.createDataFrame([(m, bool(n % 3 != m), int(c), r.tolist()) for m in range(2) for n, (r, c) in enumerate(zip(x, y))],
+                                 "m int, train boolean, y int, x array<double>").repartition(5).cache()
+    models = boosting.fit_boosted(rows, 2, 3, rounds=3, depth=2, bins=16)
+    edges = boosting._edges(rows, 2, 16)
+    for m, model in enumerate(models):
+        mine = np.arange(300) % 3 != m
+        xs, ys = x[mine], y[mine]
+        score = np.tile(np.log((np.bincount(ys, minlength=3) + 0.5) / (len(ys) + 1.5)), (len(xs), 1))
+        for trees in model["rounds"]:
+            p = boosting.shares(score)
+            for k, tree in enumerate(trees):
+                g, h = (ys == k) - p[:, k], p[:, k] * (1 - p[:, k])
+
+                def best(some):
+                    worth = lambda q: g[q].sum() ** 2 / (h[q].sum() + 1)
+                    cuts = [(worth(some & (xs[:, f] <= c)) + worth(some & (xs[:, f] > c)) - worth(some), -f, -c) for f in range(3) for c in edges[m][f]
+                            if min(h[some & (xs[:, f] <= c)].sum(), h[some & (xs[:, f] > c)].sum()) >= 1]
+                    return max(cuts, default=(0.0, 0, -np.inf))
+                root = best(np.ones(len(xs), bool))
+                assert root[0] <= 1e-9 or (tree["feature"][0], tree["cut"][0]) == (-root[1], -root[2])
+                at = boosting.leaf_of(xs, tree, 2)
+                for leaf in np.unique(at):
+                    here = at == leaf
+                    assert tree["leaf"][leaf] == pytest.approx(0.3 * 2 / 3 * g[here].sum() / (h[here].sum() + 1))
+                score[:, k] = score[:, k] + tree["leaf"][at]
+        made = boosting.class_scores(xs, model)
+        np.testing.assert_allclose(made, score)
+        assert (made.argmax(1) == ys).mean() > 0.9
+
+
+def test_surrogate_learns_from_the_training_part(spark, bands):
+    table, models = modeling.surrogate_regression(bands, "y", ["a", "noise", "none"], ["rid"])
+    assert {r.model for r in table.collect()} == {"linear", "boosted"}
+    train = modeling.holdout(bands, ["rid"], 0.2)[0]
+    imputer = models["linear"].stages[0].stages[0]
+    assert imputer.surrogateDF.first()["noise"] == pytest.approx(train.agg(F.avg("noise")).first()[0])
+
+
+def test_adversarial_counts_missing_values(signal):
+    """Values alike, but missing in the second table only; a column without any value is no feature."""
+    first, second = (signal.filter(f"rid % 2 = {n}").withColumn("none", F.lit(None).cast("double")) for n in (0, 1))
+    second = second.withColumn("noise", F.when(F.col("rid") % 10 > 6, F.col("noise")))
+    log = modeling.adversarial_validation(first, second, ["a", "noise", "g", "none"], ["rid"], trees=5)
+    assert log[0]["feature"] == "noise" and log[0]["removed"] and log[0]["auc"] > 0.7 and "none" not in log[0]["importances"]
+    assert not log[-1]["removed"]
+
+
 def test_regression_target_is_searched_as_regression(signal):
     run = modeling.auto_train(signal, "y", ["a", "g"], budget_seconds=0, folds=2)
     assert run.problem == "regression" and len(run.models) == 1         # no time left after the first
