@@ -322,7 +322,8 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("own").over(inside), F.lit(0)) + F.col("shard_first") + places.total
     numbered = per_block.join(shards, "shard").select("shard", "block", "bases", first.cast("long").alias("first"))
-    joined = blocks.join(numbered, ["shard", "block"]).select("doc_ids", "tokens", "payload", "bases", "first")
+    # both grow with the documents: always a shuffle join, which keeps the ids of a task within bounds
+    joined = blocks.join(numbered.hint("merge"), ["shard", "block"]).select("doc_ids", "tokens", "payload", "bases", "first")
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
