@@ -131,3 +131,35 @@ def test_normal_cdf_column(spark):
     got = tof.with_normal_cdf(df, F.col("x"), "p", F.lit(True)).collect()
     for r in got:
         assert r["p"] == pytest.approx(0.5 * (1 + math.erf(r["x"] / math.sqrt(2))), abs=2e-7)
+
+
+@pytest.mark.parametrize("n,m", [(1, 1), (1, 4), (3, 3), (3, 5), (4, 6), (6, 6), (5, 7)])
+def test_two_sample_distances_by_enumeration(n, m):
+    """Every order of the two samples is equally likely."""
+    from itertools import combinations
+    found = []
+    for first in combinations(range(n + m), n):
+        i = j = 0
+        most = 0.0
+        for at in range(n + m):
+            i, j = (i + 1, j) if at in first else (i, j + 1)
+            most = max(most, abs(i / n - j / m))
+        found.append(most)
+    for d in {round(v, 12) for v in found}:
+        want = sum(v >= d - 1e-9 for v in found) / len(found)
+        assert tof.ks_two_sample_p(d, n, m) == pytest.approx(want, abs=1e-12) and tof.ks_two_sample_p(d, m, n) == pytest.approx(want, abs=1e-12)
+
+
+def test_critical_distances_of_published_tables():
+    # two samples of equal size, 5 %: the least numerator k with P(D >= k / n) <= 0.05
+    for n, k in ((5, 5), (8, 6), (10, 7), (15, 8), (20, 9), (25, 10), (30, 11), (40, 13)):
+        assert tof.ks_two_sample_p(k / n, n, n) <= 0.05 < tof.ks_two_sample_p((k - 1) / n, n, n)
+    # one sample, 5 %: three published digits
+    for n, d in ((5, 0.563), (10, 0.409), (20, 0.294), (50, 0.188), (100, 0.134)):
+        assert tof.ks_one_sample_p(d, n) == pytest.approx(0.05, abs=0.002)
+    assert tof.ks_one_sample_p(0.274, 10) == pytest.approx(1 - 0.6284796154565, abs=1e-9)
+    # both forms meet where they change over
+    for n in (900, 2000):
+        assert tof.ks_two_sample_p(1.3 / math.sqrt(n / 2), n, n) == pytest.approx(tof.kolmogorov_tail(1.3), abs=0.01)
+    assert tof.ks_one_sample_p(1.2 / math.sqrt(1000), 1000) == pytest.approx(tof.kolmogorov_tail(1.2), abs=0.01)
+    assert tof.ks_two_sample_p(0.0, 7, 9) == 1.0 and tof.ks_one_sample_p(0.0, 7) == 1.0
