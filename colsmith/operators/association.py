@@ -15,6 +15,8 @@ from ..functions.ordered import ROWS_PER_RANGE
 from .ranks import pairwise_spearman, rank_bounds
 
 _NARROW = 16
+#: Columns of a block of the matrix: six sums of this many squared doubles in a worker.
+BLOCK_COLUMNS = 1000
 
 
 def _safe_corr(a: str, b: str) -> Column:
@@ -37,50 +39,68 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], centre: np.ndarray | None = None) -> np.ndarray:
-    """Pairwise-complete Pearson matrix of many columns in one pass over the rows.
+    """Pairwise-complete Pearson matrix of many columns, one pass over the rows for ``BLOCK_COLUMNS`` of them.
 
     Each Arrow batch is reduced to matrix products of values and presence masks; a task emits
-    one set of width x width sums, so the shuffled volume depends on the width only. Values are
-    centred on given values, else on the column means of a first pass, to keep the sums well conditioned.
+    one set of sums, so the shuffled volume depends on the width only. More columns are taken block by block
+    against each other, so a worker and the driver hold the sums of one pair of blocks and the driver the result.
+    Values are centred on given values, else on the column means of a first pass, to keep the sums well conditioned.
     """
     p = len(cols)
     if centre is None:
         means = collect_stats(df, cols, lambda x: {"m": F.avg(x.cast("double"))})
         centre = np.array([means[c]["m"] or 0.0 for c in cols])
     data = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    out = np.full((p, p), np.nan)
+    blocks = [np.arange(n, min(n + BLOCK_COLUMNS, p)) for n in range(0, p, BLOCK_COLUMNS)]
+    for i, left in enumerate(blocks):
+        for right in blocks[i:]:
+            part = _block_correlations(data, left, right, centre)
+            out[np.ix_(left, right)] = part
+            out[np.ix_(right, left)] = part.T
+    return out
+
+
+def _block_correlations(data: DataFrame, left: np.ndarray, right: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Correlations of the columns ``left`` with the columns ``right`` of ``x0, x1, ...``."""
+    used = np.union1d(left, right)
+    rows = data.select(*[f"x{i}" for i in used])
+    a, b = np.searchsorted(used, left), np.searchsorted(used, right)
+    shape = pa.schema([("row", pa.int32()), ("part", pa.int32()), ("vals", pa.binary())])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, p, p))
+        total = np.zeros((6, len(left), len(right)))
         for batch in batches:
-            block = np.column_stack([np.asarray(batch.column(i).to_numpy(zero_copy_only=False), dtype=float) for i in range(p)])
+            block = np.column_stack([np.asarray(batch.column(i).to_numpy(zero_copy_only=False), dtype=float) for i in range(len(used))])
             mask = np.isfinite(block)
-            x = np.where(mask, block - centre, 0.0)
+            x = np.where(mask, block - centre[used], 0.0)
             m = mask.astype(float)
-            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
-        yield pa.record_batch({"row": list(range(p)) * 4, "part": [k for k in range(4) for _ in range(p)],
-                               "vals": [total[k, i].tobytes() for k in range(4) for i in range(p)]},
-                              schema=pa.schema([("row", pa.int32()), ("part", pa.int32()), ("vals", pa.binary())]))
+            xa, ma, xb, mb = x[:, a], m[:, a], x[:, b], m[:, b]
+            # number, then sums of either side over the common rows, their squares and their product
+            for k, (u, v) in enumerate(((ma, mb), (xa, mb), (ma, xb), (xa * xa, mb), (ma, xb * xb), (xa, xb))):
+                total[k] += u.T @ v
+        yield pa.record_batch({"row": list(range(len(left))) * 6, "part": [k for k in range(6) for _ in left],
+                               "vals": [total[k, i].tobytes() for k in range(6) for i in range(len(left))]}, schema=shape)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for row, part, vals in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 held[row, part] = held.get((row, part), 0.0) + np.frombuffer(vals)
-        yield pa.record_batch({"row": [r for r, _ in held], "part": [k for _, k in held], "vals": [v.tobytes() for v in held.values()]},
-                              schema=pa.schema([("row", pa.int32()), ("part", pa.int32()), ("vals", pa.binary())]))
+        yield pa.record_batch({"row": [r for r, _ in held], "part": [k for _, k in held], "vals": [v.tobytes() for v in held.values()]}, schema=shape)
 
-    shape = "row int, part int, vals binary"
     # one packed line of a matrix per row and part, added up where its key is shuffled to
-    summed = data.mapInArrow(sums, shape).repartition("row", "part").mapInArrow(add, shape).toArrow()
-    s = np.zeros((4, p, p))
+    names = "row int, part int, vals binary"
+    summed = rows.mapInArrow(sums, names).repartition("row", "part").mapInArrow(add, names).toArrow()
+    s = np.zeros((6, len(left), len(right)))
     for row, part, vals in zip(*[summed.column(k).to_pylist() for k in range(3)]):
         s[part, row] = np.frombuffer(vals)
-    n, sx, sxx, sxy = s
+    n, sa, sb, saa, sbb, sab = s
     with np.errstate(divide="ignore", invalid="ignore"):
-        cov = sxy - sx * sx.T / n
-        var = sxx - sx * sx / n
-        var = np.where(var > 1e-12 * np.maximum(sxx, 1e-300), var, np.nan)
-        return np.clip(cov / np.sqrt(var * var.T), -1.0, 1.0)
+        def spread(squares: np.ndarray, total: np.ndarray) -> np.ndarray:
+            var = squares - total * total / n
+            return np.where(var > 1e-12 * np.maximum(squares, 1e-300), var, np.nan)
+        return np.clip((sab - sa * sb / n) / np.sqrt(spread(saa, sa) * spread(sbb, sb)), -1.0, 1.0)
 
 
 def pearson_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -196,7 +196,9 @@ def frame():
     return pdf
 
 
-def test_correlation_matrix_is_pairwise_complete(spark, frame):
+@pytest.mark.parametrize("block", [1000, 3, 1])
+def test_correlation_matrix_is_pairwise_complete(spark, frame, block, monkeypatch):
+    monkeypatch.setattr(association, "BLOCK_COLUMNS", block)
     df = spark.createDataFrame(frame).select([F.when(~F.isnan(c), F.col(c)).alias(c) for c in frame]).repartition(6)
     np.testing.assert_allclose(association.correlation_matrix(df, list(frame)), frame.corr().values, atol=1e-12)
     small = association.correlations(df, [("a", "b"), ("b", "d")])
