@@ -1,9 +1,12 @@
 """Main text of web pages: blocks from the markup, and repeated runs found by suffix arrays over each host's pages.
 
-The markup says which blocks are menus, notices, scripts and so on, and on pages with an article (or main element)
-which blocks are the main text; those stay whole, even where another page repeats them. The visible blocks of all pages
-of a host, main text included, are concatenated as token streams. A suffix array over them finds runs of RUN_TOKENS tokens
-or more that occur on distinct pages; on pages without an article, covered tokens go and unique runs stay.
+The markup says which blocks are surely menus, notices, scripts and so on (elements, roles and whole names such as ``share``
+or ``related-posts``), and on pages with an article (or main element) which blocks are surely main text. Two kinds of
+blocks it leaves open: all others on pages without an article, and those inside an article whose name only contains such
+a word (``share-price``, ``social-impact``). The visible blocks of all pages of a host, main text included, are
+concatenated as token streams. A suffix array over them finds runs of RUN_TOKENS tokens or more that occur on distinct
+pages, and these decide the open blocks: without an article, covered tokens go and unique runs stay; inside an article, a
+block goes only if runs cover all of it, and stays whole otherwise. Sure main text is never cut.
 """
 from __future__ import annotations
 
@@ -29,44 +32,93 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span "
-                   "strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg canvas object embed audio video map math select "
-                    "button textarea input datalist dialog menu title noembed noframes xmp".split())
+                   "strike strong sub sup time tt u var wbr "
+                   "math mi mo mn ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mspace mfenced semantics".split())
+DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg canvas object embed audio video map select "
+                    "button textarea input datalist dialog menu title noembed noframes xmp annotation annotation-xml".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alertdialog alert form".split())
 #: Words of class and id names that mark a block as no main text.
 DROPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation "
                           "breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription "
-                          "share sharing social related recommended comment comments reply replies respond disqus pagination pager skip toolbar".split())
+                          "share sharing social related recommended comment comments commentlist commentform reply replies respond disqus pagination pager "
+                          "skip toolbar".split())
+#: Words that may stand beside them in the name of such a block (digits as well). A name with any other word tells nothing for sure.
+PLACE_NAMES = frozenset("area articles bar block bottom box button buttons center col column container content desktop footer form group header icons inner item "
+                        "items large left link links list main message mobile module outer panel post posts primary reader right row section secondary "
+                        "signup site slot small stories text thread title top unit us user widget widgets wrap wrapper".split())
+COMMENT_NAMES = frozenset("comment comments commentlist commentform reply replies respond disqus".split())
 CONTENT_NAMES = frozenset("content main-content article-body article-content post-content entry-content post-body story story-body".split())
+#: Start tags that end an open paragraph, and elements inside which an outer paragraph, item or cell stays open.
+ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
+                           "hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split())
+PARAGRAPH_SCOPE = frozenset("table td th caption button object template html body math svg".split())
+#: For a start tag: the open elements it ends, and those beyond which it does not look.
+IMPLIED_ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "table", "td", "th", "section", "article", "main", "body"}),
+                **{t: ({"dt", "dd"}, {"dl", "table", "td", "th", "section", "article", "main", "body"}) for t in ("dt", "dd")},
+                **{t: ({"td", "th"}, {"tr", "table"}) for t in ("td", "th")}, "tr": ({"tr", "caption", "colgroup"}, {"table"}),
+                **{t: ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}) for t in ("thead", "tbody", "tfoot")},
+                "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"optgroup"}, {"select"})}
 LOOSE, DROP, MAIN, ARTICLE = 0, 1, 2, 3
+#: Added to a kind: the name of the block leaves open whether it is one.
+OPEN = 4
+
+
+def _named(names: set[str]) -> tuple[bool, bool]:
+    """Whether names of an element surely mark it as no main text, and whether they may."""
+    sure = some = False
+    for name in names:
+        parts = [w for w in re.split(r"[-_]+", name) if w]
+        hits = [w for w in parts if w in DROPPED_NAMES]
+        some = some or bool(hits)
+        sure = sure or bool(hits) and all(w in DROPPED_NAMES or w in PLACE_NAMES or w.isdigit() for w in parts)
+    return sure, some
 
 
 def _zone(tag: str, attributes: str, outer: int) -> int:
     """The kind of text inside an element that stands in a block of the kind ``outer``."""
     if outer == DROP or tag in DROPPED:
         return DROP
-    names: set[str] = set()
+    classes: set[str] = set()
+    ids: set[str] = set()
+    roles: set[str] = set()
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in DROPPED_ROLES:
             return DROP
-        if name in ("class", "id"):
-            names.update(value.split())
-        if name == "role" and value in ("main", "article"):
-            names.add("role-" + value)
-    if tag not in ("html", "body", "article", "main") and any(w in DROPPED_NAMES for n in names for w in (n, *re.split(r"[-_]", n))) and not names & CONTENT_NAMES:
-        return DROP
-    if tag == "header" and outer < MAIN:
+        if name == "class":
+            classes.update(value.split())
+        elif name == "id":
+            ids.update(value.split())
+        elif name == "role" and value in ("main", "article"):
+            roles.add(value)
+    is_content = bool((classes | ids) & CONTENT_NAMES)
+    kind, mark = outer & 3, outer & OPEN
+    if tag not in ("html", "body", "article", "main") and not is_content:
+        # ids of headings and sections are slugs of their titles; only comments are named by them for sure
+        if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            ids = set()
+        elif tag == "section":
+            ids = {n for n in ids if set(re.split(r"[-_]+", n)) & COMMENT_NAMES}
+        sure, some = _named(classes | ids)
+        if sure:
+            return DROP
+        if some and tag not in INLINE and kind >= MAIN:
+            mark = OPEN
+    if tag == "header" and kind < MAIN:
         return DROP
-    if tag == "article" or "role-article" in names:
-        return ARTICLE
-    if tag == "main" or "role-main" in names or names & CONTENT_NAMES:
-        return max(outer, MAIN)
-    return outer
+    if tag == "article" or "article" in roles:
+        return ARTICLE | mark
+    if tag == "main" or "main" in roles or is_content:
+        return max(kind, MAIN) | mark
+    return kind | mark
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
-    """(kind, text) of the visible blocks in page order; references are decoded and white space is one space."""
+    """(kind, text) of the visible blocks in page order; references are decoded and white space is one space.
+
+    End tags that may be left out (of paragraphs, items, cells, options) are implied as in HTML. What an inline element
+    drops inside a block does not cut the block.
+    """
     out: list[tuple[int, str]] = []
     held: list[str] = []
     held_zone = LOOSE
@@ -81,11 +133,31 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
     def add(text: str, kind: int) -> None:
         nonlocal held_zone
+        if kind == DROP and held and held_zone != DROP and stack and stack[-1][0] in INLINE:
+            around = next((z for t, z in reversed(stack) if t not in INLINE), LOOSE)
+            if around != DROP:
+                return
         if held and kind != held_zone:
             close()
         held_zone = kind
         held.append(entities.unescape(text))
 
+    def leave(n: int) -> None:
+        """End the element at place ``n`` of the stack and all inside it."""
+        nonlocal zone
+        if any(t not in INLINE for t, _ in stack[n:]):
+            close()
+        del stack[n:]
+        zone = stack[-1][1] if stack else LOOSE
+
+    def imply(ended: set[str], beyond: set[str] | frozenset[str]) -> None:
+        for n in range(len(stack) - 1, -1, -1):
+            if stack[n][0] in ended:
+                leave(n)
+                return
+            if stack[n][0] in beyond:
+                return
+
     at = 0
     while at < len(page):
         found = PIECE.search(page, at)
@@ -110,12 +182,13 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if closing:
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n][0] == tag:
-                    if any(t not in INLINE for t, _ in stack[n:]):
-                        close()
-                    del stack[n:]
-                    zone = stack[-1][1] if stack else LOOSE
+                    leave(n)
                     break
             continue
+        if tag in ENDS_PARAGRAPH:
+            imply({"p"}, PARAGRAPH_SCOPE)
+        if tag in IMPLIED_ENDS:
+            imply(*IMPLIED_ENDS[tag])
         if tag in VOID:
             continue
         inner = _zone(tag, attributes, zone)
@@ -131,14 +204,21 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def split_page(page: str | None) -> tuple[str | None, list[str], list[str]]:
-    """The main text where the markup tells it (else None), the unmarked blocks to decide on, and the other blocks."""
+def page_blocks(page: str | None) -> tuple[list[str], list[int], bool, list[str]]:
+    """Blocks of the main text, places of those among them that are open, whether an article or main element tells them, and other blocks."""
     found = blocks(page or "")
     for kind in (ARTICLE, MAIN):
-        main = [t for z, t in found if z == kind or kind == MAIN and z > kind]
+        main = [(z, t) for z, t in found if z & 3 == kind or kind == MAIN and z & 3 > kind]
         if main:
-            return "\n\n".join(main), [], [t for z, t in found if z < kind]
-    return None, [t for z, t in found if z == LOOSE], [t for z, t in found if z == DROP]
+            return [t for _, t in main], [n for n, (z, _) in enumerate(main) if z & OPEN], True, [t for z, t in found if z & 3 < kind]
+    main = [t for z, t in found if z & 3 == LOOSE]
+    return main, list(range(len(main))), False, [t for z, t in found if z & 3 == DROP]
+
+
+def split_page(page: str | None) -> tuple[str | None, list[str], list[str]]:
+    """The main text where the markup tells it (else None), the unmarked blocks to decide on, and the other blocks."""
+    main, _, told, other = page_blocks(page)
+    return ("\n\n".join(main), [], other) if told else (None, main, other)
 
 
 def repeated_starts(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
@@ -203,31 +283,33 @@ def extract_pages(pages: DataFrame, run: int = RUN_TOKENS, id_col: str = "page_i
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 3):
-                split = [split_page(p) for p in part.column(3).to_pylist()]
+                split = [page_blocks(p) for p in part.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
-                    *part.columns[:3], pa.array([s[0] for s in split], pa.string()), pa.array([s[1] for s in split], pa.list_(pa.string())),
-                    pa.array([s[2] for s in split], pa.list_(pa.string())),
-                    pa.array([sum(len(b.split()) for b in [*s[1], *s[2], s[0] or ""]) for s in split], pa.int64()),
-                    pa.array([sum(len(b.split()) for b in s[1]) for s in split], pa.int64())],
-                    ["id", "url", "page", "text", "loose", "other", "n_tokens", "n_open"])
+                    *part.columns[:3], pa.array([s[0] for s in split], pa.list_(pa.string())), pa.array([s[1] for s in split], pa.list_(pa.int32())),
+                    pa.array([s[2] for s in split]), pa.array([s[3] for s in split], pa.list_(pa.string())),
+                    pa.array([sum(len(b.split()) for b in [*s[0], *s[3]]) for s in split], pa.int64()),
+                    pa.array([sum(len(s[0][n].split()) for n in s[1]) for s in split], pa.int64())],
+                    ["id", "url", "page", "main", "open", "told", "other", "n_tokens", "n_open"])
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each page's stream as compressed text; the tokens to decide on come first."""
         codec = pa.Codec("zstd", 1)
         for batch in batches:
-            for part in slices(batch, 2):
-                texts = ["\n".join([*loose, *other, text or ""]).encode()
-                         for text, loose, other in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()),
-                                                  pa.array(map(len, texts), pa.int64()), *part.columns[5:]],
-                                                 ["host", "page", "packed", "n_bytes", "n_tokens", "n_open"])
+            texts = []
+            for at in range(batch.num_rows):
+                main, undecided, other = (batch.column(n)[at].as_py() for n in (2, 3, 4))
+                first = set(undecided)
+                text = "\n".join([*(main[n] for n in undecided), *other, *(t for n, t in enumerate(main) if n not in first)]).encode()
+                texts.append((codec.compress(text, asbytes=True), len(text)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([t for t, _ in texts], pa.binary()), pa.array([n for _, n in texts], pa.int64()),
+                                              *batch.columns[5:]], ["host", "page", "packed", "n_bytes", "n_tokens", "n_open"])
 
     source = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"),
                           F.xxhash64(*[F.col(f"`{c}`") for c in (id_col, url_col, html_col)]).alias("page"), F.col(f"`{html_col}`").alias("html"))
-    parsed = materialize(source.mapInArrow(parse, f"id {kinds[0]}, url {kinds[1]}, page long, text string, loose array<string>, other array<string>, n_tokens long, n_open long"), "pages")
+    parsed = materialize(source.mapInArrow(parse, f"id {kinds[0]}, url {kinds[1]}, page long, main array<string>, open array<int>, told boolean, other array<string>, n_tokens long, n_open long"), "pages")
 
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", 1)), F.lit(""))
-    streams = parsed.filter("n_tokens > 0").select(host.alias("host"), "page", "text", "loose", "other", "n_tokens", "n_open")
+    streams = parsed.filter("n_tokens > 0").select(host.alias("host"), "page", "main", "open", "other", "n_tokens", "n_open")
     if not parsed.groupBy("page").count().filter("count > 1").isEmpty():
         streams = streams.dropDuplicates(["page"])
     hosts = streams.groupBy("host").agg(F.ceil(F.sum("n_tokens") / CHUNK_TOKENS).alias("chunks"), F.max(F.col("n_open") > 0).alias("some_open"))
@@ -266,13 +348,27 @@ def extract_pages(pages: DataFrame, run: int = RUN_TOKENS, id_col: str = "page_i
     covered = runs.filter("chunk < 0").select("page", "at").union(across.filter("open").join(common, ["host", "digest"]).select("page", "at")).distinct()
     covered = covered.groupBy("page").agg(F.collect_list("at").alias("starts"))  # one page's tokens at most
 
-    def keep(loose: pd.Series, starts: pd.Series) -> pd.Series:
-        return pd.Series([unique_runs(a, s, run) for a, s in zip(loose, starts)], dtype=object)
+    def keep(main: pd.Series, undecided: pd.Series, told: pd.Series, starts: pd.Series) -> pd.Series:
+        return pd.Series([decide(list(m), list(u), t, s, run) for m, u, t, s in zip(main, undecided, told, starts)], dtype=object)
+
+    whole = parsed.filter("size(open) = 0").select("id", "url", F.array_join("main", "\n\n").alias("text"))
+    some = parsed.filter("size(open) > 0").select("id", "url", "page", "main", "open", "told").join(covered, "page", "left")
+    decided = some.select("id", "url", F.pandas_udf(keep, "string")("main", "open", "told", "starts").alias("text"))
+    return whole.unionByName(decided).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
 
-    told = parsed.filter("text is not null").select("id", "url", "text")
-    open_pages = parsed.filter("text is null").select("id", "url", "page", "loose").join(covered, "page", "left")
-    decided = open_pages.select("id", "url", F.pandas_udf(keep, "string")("loose", "starts").alias("text"))
-    return told.unionByName(decided).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+
+def decide(main: list[str], undecided: list[int], told: bool, starts, run: int = RUN_TOKENS) -> str:
+    """The text of a page from its blocks, those to be decided on among them, and the starts of repeated runs in the latter."""
+    if not told:
+        return unique_runs(main, starts, run)
+    sizes = [len(main[n].split()) for n in undecided]
+    gone = np.zeros(sum(sizes) + run, bool)
+    for start in ([] if starts is None else starts):
+        if start < sum(sizes):
+            gone[start:start + run] = True
+    ends = np.cumsum(sizes)
+    lost = {n for n, size, end in zip(undecided, sizes, ends.tolist()) if gone[end - size:end].all()}
+    return "\n\n".join(t for n, t in enumerate(main) if n not in lost)
 
 
 def unique_runs(loose, starts, run: int = RUN_TOKENS) -> str:

@@ -525,3 +525,67 @@ def test_every_host_goes_through_the_suffix_arrays(spark, tmp_path, monkeypatch)
 
 def test_no_pages(spark):
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article><section id="social-impact"><p>Body text</p></section></article>', "Body text"),
+    ('<article><h2 id="related-work">Related work</h2><p>x</p></article>', "Related work\n\nx"),
+    ('<article><p class="share-price">The price</p></article>', "The price"),
+    ('<article><p class="share">Share this<p>Real text of the article</article>', "Real text of the article"),
+    ('<article><ul><li class="ad">Buy<li>Real item</ul></article>', "Real item"),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p></article>", "Let x=2 hold"),
+    ('<article><p>Text</p><ol class="commentlist"><li>I agree</ol></article>', "Text"),
+    ('<article><p>Text</p><section id="comments"><p>I agree</p></section><div class="comment-list">so do I</div></article>', "Text"),
+    ('<article><p>Text</p><div class="related-posts">More</div><div class="social-share-buttons">Share</div><div id="ad-slot-3">Buy</div></article>', "Text"),
+    ('<article><p>before <span class="ad">buy</span>after</p></article>', "before after"),
+    ("<article><table><tr><td>a<td>b<tr><td class=ad>c<td>d</table><p>e<div>f</div></article>", "a\n\nb\n\nd\n\ne\n\nf"),
+    ("<article><dl><dt>t<dd class=promo>no<dt>u<dd>v</dl><p class=notice>n<blockquote>q</blockquote></article>", "t\n\nu\n\nv\n\nq"),
+    ('<article><p class="ad">x<span><div>y</div></article>', "y"), ("<article><ul><li>a<ul><li>b</ul>c<li>d</ul></article>", "a\n\nb\n\nc\n\nd")])
+def test_nothing_of_an_article_is_lost(page, text):
+    assert html_text.split_page(page)[0] == text
+
+
+@pytest.mark.parametrize("chunk", [25, 10**6])
+def test_extraction_equals_brute_force(spark, monkeypatch, chunk):
+    """Open blocks go where runs of other pages of the host cover them; pages, streams and runs as plain lists."""
+    monkeypatch.setattr(html_text, "CHUNK_TOKENS", chunk)
+    rng = random.Random(16)
+    shared = ["our shares rose three per cent since the last report", "follow the whole story of this town with us today"]
+    rows = []
+    for n in range(40):
+        own = " ".join(f"w{rng.randrange(30)}" for _ in range(rng.choice([4, 9, 15])))
+        open_block = rng.choice([*shared, own, shared[0] + " x", "", "share this"])
+        body = f'<p>{own[::-1]}</p><div class="share-price">{open_block}</div><p>{rng.choice(shared)}</p>'
+        rows.append((n, f"http://host{n % 2}.example/{n}", f"<article>{body}</article><footer>foot</footer>" if n % 3 else f"<div>{body}</div><nav>{own}</nav>", n, "x"))
+    rows += [(7, rows[7][1], "<article><p>the same id with another text</p></article>", 1, "x"), rows[4], rows[4], (41, None, "<p>no url</p>", 1, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, page long, text string").repartition(4)
+    got = sorted((r.page_id, r.text) for r in html_text.extract_pages(pages).collect())
+
+    parsed = [(r[0], r[1], html_text.page_blocks(r[2])) for r in rows]
+    host = lambda url: (url or "").split("/")[2] if url else ""
+    streams = {}
+    for key, (main, undecided, _, other) in {r[:3]: p[2] for r, p in zip(rows, parsed)}.items():
+        flat = [main[k] for k in undecided] + other + [t for k, t in enumerate(main) if k not in undecided]
+        streams[key] = " ".join(flat).split()
+    holders = {}
+    for key, words in streams.items():
+        for k in range(len(words) - 5):
+            holders.setdefault((host(key[1]), *words[k:k + 6]), set()).add(key)
+    want, kinds = [], set()
+    for row, (key, url, (main, undecided, told, _)) in zip(rows, parsed):
+        words = streams[row[:3]]
+        starts = [k for k in range(len(words) - 5) if len(holders[host(url), *words[k:k + 6]]) > 1]
+        covered = {k + d for k in starts for d in range(6)}
+        out, at = [], 0
+        for n, block in enumerate(main):
+            if n not in undecided:
+                out.append(block)
+                continue
+            size = len(block.split())
+            left = [w for d, w in enumerate(block.split()) if at + d not in covered]
+            at += size
+            kinds.add((told, bool(left)))
+            out.append(block if told and left else "" if told else " ".join(left))
+        want.append((key, "\n\n".join(t for t in out if t)))
+    assert got == sorted(want)
+    assert kinds == {(True, True), (True, False), (False, True), (False, False)}
