@@ -17,7 +17,8 @@ HEADLINE = ["scan_select", "profile_numeric", "profile_category", "column_stats"
             "ks_two_sample", "drift_classification", "time_delta_entity", "step_difference", "kmeans_bins", "target_encode",
             "standardize", "split_holdout", "best_threshold", "regression_metrics", "prepare_for_regression", "surrogate_regression",
             "inverse_value_map", "target_encode_wide", "corr_levels_many", "correlated_columns_levels", "impute_iterative_line", "pca_pair",
-            "impute_iterative", "adversarial_validation", "boruta_select"]
+            "impute_iterative", "adversarial_validation", "boruta_select", "candidate_filter", "candidate_filter_nulls", "group_features_fitted",
+            "impute_iterative_two_holes"]
 
 
 def main() -> None:
