@@ -15,6 +15,8 @@ from ..functions.ordered import ROWS_PER_RANGE
 from .ranks import pairwise_spearman, rank_bounds
 
 _NARROW = 16
+#: Pairs whose correlations one aggregate of plain expressions gives; a longer one no longer compiles as a whole.
+_FEW = 20
 #: Columns of a block of the matrix: six sums of this many squared doubles in a worker.
 BLOCK_COLUMNS = 1000
 
@@ -28,11 +30,21 @@ def _safe_corr(a: str, b: str) -> Column:
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
     """Pairwise-complete Pearson correlations of the named pairs (driver dictionary)."""
     cols = sorted({c for p in pairs for c in p})
-    if len(pairs) <= _NARROW * (_NARROW - 1) // 2:
+    if len(pairs) <= _FEW:
         if not pairs:
             return {}
         row = df.agg(*[_safe_corr(a, b).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
         return {p: row[str(i)] for i, p in enumerate(pairs)}
+    sides = [sorted({p[k] for p in pairs}) for k in (0, 1)]
+    if len(sides[0]) * len(sides[1]) <= 4 * len(pairs) and max(map(len, sides)) <= BLOCK_COLUMNS:
+        # one rectangle of the matrix, such as many features beside one target
+        means = collect_stats(df, cols, lambda x: {"m": F.avg(x.cast("double"))})
+        data = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+        left, right = (np.array([cols.index(c) for c in side]) for side in sides)
+        part = _block_correlations(data, left, right, np.array([means[c]["m"] or 0.0 for c in cols]))
+        places = [{c: i for i, c in enumerate(side)} for side in sides]
+        values = {(a, b): part[places[0][a], places[1][b]] for a, b in pairs}
+        return {p: None if np.isnan(r) else float(r) for p, r in values.items()}
     matrix = correlation_matrix(df, cols)
     at = {c: i for i, c in enumerate(cols)}
     return {(a, b): (None if np.isnan(matrix[at[a], at[b]]) else float(matrix[at[a], at[b]])) for a, b in pairs}
