@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ordered import range_cut
 from ..operators import features
 from ..session import table
 from .registry import register, rounded
@@ -55,9 +56,9 @@ SELECT event_id, round(dv, 6) AS value_delta,
  round(last_value(CASE WHEN gap <> 0 THEN dc / gap END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS clock_delta FROM x""")
 def step_difference(spark, d):
     events = table(spark, d, "events").select("event_id", "ts", "value", (F.col("event_id") * 1.5 + F.col("value") / 1000).alias("clock"))
-    gaps = features.time_delta(events, "ts", ["ts", "event_id"])
-    state = features.fit_step_difference(gaps, ["value", "clock"], "ts_delta", ["ts", "event_id"])
-    return rounded(features.apply_step_difference(gaps, state).select("event_id", "value_delta", "clock_delta"), 6)
+    cut = range_cut(events, ["ts", "event_id"])
+    state = features.fit_time_steps(events, "ts", ["value", "clock"], ["ts", "event_id"], cut=cut)
+    return rounded(features.apply_time_steps(events, state, cut=cut).select("event_id", "value_delta", "clock_delta"), 6)
 
 
 def _lines(spark, d, *cols):

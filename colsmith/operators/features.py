@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import collect_stats, value_counts
 from ..functions.lookup import broadcast_fits, level_lookup
-from ..functions.ordered import ROWS_PER_RANGE, ordered_scan
+from ..functions.ordered import ROWS_PER_RANGE, RangeCut, ordered_scan, range_cut
 from ..session import cut_lineage
 from .association import correlations
 from .roles import numeric_columns
@@ -100,6 +100,45 @@ def apply_step_difference(df: DataFrame, state: Mapping, rows_per_range: int = R
     return out
 
 
+def fit_time_steps(df: DataFrame, time: str, cols: Sequence[str], order_by: Sequence[str], partition_by: Sequence[str] = (),
+                   rows_per_range: int = ROWS_PER_RANGE, cut: RangeCut | None = None) -> dict:
+    """``time_delta`` and ``fit_step_difference`` in one go: one cut of the order, one count of the gaps, one scan of sums."""
+    cut = cut or range_cut(df, [*partition_by, *order_by], rows_per_range)
+    prev = ordered_scan(df, order_by, partition_by, lag={"__prev": seconds(F.col(time))}, cut=cut, marked=True)
+    gap = F.round(seconds(F.col(time)) - F.col("__prev"), 1)
+    counts = prev.groupBy(gap.alias("gap")).agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("gap").isNotNull()
+    total, missing, common, fill = counts.agg(
+        F.sum("n"), F.sum(F.when(~known, F.col("n"))), F.max(F.when(known, F.col("n"))),
+        F.min_by("gap", F.when(known, F.struct(-F.col("n"), F.col("gap"))))).first()
+    # first rows take the commonest gap and count as such
+    common = (common or 0) + (missing or 0)
+    flags = {c: False for c in cols}
+    if total and fill is not None and common / total < 0.9:
+        timed = prev.withColumn("__gap", F.coalesce(gap, F.lit(fill)))
+        scan = ordered_scan(timed, order_by, partition_by, running={"__elapsed": "__gap"}, cut=cut)
+        found = correlations(scan, [(c, "__elapsed") for c in cols])
+        flags = {c: abs(found[c, "__elapsed"] or 0.0) >= 0.5 for c in cols}
+    return {"time": time, "fill": fill, "divide": flags, "order_by": list(order_by), "partition_by": list(partition_by)}
+
+
+def apply_time_steps(df: DataFrame, state: Mapping, rows_per_range: int = ROWS_PER_RANGE, cut: RangeCut | None = None) -> DataFrame:
+    """``<time>_delta`` and, as ``apply_step_difference`` does, ``<col>_delta``; rows are shuffled and sorted once."""
+    time, cols = state["time"], list(state["divide"])
+    order, part = state["order_by"], state["partition_by"]
+    cut = cut or range_cut(df, [*part, *order], rows_per_range)
+    lags = {"__prev": seconds(F.col(time)), **{f"__p_{c}": F.col(c).cast("double") for c in cols}}
+    scan = ordered_scan(df, order, part, lag=lags, cut=cut, marked=True)
+    ruler = F.coalesce(F.round(seconds(F.col(time)) - F.col("__prev"), 1), F.lit(state["fill"]).cast("double"))
+    step = {c: F.coalesce(F.col(c).cast("double") - F.col(f"__p_{c}"), F.lit(0.0)) for c in cols}
+    rate = [c for c in cols if state["divide"][c]]
+    made = [F.when(ruler != 0, step[c] / ruler).alias(f"__r_{c}") if c in rate else step[c].alias(f"__r_{c}") for c in cols]
+    out = scan.select(*df.columns, "__rg", "__ent", ruler.alias(f"{time}_delta"), *made)
+    if rate:
+        out = ordered_scan(out, order, part, fill={f"__k_{c}": f"__r_{c}" for c in rate}, cut=cut)
+    return out.select(*df.columns, f"{time}_delta", *[F.col(f"__k_{c}" if c in rate else f"__r_{c}").alias(f"{c}_delta") for c in cols])
+
+
 # ---- powers, waves and crosses ------------------------------------------------------------
 
 def nonnegative(df: DataFrame, cols: Sequence[str]) -> list[str]:

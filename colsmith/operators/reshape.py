@@ -2,8 +2,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import and_
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -92,16 +90,10 @@ def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 0) -> Da
 
 
 def _split_strata(df, size, keys, shuffle, stratify, seed, rows_per_range):
+    # the size of a stratum comes out of the scan, so no join meets a hot stratum; a null is a stratum of its own
     order = F.xxhash64(*keys, F.lit(seed)) if shuffle else F.lit(0)
-    base = df.withColumn("__cut", order)
-    numbered = ordered_scan(base, ["__cut", *keys], stratify, row_number="__pos", rows_per_range=rows_per_range)
-    sizes = df.groupBy(*stratify).agg(F.round(F.count(F.lit(1)) * size).cast("long").alias("__second"),
-                                      F.count(F.lit(1)).alias("__all"))
-    # a null is a stratum of its own; names of the sizes are apart from the rows' names
-    named = sizes.select(*[F.col(f"`{c}`").alias(f"__by{i}") for i, c in enumerate(stratify)], "__second", "__all")
-    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(stratify)])
-    marked = numbered.join(F.broadcast(named) if sizes.count() <= 100_000 else named, same)
-    tail = F.col("__pos") > F.col("__all") - F.col("__second")
+    marked = ordered_scan(df.withColumn("__cut", order), ["__cut", *keys], stratify, row_number="__pos", size="__all", rows_per_range=rows_per_range)
+    tail = F.col("__pos") > F.col("__all") - F.round(F.col("__all") * size).cast("long")
     return (marked.filter(~tail).select(*df.columns), marked.filter(tail).select(*df.columns))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from colsmith.functions import tests_of_fit as tof
 from colsmith.functions.lookup import broadcast_fits, level_lookup
-from colsmith.functions.ordered import average_ranks, ordered_scan, range_id, split_points
+from colsmith.functions.ordered import average_ranks, ordered_scan, range_cut, range_id, split_points
 from colsmith.functions.quantiles import exact_quantiles, value_at_rank
 
 
@@ -163,3 +163,29 @@ def test_critical_distances_of_published_tables():
         assert tof.ks_two_sample_p(1.3 / math.sqrt(n / 2), n, n) == pytest.approx(tof.kolmogorov_tail(1.3), abs=0.01)
     assert tof.ks_one_sample_p(1.2 / math.sqrt(1000), 1000) == pytest.approx(tof.kolmogorov_tail(1.2), abs=0.01)
     assert tof.ks_two_sample_p(0.0, 7, 9) == 1.0 and tof.ks_one_sample_p(0.0, 7) == 1.0
+
+
+@pytest.mark.parametrize("entity", [["ent"], []])
+def test_fine_ranges_and_carries_in_blocks(spark, entity):
+    """Bounds in two levels, a stored table below literals: the same results, sizes of entities too."""
+    pdf = series(3000)
+    df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v"))).repartition(4)
+    df = df.withColumn("ent", F.when(F.col("ent") > 0, F.col("ent")))               # null is an entity of its own, and the hot one
+    cut = range_cut(df, [*entity, "ts", "rid"], 10, coarse=6)
+    assert cut.fine and cut.ranges > 150 and len(cut.bounds) <= 6
+    placed = cut.mark(df, "rg").toPandas().sort_values([*entity, "ts", "rid"], na_position="first")
+    assert placed["rg"].is_monotonic_increasing and placed["rg"].value_counts().max() < 60
+    got = ordered_scan(df, ["ts", "rid"], entity, lag={"prev": "w"}, running={"cum": "w"}, fill={"seen": "v"}, row_number="rn", size="n",
+                       cut=cut).toPandas().sort_values("rid").reset_index(drop=True)
+    want = pdf.sort_values([*entity, "ts", "rid"])
+    groups = want.groupby(entity) if entity else want.groupby(lambda _: 0)
+    want = want.assign(prev=groups["w"].shift(1), cum=groups["w"].cumsum(), seen=groups["v"].ffill(), rn=groups.cumcount() + 1,
+                       n=groups["rid"].transform("size")).sort_values("rid").reset_index(drop=True)
+    for c in ("prev", "cum", "seen", "rn", "n"):
+        np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), err_msg=c)
+
+
+def test_a_cut_serves_one_order_only(spark):
+    df = spark.createDataFrame(series(50))
+    with pytest.raises(ValueError, match="not by"):
+        ordered_scan(df, ["rid"], row_number="n", cut=range_cut(df, ["ts", "rid"]))

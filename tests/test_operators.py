@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from colsmith.functions import lookup
 from colsmith.functions import tests_of_fit as tof
+from colsmith.functions.ordered import range_cut
 from colsmith.operators import association, cleaning, drift, encoding, features, imputation, profiling, ranks, reshape, roles, scaling
 from colsmith.operators.roles import CheckError
 
@@ -165,6 +166,35 @@ def test_stratified_split_keeps_shares(spark):
     assert first.count() == 810 and first.intersect(second).count() == 0
 
 
+def test_a_hot_stratum_is_cut_into_ranges(spark):
+    """Half of the rows in one stratum, the rest in thousands: exact shares, no piece above two ranges, no join on the stratum."""
+    rows, per = 12_000, 300
+    df = spark.range(rows).withColumn("s", F.when(F.col("id") % 2 == 0, -1).otherwise(F.floor(F.col("id") / 4)))
+    first, second = reshape.split(df, 0.25, ["id"], stratify=["s"], rows_per_range=per)
+    got = {r.s: r["count"] for r in second.groupBy("s").count().collect()}
+    assert got.pop(-1) == rows // 8 and set(got.values()) <= {0, 1}
+    assert first.count() + second.count() == rows and first.intersect(second).count() == 0
+    cut = range_cut(df, ["s", "id"], per)
+    pieces = cut.mark(df, "rg").groupBy("rg").count().agg(F.max("count"), F.avg("count")).first()
+    assert pieces[0] <= 2 * pieces[1]
+
+
+@pytest.mark.parametrize("per_range", [2, 1000])
+def test_time_steps_equal_the_separate_steps(spark, per_range):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(0, 3)), float(t), float(t) * 0.5 + float(rng.normal()), float(rng.normal()))
+            for i, t in enumerate(np.cumsum(rng.integers(0, 5, 120)))]
+    df = spark.createDataFrame(rows, "k int, e int, at double, v double, w double").withColumn("at", F.timestamp_seconds("at"))
+    gaps = features.time_delta(df, "at", ["at", "k"], ["e"], rows_per_range=per_range)
+    state = features.fit_step_difference(gaps, ["v", "w"], "at_delta", ["at", "k"], ["e"], rows_per_range=per_range)
+    want = features.apply_step_difference(gaps, state, rows_per_range=per_range).orderBy("k").collect()
+    fused = features.fit_time_steps(df, "at", ["v", "w"], ["at", "k"], ["e"], rows_per_range=per_range)
+    assert fused["divide"] == state["divide"] and any(fused["divide"].values())
+    assert features.apply_time_steps(df, fused, rows_per_range=per_range).orderBy("k").collect() == want
+    none = df.filter("k < 0")
+    assert features.apply_time_steps(none, features.fit_time_steps(none, "at", ["v"], ["at", "k"])).count() == 0
+
+
 def test_frames_equal_ignores_order(spark):
     a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "n int, s string")
     assert reshape.frames_equal(a, a.orderBy(F.desc("n")))
