@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import modeling, selection
 from ..plans import preparation, regression_prep, reports
 from ..session import table
-from .registry import line_halves, register, rounded
+from .registry import TEST_SQL, TRAIN_SQL, line_halves, register, rounded
 
 
 def _signals(spark, d):
@@ -267,6 +267,45 @@ def eda_report(spark, d):
     return rounded(reports.eda_report(events, "value"), 4, "value")
 
 
+def _compared(spark, d):
+    """Early and late lines: prices of late ones are moved far off, and their quantities are missing on the first two lines of an order."""
+    train, test = line_halves(spark, d)
+    cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_tax", "l_returnflag"]
+    moved = test.withColumn("l_extendedprice", F.col("l_extendedprice") + 200000).withColumn("l_quantity", F.when(F.col("l_linenumber") > 2, F.col("l_quantity")))
+    return train.select(*cols), moved.select(*cols), ["l_orderkey", "l_linenumber", "l_partkey"]
+
+
+COMPARE_A = f"SELECT l_quantity, l_extendedprice, l_tax, l_returnflag FROM ({TRAIN_SQL})"
+COMPARE_B = ("SELECT CASE WHEN l_linenumber > 2 THEN l_quantity END AS l_quantity, l_extendedprice + 200000 AS l_extendedprice, l_tax, l_returnflag "
+             f"FROM ({TEST_SQL})")
+
+
+def _compare_sql(points):
+    out = []
+    for name, t in (("train", "a"), ("test", "b")):
+        out.append(f"SELECT 'rows' AS section, '{name}' AS dataset, NULL AS feature, 'n' AS stat, NULL::DOUBLE AS position, count(*)::DOUBLE AS value FROM {t}")
+        bits = " || ".join(f"(CASE WHEN {c} IS NULL THEN '1' ELSE '0' END)" for c in ("l_quantity", "l_extendedprice", "l_tax", "l_returnflag"))
+        out.append(f"SELECT 'patterns', '{name}', NULL, {bits}, NULL, count(*) FROM {t} GROUP BY 4")
+        out.append(f"SELECT 'levels', '{name}', 'l_returnflag', l_returnflag, row_number() OVER (ORDER BY count(*) DESC, l_returnflag), "
+                   f"round(count(*) / (SELECT count(*) FROM {t}), 6) FROM {t} WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag")
+        for c in ("l_quantity", "l_extendedprice", "l_tax"):
+            out.append(f"""SELECT 'overlay', '{name}', '{c}', 'density', round(p, 4), round((SELECT sum(exp(-0.5 * pow((p - {c}) / h, 2))) FROM {t}) / (n * h * sqrt(2 * pi())), 6)
+FROM (SELECT count({c}) n, stddev_samp({c}) * pow(count({c}), -0.2) h FROM {t}) s,
+ (SELECT lo + (hi - lo) * i / {points - 1} AS p FROM (SELECT min({c}) lo, max({c}) hi FROM (SELECT {c} FROM a UNION ALL SELECT {c} FROM b)) g, range({points}) r(i))""")
+    out.append("SELECT 'adversarial', NULL, 'l_extendedprice', 'removed', 0, 1")
+    out.append("SELECT 'adversarial', NULL, 'l_quantity', 'removed', 1, 1")
+    return f"WITH a AS ({COMPARE_A}), b AS ({COMPARE_B}) " + " UNION ALL ".join(out)
+
+
+@register("eda_compare_report", _compare_sql(20))
+def eda_compare_report(spark, d):
+    """Everything of the report that is determined: all but auc and importances, and the removals of planted drift."""
+    first, second, key = _compared(spark, d)
+    out = reports.eda_compare_report(first, second, key, 20, trees=10, max_rounds=2)
+    out = out.filter((F.col("section") != "adversarial") | (F.col("stat") == "removed"))
+    return rounded(rounded(out, 4, "position"), 6, "value")
+
+
 KEPT = "(SELECT * FROM lineitem WHERE NOT (l_returnflag = 'A' AND l_linenumber = 7))"
 
 

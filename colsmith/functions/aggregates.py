@@ -30,7 +30,7 @@ def long_stats(df: DataFrame, cols: Sequence[str], stats: Callable[[Column], Map
     return reduce(DataFrame.unionByName, parts)
 
 
-def _comparable(name: str, dtype: T.DataType) -> tuple[str, Column]:
+def comparable(name: str, dtype: T.DataType) -> tuple[str, Column]:
     """A value as a long, a double or text: equal there exactly when equal as it is."""
     x = F.col(f"`{name}`")
     if isinstance(dtype, (T.IntegralType, T.BooleanType)):
@@ -55,7 +55,7 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], key: str = "feature", ou
     parts = []
     for at in range(0, len(cols), COLUMNS_PER_JOB):
         block = list(cols[at:at + COLUMNS_PER_JOB])
-        made = [_comparable(c, df.schema[c].dataType) for c in block]
+        made = [comparable(c, df.schema[c].dataType) for c in block]
         kinds = sorted({kind for kind, _ in made})
         items = [F.struct(F.lit(i).alias("__at"), *[(value if kind == k else F.lit(None).cast(k)).alias(f"__{k}") for k in kinds])
                  for i, (kind, value) in enumerate(made)]

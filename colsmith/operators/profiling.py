@@ -1,9 +1,12 @@
 """Column profiles and the numbers behind the usual exploratory charts."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,6 +199,62 @@ def kde_compare(left: DataFrame, right: DataFrame, col: str, points: int = 100)
     return a.unionByName(kde_grid(right, col, points, low, high).select(F.lit("test").alias("dataset"), "*"))
 
 
+def kde_overlay(first: DataFrame, second: DataFrame, cols: Sequence[str], points: int = 100,
+                names: tuple[str, str] = ("train", "test")) -> DataFrame:
+    """``dataset, feature, point, position, density`` of many columns in two tables, each column on a grid common to both.
+
+    Two scans in all: one for ends and spreads, one in which every Arrow batch adds its kernels to one row of sums per column;
+    a task sends (columns x points) numbers on. Null, NaN and infinite values take no part. A column with fewer than two
+    different values in either table has no density and gives no rows.
+    """
+    def finite(c: str) -> Column:
+        x = F.col(f"`{c}`").cast("double")
+        return F.when(F.abs(x) < float("inf"), x).alias(c)
+
+    tag = spare_name(cols, "dataset")
+    both = (first.select(F.lit(names[0]).alias(tag), *[finite(c) for c in cols])
+            .unionByName(second.select(F.lit(names[1]).alias(tag), *[finite(c) for c in cols])))
+    facts: dict[str, dict[str, dict]] = {c: {} for c in cols}
+    for name, part in ((n, both.filter(F.col(tag) == n)) for n in names):
+        for c, s in collect_stats(part, cols, lambda x: {"n": F.count(x), "lo": F.min(x), "hi": F.max(x), "sd": F.stddev_samp(x)}).items():
+            facts[c][name] = s
+    live = [c for c in cols if all(facts[c][n]["sd"] for n in names)]
+    schema = "dataset string, feature string, point int, position double, density double"
+    if not live:
+        return first.sparkSession.createDataFrame([], schema)
+    grids = {c: np.linspace(min(facts[c][n]["lo"] for n in names), max(facts[c][n]["hi"] for n in names), points) for c in live}
+    widths = {(c, n): facts[c][n]["sd"] * facts[c][n]["n"] ** -0.2 for c in live for n in names}
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+        for batch in batches:
+            tags = np.asarray(batch.column(0).to_pylist(), dtype=object)
+            for i, c in enumerate(live):
+                x = batch.column(i + 1).to_numpy(zero_copy_only=False)
+                for n in names:
+                    some = x[(tags == n) & ~np.isnan(x)]
+                    total = held.setdefault((n, c), np.zeros(points))
+                    for at in range(0, len(some), 4096):
+                        total += np.exp(-0.5 * ((grids[c][:, None] - some[None, at:at + 4096]) / widths[c, n]) ** 2).sum(axis=1)
+        if held:
+            keys = list(held)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]),
+                                              pa.array([held[k].tolist() for k in keys], pa.list_(pa.float64()))], ["dataset", "feature", "sums"])
+
+    parts = both.select(tag, *[f"`{c}`" for c in live]).mapInArrow(sums, "dataset string, feature string, sums array<double>")
+    added = parts.select("dataset", "feature", F.posexplode("sums").alias("point", "s")).groupBy("dataset", "feature", "point").agg(F.sum("s").alias("s"))
+    rows = [(n, c, i, float(grids[c][i]), float(1 / (facts[c][n]["n"] * widths[c, n] * math.sqrt(2 * math.pi))))
+            for c in live for n in names for i in range(points)]
+    frame = first.sparkSession.createDataFrame(rows, "dataset string, feature string, point int, position double, scale double")
+    return frame.join(added, ["dataset", "feature", "point"]).select("dataset", "feature", "point", "position", (F.col("s") * F.col("scale")).alias("density"))
+
+
+def spare_name(taken: Sequence[str], name: str) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def kde_slope(grid: DataFrame, points: Sequence[float]) -> DataFrame:
     """Gradient at the first grid position past each point, 0 beyond the grid."""
     past = [F.struct(F.lit(float(p)).alias("point"), F.col(f"s{i}").alias("slope")) for i, p in enumerate(points)]

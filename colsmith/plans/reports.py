@@ -47,6 +47,48 @@ def eda_compare(first: DataFrame, second: DataFrame, key: Sequence[str], **optio
     return modeling.adversarial_table(first, second, cols, key, **options)
 
 
+def eda_compare_report(first: DataFrame, second: DataFrame, key: Sequence[str], points: int = 50, model: bool = True,
+                       names: tuple[str, str] = ("train", "test"), **options) -> DataFrame:
+    """The numbers of the two-table report: ``section, dataset, feature, stat, position, value``.
+
+    ``rows``: the size of each table. ``overlay``: densities of each numeric column on a common grid. ``patterns``: how often each
+    combination of missing columns occurs in each table (one digit per feature, in ``feature_order``). ``levels``: the share
+    of each level of the nominal columns in each table (the 30 commonest). ``adversarial``: for each round (``position``) the auc of
+    telling the tables apart, every feature's importance and whether the leading one was removed; nothing where the
+    tables are equal. Both tables must have the same roles.
+    """
+    if (roles.numeric_columns(first), roles.nominal_columns(first)) != (roles.numeric_columns(second), roles.nominal_columns(second)):
+        raise ValueError("the features of the two tables differ")
+    numeric = [c for c in roles.numeric_columns(first) if c not in key]
+    nominal = [c for c in roles.nominal_columns(first) if c not in key]
+    none, no_place = F.lit(None).cast("string"), F.lit(None).cast("double")
+    parts = []
+    for name, df in zip(names, (first, second)):
+        tag = F.lit(name).alias("dataset")
+        parts.append(df.agg(F.count(F.lit(1)).cast("double").alias("value"))
+                     .select(F.lit("rows").alias("section"), tag, none.alias("feature"), F.lit("n").alias("stat"), no_place.alias("position"), "value"))
+        parts.append(profiling.missing_patterns(df, [*numeric, *nominal]).select(
+            F.lit("patterns").alias("section"), tag, none.alias("feature"), F.col("pattern").alias("stat"), no_place.alias("position"), F.col("n").cast("double").alias("value")))
+        if nominal:
+            counts = profiling.category_counts(df, nominal)
+            whole = df.agg(F.count(F.lit(1)).alias("__all"))
+            parts.append(counts.join(F.broadcast(whole)).select(
+                F.lit("levels").alias("section"), tag, "feature", F.col("value").alias("stat"), F.col("rank").cast("double").alias("position"),
+                (F.col("n") / F.col("__all")).alias("value")))
+    if numeric:
+        overlay = profiling.kde_overlay(first, second, numeric, points, names)
+        parts.append(overlay.select(F.lit("overlay").alias("section"), "dataset", "feature", F.lit("density").alias("stat"), "position", F.col("density").alias("value")))
+    if model and not reshape.frames_equal(first, second):
+        log = modeling.adversarial_validation(first, second, [*numeric, *nominal], key, **options)
+        rows = []
+        for r in log:
+            at = float(r["round"])
+            rows += [("adversarial", None, None, "auc", at, r["auc"]), ("adversarial", None, r["feature"], "removed", at, float(r["removed"]))]
+            rows += [("adversarial", None, c, "importance", at, float(v)) for c, v in r["importances"].items()]
+        parts.append(first.sparkSession.createDataFrame(rows, "section string, dataset string, feature string, stat string, position double, value double"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def upload_check(df: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
     """Purged table, its column profile and the facts stored beside it."""
     tables.check_head(df.columns)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from colsmith.functions import lookup
 from colsmith.functions import tests_of_fit as tof
 from colsmith.functions.ordered import range_cut
-from colsmith.operators import association, cleaning, drift, encoding, features, imputation, profiling, ranks, reshape, roles, scaling
+from colsmith.operators import association, cleaning, drift, encoding, features, imputation, merging, profiling, ranks, reshape, roles, scaling
 from colsmith.operators.roles import CheckError
+from colsmith.plans import reports
 
 
 # ---- roles --------------------------------------------------------------------------------
@@ -735,3 +736,57 @@ def test_levels_are_found_by_search(spark):
     exact = spark.createDataFrame([(1.0 + 1e-12,), (1.1,), (2.0,)], "c double")
     assert [r.c for r in encoding.inverse_value_map(exact, maps).collect()] == ["b", None, "a"]
     assert encoding.inverse_value_map(df, {"c": {}}).filter("c is not null").count() == 0
+
+
+# ---- mergeable profiles and the overlay of two tables --------------------------------------
+
+def test_states_merge_in_any_grouping(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"i": rng.integers(0, 700, 2000), "x": np.where(rng.random(2000) < 0.1, np.nan, 1e9 + rng.normal(size=2000)),
+                        "s": rng.integers(0, 5000, 2000).astype(str)})
+    df = spark.createDataFrame(pdf).withColumn("none", F.lit(None).cast("double")).withColumn("part", F.pmod(F.col("i"), F.lit(4)))
+    parts = [merging.profile_state(df.filter(F.col("part") == p), ["i", "x", "s", "none"]) for p in (0, 1, 2, 3, 9)]   # 9: no rows
+    for n, part in enumerate(parts):
+        merging.write_state(part, f"{tmp_path}/{n}")
+    every = merging.merge_states(merging.read_states(spark, [f"{tmp_path}/{n}" for n in range(5)]))
+    pair = merging.merge_states(parts[0].union(parts[1]))
+    nested = merging.merge_states(pair.union(merging.merge_states(parts[2].union(parts[3]))).union(parts[4]))
+    whole = merging.state_profile(merging.profile_state(df, ["i", "x", "s", "none"])).toPandas().set_index("column_name")
+    for merged in (every, nested):
+        got = merging.state_profile(merged).toPandas().set_index("column_name").loc[whole.index]
+        np.testing.assert_allclose(got["nunique"], whole["nunique"], rtol=0.05)  # estimates depend on the grouping, within the error
+        for c in ("n_missing", "count", "min_text", "max_text", "min_value", "max_value"):
+            assert got[c].astype(object).where(got[c].notna(), None).tolist() == whole[c].astype(object).where(whole[c].notna(), None).tolist()
+        np.testing.assert_allclose(got["std"].astype(float), whole["std"].astype(float), rtol=1e-6)
+    assert abs(whole.loc["i", "nunique"] / pdf["i"].nunique() - 1) < 0.06 and whole.loc["none", "nunique"] == 0
+    assert whole.loc["x", "std"] == pytest.approx(pdf["x"].std(), rel=1e-6)
+
+
+def test_overlay_equals_plain_kernels(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=300), rng.normal(2, 3, size=200)
+    first = spark.createDataFrame(pd.DataFrame({"dataset": a, "one": 1.0})).union(spark.createDataFrame([(None, 1.0), (float("nan"), 1.0)], "dataset double, one double"))
+    second = spark.createDataFrame(pd.DataFrame({"dataset": b, "one": 1.0}))
+    got = profiling.kde_overlay(first.repartition(3), second, ["dataset", "one"], 15).toPandas()
+    assert set(got["feature"]) == {"dataset"}                                   # a constant has no density; the name clashes with the tag
+    grid = np.linspace(min(a.min(), b.min()), max(a.max(), b.max()), 15)
+    for name, x in (("train", a), ("test", b)):
+        h = x.std(ddof=1) * len(x) ** -0.2
+        want = np.exp(-0.5 * ((grid[:, None] - x) / h) ** 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+        mine = got[got["dataset"] == name].sort_values("point")
+        np.testing.assert_allclose(mine["density"], want, rtol=1e-9)
+        np.testing.assert_allclose(mine["position"], grid)
+    assert profiling.kde_overlay(first.limit(0), second, ["dataset"]).count() == 0
+
+
+def test_two_table_report(spark):
+    df = spark.range(400).select("id", (F.col("id") % 17).cast("double").alias("x"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("s"))
+    same = reports.eda_compare_report(df, df, ["id"], points=5)
+    assert {r.section for r in same.select("section").distinct().collect()} == {"rows", "patterns", "levels", "overlay"}
+    far = df.withColumn("x", F.col("x") + 100)
+    log = reports.eda_compare_report(df, far, ["id"], points=5, trees=5).filter("section = 'adversarial'").toPandas()
+    first = log[log["position"] == 0]
+    assert first[first["stat"] == "auc"]["value"].item() == 1.0 and first[first["stat"] == "removed"]["feature"].item() == "x"
+    assert set(first[first["stat"] == "importance"]["feature"]) == {"x", "s"}
+    with pytest.raises(ValueError, match="differ"):
+        reports.eda_compare_report(df, df.drop("x"), ["id"])
