@@ -1,16 +1,17 @@
 """Line dedup by winnowing: window minima over line hashes find repeated runs, which are extended and deleted later on.
 
-The unit is a gram: the shortest run of lines from a line on that holds ``min_words`` words (one line, mostly). A window
-is a run of grams, and the gram with the least hash of every window is selected, so that any repeated run of
-``sure_words`` words shares a selected gram in both places. By default a window is one gram: all are selected, with those that end
-at each line, so that every line of a repeated run of ``min_words`` words lies in a gram of that run, which is looked up by itself
-wherever the rest of the run stands first. Each selected gram carries the hashes of its neighbours up to
-``sure_words`` words either way, which reaches the next selected ones; comparing them with those of the gram's first
-place extends the match.
+The unit is a gram: the shortest run of lines from a line on that holds ``gram_words`` words (one line that is not blank, by
+default). A window is a run of grams, and the gram with the least hash of every window is selected, so that any run of
+``min_words`` words that stands in two places shares a selected gram in both. Positions of a gram are joined by its hash.
+Where it repeats, each position is extended both ways to the shortest runs around it that hold ``min_words`` words, from each line
+on and up to each line; these are joined by their own hash, wherever they stand first. A longer run is the union of such
+runs, so every line of it goes, though other parts of the run may stand earlier elsewhere.
 """
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,14 @@ from .store import materialize, slices, spare
 
 MIN_WORDS = 5
 SURE_WORDS = 5
+GRAM_WORDS = 1
 
 
 def select_grams(lines: list[str], min_words: int = MIN_WORDS, sure_words: int = SURE_WORDS) -> tuple[list[bytes], list[int], list[tuple[int, int, bytes]]]:
     """Line hashes (of the line without outer white space), word counts, and (first line, last line, hash) of the selected grams.
 
     A window from a gram on reaches as far as it takes to hold ``sure_words - min_words + 1`` words. Behind the last gram
-    inside a run come fewer than ``min_words`` words of it, so a run of ``sure_words`` words holds a whole window. Where windows
-    are single grams, the shortest runs of ``min_words`` words that end at each line are selected too.
+    inside a run come fewer than ``min_words`` words of it, so a run of ``sure_words`` words holds a whole window.
     """
     hashes = [xxhash.xxh3_128_digest(line.strip().encode()) for line in lines]
     counts = [len(line.split()) for line in lines]
@@ -49,15 +50,6 @@ def select_grams(lines: list[str], min_words: int = MIN_WORDS, sure_words: int =
             break
         grams.append((start, end, _mark(hashes, start, end)))
     need = max(min_words, sure_words - min_words + 1)
-    if need <= min_words:
-        spans = {(low, high) for low, high, _ in grams}
-        start = 0
-        for end, count in enumerate(counts):
-            while before[end + 1] - before[start + 1] >= min_words:
-                start += 1
-            if count and before[end + 1] - before[start] >= min_words and (start, end) not in spans:
-                grams.append((start, end, _mark(hashes, start, end)))
-        return hashes, counts, sorted(grams)
     chosen: set[int] = set()
     last = 0
     for first, gram in enumerate(grams):
@@ -75,74 +67,101 @@ def _mark(hashes: list[bytes], start: int, end: int) -> bytes:
     return hashes[start] if start == end else xxhash.xxh3_128_digest(b"".join(hashes[start:end + 1]))
 
 
-def _around(hashes: list[bytes], counts: list[int], at: int, step: int, words: int) -> bytes:
-    """The first 8 hash bytes of the lines after (or before) ``at`` until they hold ``words`` words."""
-    out, held = [], 0
-    at += step
-    while 0 <= at < len(hashes) and held < words:
-        out.append(hashes[at][:8])
-        held += counts[at]
-        at += step
-    return b"".join(out)
+def runs_around(hashes: list[bytes], counts: list[int], before: list[int], low: int, high: int, words: int) -> list[tuple[int, int, bytes]]:
+    """(first line, last line, hash) of the shortest runs of ``words`` words, from a line on or up to a line, that hold lines ``low`` to ``high``.
 
-
-def _same(a: bytes, b: bytes) -> int:
-    """How many 8-byte entries agree from the beginning."""
-    n = min(len(a), len(b)) // 8
-    differ = np.flatnonzero(np.frombuffer(a, np.uint64, n) != np.frombuffer(b, np.uint64, n))
-    return int(differ[0]) if len(differ) else n
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, sure_words: int = SURE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Runs from or up to a blank line count, too. Hashes of runs with a common end are chained, so that many blank lines cost one step each.
+    """
+    out = set()
+    last, held = -1, b""
+    x = low
+    while x >= 0 and before[low] - before[x] < words:
+        end = bisect_left(before, before[x] + words) - 1
+        if end >= len(counts):
+            x -= 1
+            continue
+        if end < high:
+            break
+        if end == last:
+            held = xxhash.xxh3_128_digest(hashes[x] + held)
+        else:
+            held = hashes[end]
+            for k in range(end - 1, x - 1, -1):
+                held = xxhash.xxh3_128_digest(hashes[k] + held)
+        last = end
+        out.add((x, end, held))
+        x -= 1
+    last, held = -1, b""
+    y = high
+    while y < len(counts) and before[y + 1] - before[high + 1] < words:
+        start = bisect_right(before, before[y + 1] - words) - 1
+        if start < 0:
+            y += 1
+            continue
+        if start > low:
+            break
+        if start == last:
+            held = xxhash.xxh3_128_digest(held + hashes[y])
+        else:
+            held = hashes[start]
+            for k in range(start + 1, y + 1):
+                held = xxhash.xxh3_128_digest(held + hashes[k])
+        last = start
+        out.add((start, y, held))
+        y += 1
+    return sorted(out)
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, sure_words: int = SURE_WORDS, id_col: str = "doc_id", text_col: str = "text",
+                gram_words: int = GRAM_WORDS) -> DataFrame:
     """``docs`` without later repeats of runs of lines; adds ``n_lines`` and ``removed_lines`` (underscores if taken).
 
     The first place by (id, text hash, line) of every line stays, so no content is lost. Lines compare without outer
-    white space. By default every line of a repeated run of ``min_words`` words is cut. With larger ``sure_words`` a run of as many
-    words is found and cut where it agrees with the first place of its selected grams; runs of fewer than ``min_words`` words are never cut. Null ids come last; rows of equal id and text count as one document and are cut alike. A null text stays null, with 0 lines; an
-    empty text is one empty line; a text whose lines all go becomes empty.
+    white space. Every line of a run of ``min_words`` words or more that also stands at an earlier place is cut, and no other. With
+    ``sure_words`` above ``min_words`` the grams hold ``min_words`` words and fewer are selected: runs of ``sure_words`` words go, and
+    shorter ones where they are a selected gram. Null ids come last; rows of equal id and text count as one document and
+    are cut alike. A null text stays null, with 0 lines; an empty text is one empty line; a text whose lines all go becomes empty.
     """
+    reach = max(min_words, sure_words)
+    gram = min_words if sure_words > min_words else min(gram_words, min_words)
+
     def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2, 4 << 20):
-                row, line, end, marks, before, after = [], [], [], [], [], []
+                row, marks, runs = [], [], []
                 for n, text in enumerate(part.column(2).to_pylist()):
                     if not text:
                         continue
-                    hashes, counts, chosen = select_grams(text.split("\n"), min_words, sure_words)
+                    hashes, counts, chosen = select_grams(text.split("\n"), gram, reach)
+                    before = [0, *accumulate(counts)]
                     for low, high, mark in chosen:
+                        found = runs_around(hashes, counts, before, low, high, reach)
+                        if gram >= min_words and (low, high, mark) not in found:
+                            found.append((low, high, mark))
                         row.append(n)
-                        line.append(low)
-                        end.append(high)
                         marks.append(mark)
-                        before.append(_around(hashes, counts, low, -1, sure_words))
-                        after.append(_around(hashes, counts, high, 1, sure_words))
+                        runs.append(found)
                 rows = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(line, pa.int32()), pa.array(end, pa.int32()),
-                                                  pa.array(marks, pa.binary()), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
-                                                 ["id", "text_key", "line", "line_end", "mark", "before", "after"])
+                at = np.concatenate(([0], np.cumsum([len(r) for r in runs]))).astype(np.int32)
+                flat = [r for found in runs for r in found]
+                items = pa.StructArray.from_arrays([pa.array([r[0] for r in flat], pa.int32()), pa.array([r[1] for r in flat], pa.int32()),
+                                                    pa.array([r[2] for r in flat], pa.binary())], ["low", "high", "run"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(marks, pa.binary()),
+                                                  pa.ListArray.from_arrays(pa.array(at, pa.int32()), items)], ["id", "text_key", "mark", "runs"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), F.col(f"`{text_col}`").alias("text"))
-    places = materialize(source.mapInArrow(select, f"id {kind}, text_key long, line int, line_end int, mark binary, before binary, after binary"), "places")
-
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "text_key", "line")
-    first = places.groupBy("mark").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("place"), "before", "after")).alias("f")).filter("n > 1")
-    first = first.select("mark", F.col("f.place").alias("place"), F.col("f.before").alias("first_before"), F.col("f.after").alias("first_after"))
-    first = materialize(first, "first-places")  # a plain table, so that adaptive execution can split the places of a hot line
-    repeats = places.withColumn("here", order).join(first, "mark").filter(~F.col("here").eqNullSafe(F.col("place")))
-
-    def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low, high = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            columns = [batch.column(n).to_pylist() for n in range(4, 8)]
-            back = [_same(a, b) for a, b in zip(columns[0], columns[1])]
-            on = [_same(a, b) for a, b in zip(columns[2], columns[3])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low - np.array(back, np.int32), pa.int32()),
-                                              pa.array(high + np.array(on, np.int32), pa.int32())], ["gone_id", "gone_key", "low", "high"])
-
-    runs = repeats.select("id", "text_key", "line", "line_end", "before", "first_before", "after", "first_after")
-    runs = runs.mapInArrow(extend, f"gone_id {kind}, gone_key long, low int, high int").distinct()
-    # as many runs as a document has selected lines at most
+    places = materialize(source.mapInArrow(select, f"id {kind}, text_key long, mark binary, runs array<struct<low int, high int, run binary>>"), "places")
+
+    # plain tables, so that adaptive execution can split the places of a hot line
+    often = materialize(places.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark"), "marks")
+    around = materialize(places.join(often, "mark").select("id", "text_key", F.explode("runs").alias("r")).select("id", "text_key", "r.*"), "runs")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "text_key", "low")
+    first = around.groupBy("run").agg(F.min(order).alias("place"), F.max(order).alias("latest")).filter(~F.col("place").eqNullSafe(F.col("latest")))
+    first = materialize(first.select("run", "place"), "first-places")
+    runs = around.withColumn("here", order).join(first, "run").filter(~F.col("here").eqNullSafe(F.col("place")))
+    runs = runs.select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key"), "low", "high").distinct()
+    # at most two runs for each line of a document
     gone = runs.groupBy("gone_id", "gone_key").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

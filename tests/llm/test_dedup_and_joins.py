@@ -268,6 +268,32 @@ def test_line_dedup_cuts_every_repeated_run(spark):
     assert got[73].text == got[77].text == ""
 
 
+@pytest.mark.parametrize("min_words", [5, 9])
+@pytest.mark.parametrize("gram_words", [1, 2, 5])
+def test_line_dedup_with_wide_windows_equals_brute_force(spark, min_words, gram_words):
+    """Short and blank lines: windows of several grams, parts of a run stand first in different texts."""
+    rng = random.Random(17 * min_words + gram_words)
+    stock = [sentence(rng, rng.randint(1, 3)) for _ in range(9)] + ["", "", "  "]
+    texts = ["\n".join(rng.choice(stock) for _ in range(rng.randint(1, 14))) for _ in range(40)]
+    texts += ["\n".join(texts[rng.randrange(40)].split("\n")[rng.randint(0, 3):] + [sentence(rng, 2)]) for _ in range(30)]
+    texts += ["\n" * 3 + texts[0] + "\n" * 4, "\n" * 6 + texts[0] + "\n" * 2]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(table(spark, texts), min_words, min_words, gram_words=gram_words).collect()}
+    gone = brute_lines(texts, min_words)
+    assert sum(map(len, gone)) > 100
+    for d, text in enumerate(texts):
+        assert got[d].text == "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone[d])
+    if gram_words == 1:
+        picked = sum(len(line_dedup.select_grams(t.split("\n"), 1, min_words)[2]) for t in texts)
+        assert picked < 0.8 * sum(1 for t in texts for x in t.split("\n") if x.strip())
+
+
+def test_line_dedup_of_many_blank_lines(spark):
+    line = "one two three four five six"
+    texts = [line + "\n" * 20_000 + line, "\n" * 30_000 + line]
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    assert rows[0].removed_lines == 1 and rows[1].removed_lines == 20_000 and rows[1].text == "\n" * 10_000
+
+
 def test_line_dedup_edge_rows(spark):
     line = "one two three four five six"
     rows = line_dedup.dedup_lines(table(spark, [line, line, line, None, ""], [1, 1, None, 2, 3])).collect()
