@@ -83,17 +83,20 @@ def assign_positions(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_
                      text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """``docs`` with a struct ``mix``: size, source_size, target, copies, taken and positions (one per copy, rising).
 
-    A source's documents are laid end to end in the order of a hash of id, size and seed, as often as the target asks,
+    A source's documents are laid end to end in the order of a hash of id, text and seed, as often as the target asks,
     ``max_repeats`` times at most; a copy is taken whole when its middle lies within the target. A text without words
     (or null) has size 0 and is taken once at most, with 0 words. Null sources are one source, ranked last. Rows that
-    repeat an id count as documents of their own. Reruns agree: the order is a function of the rows.
+    repeat an id count as documents of their own. Reruns agree: the order is a function of the rows, and rows equal in it
+    hold the same words.
     """
     size, key, order, part, mix = spare(docs, "size", "source_key", "order_key", "slice", "mix")
     # a key without nulls serves the join and the window with one shuffle
     keyed = docs.withColumns({
         size: F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long"),
         key: F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`")), F.lit("n")),
-        order: F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")))),
+        # the text is part of it, so rows without an id, or that share one, spread over the slices too
+        order: F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.lit(":"),
+                              F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))),
     }).withColumn(part, F.substring(order, 1, SLICE_DIGITS))
 
     counted = keyed.groupBy(F.col(key).alias("k"), F.col(part).alias("p")).agg(F.sum(size).alias("in_slice"))

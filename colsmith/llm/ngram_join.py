@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, hand_out
 from .store import materialize, slices, spare
 from .words import min_hashes, mix64, shingles, word_hashes
 
@@ -187,8 +187,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # only nodes that stand for more than one row need a class of their own
     joined = joined.filter("weight > 1 or links is not null").withColumn("root", F.coalesce("root", "digest"))
     joined = materialize(joined, "linked")
-    classes = joined.groupBy("root").agg(F.min("least").alias("class_id"))
-    info = joined.join(classes, "root").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    classes = joined.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    info = hand_out(joined, classes, "root", joined.count()).select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
     out = signed.filter("size > 0").select("id", "text_key", "digest").join(info, "digest", "left")
     out = out.select("id", "text_key", F.when(F.col("links").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
                      F.coalesce("links", F.lit(0)).cast("long").alias("links"))
@@ -201,8 +201,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows of equal id and text count as one document. Classes are those of ``near_classes``.
     """
     linked = materialize(near_classes(docs, id_col, text_col, **options).filter("links > 0"), "classes")
-    best = linked.groupBy("class_id").agg(F.max(F.struct("id", "text_key")).alias("best"))
-    losers = linked.join(best, linked["class_id"].eqNullSafe(best["class_id"])).filter(~F.struct("id", "text_key").eqNullSafe(F.col("best")))
+    best = linked.groupBy("class_id").agg(F.max(F.struct("id", "text_key")).alias("best"), F.count(F.lit(1)).alias("n"))
+    losers = hand_out(linked, best, "class_id", linked.count()).filter(~F.struct("id", "text_key").eqNullSafe(F.col("best")))
     losers = losers.select(F.col("id").alias("lost_id"), F.col("text_key").alias("lost_key")).distinct()
     key, lost_id, lost_key = spare(docs, "text_key", "lost_id", "lost_key")
     losers = losers.select(F.col("lost_id").alias(lost_id), F.col("lost_key").alias(lost_key))

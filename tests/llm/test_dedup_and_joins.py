@@ -154,12 +154,24 @@ def test_shared_counts_are_exact():
             assert counts[a, b] == len(np.intersect1d(sets[a], sets[b]))
 
 
-def test_components_of_long_and_hub_graphs(spark):
+@pytest.mark.parametrize("hot", [10, 256])
+def test_components_of_long_and_hub_graphs(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT_ROWS", hot)
     edges = [(n, n + 1) for n in range(1, 60)] + [(100, n) for n in range(101, 180)] + [(300, 201), (201, 250), (7, 7)]
     rows = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.root for r in rows} == {**{n: 1 for n in range(1, 61)}, **{n: 100 for n in range(100, 180)}, 300: 201, 201: 201, 250: 201}
 
 
+def test_hand_out_keeps_every_row(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_ROWS", 20)
+    rows = spark.createDataFrame([("hot", n) for n in range(50)] + [(None, n) for n in range(30)] + [(f"k{n % 7}", n) for n in range(40)] + [("lone", 1)], "k string, v int")
+    found = rows.filter("k is null or k <> 'lone'").groupBy("k").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    got = components.hand_out(rows, found, "k", 121)
+    assert got.columns == ["k", "v", "s"] and got.count() == 120
+    want = {r.k: r.s for r in found.collect()}
+    assert all(r.s == want[r.k] for r in got.collect())
+
+
 def test_shingles_match_tuples():
     texts = ["a b c d e f", "", None, "A b  C", "a b c", "x y z x y z x y z x y z"]
     values, ends = shingles(*word_hashes(pa.array(texts)))

@@ -73,7 +73,7 @@ def brute(rows, rejected):
         full |= over
     copies = Counter()
     for s in names:
-        order = sorted((hashlib.md5(f"mix:{r[0]}".encode()).hexdigest(), len(r[1].split()), r[0]) for r in kept if r[3] == s)
+        order = sorted((hashlib.md5(f"mix:{r[0]}:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest(), len(r[1].split()), r[0]) for r in kept if r[3] == s)
         for repeat in range(3):
             at = 0
             for _, size, doc in order:

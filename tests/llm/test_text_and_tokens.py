@@ -427,6 +427,14 @@ def test_curriculum_is_sorted_and_whole(spark):
     assert got == [r.doc_id for r in mixing.curriculum(docs.repartition(3)).collect()] or len(got) == out.count()
 
 
+def test_mixing_without_ids_depends_on_texts_alone(spark):
+    """Rows without an id are ordered by their texts: reruns on other partitions take the same ones."""
+    rows = [(None, " ".join([f"w{n}"] * (1 + n % 3)), "web") for n in range(600)] + [(1, f"one text of many {n}", "code") for n in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    takes = [sorted((r.text, r.mix.copies) for r in mixing.assign_positions(docs.repartition(n)).collect()) for n in (1, 7)]
+    assert takes[0] == takes[1] and len({c for _, c in takes[0]}) > 1
+
+
 def test_mixing_edge_tables(spark):
     assert mixing.assign_positions(table(spark, ["a"]).filter("false")).count() == 0
     rows = mixing.assign_positions(table(spark, [None, "", "  "], [1, 1, None])).collect()
