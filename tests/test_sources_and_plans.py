@@ -221,6 +221,24 @@ def test_selection_prefers_the_signal(signal):
     assert verdict["a"] == "confirmed"
 
 
+def test_boruta_joins_the_shadow_rows_once_a_round(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    held = []
+
+    class Watched(RandomForestClassifier):
+        def fit(self, rows, params=None):
+            held.append((rows.is_cached, rows))
+            return super().fit(rows, params)
+
+    monkeypatch.setattr(selection, "RandomForestClassifier", Watched)
+    data = spark.range(400).selectExpr("id AS rid", "CAST(id % 37 AS DOUBLE) AS a", "CAST(id * 7 % 11 AS DOUBLE) AS b", "IF(id % 37 > 18, 'x', 'y') AS flag")
+    selection.boruta_select(data, ["a", "b"], "flag", "binary", ["rid"], rounds=2, trees=2)
+    # the forest's passes read kept rows, and no round leaves its rows behind
+    assert [cached for cached, _ in held] == [True, True]
+    assert not any(rows.is_cached for _, rows in held)
+
+
 def test_recommended_inputs_meet_the_target_within_bounds(spark, signal):
     table, models = modeling.surrogate_regression(signal, "y", ["a", "noise"], ["rid"])
     assert {r.model for r in table.collect()} == {"linear", "boosted"}
