@@ -790,3 +790,40 @@ def test_two_table_report(spark):
     assert set(first[first["stat"] == "importance"]["feature"]) == {"x", "s"}
     with pytest.raises(ValueError, match="differ"):
         reports.eda_compare_report(df, df.drop("x"), ["id"])
+
+
+# ---- scans that read their rows once ------------------------------------------------------
+
+def test_wide_decoding_scans_stored_rows(spark, monkeypatch):
+    levels = spark.range(50).selectExpr("CONCAT('v', id) AS level", "1L AS n", "id AS v0")
+    stored = encoding.store_levels(levels) + "#v0"
+    plans = []
+
+    def watched(rows, *args, **options):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return real(rows, *args, **options)
+
+    real = encoding.ordered_scan
+    monkeypatch.setattr(encoding, "ordered_scan", watched)
+    df = spark.range(60).select("id", F.col("id").cast("double").alias("c"))
+    found = {r.id: r.c for r in encoding.inverse_value_map(df, {"c": stored}).collect()}
+    assert found == {i: f"v{i}" if i < 50 else None for i in range(60)}
+    # neither scan runs the table or the other scan again
+    assert len(plans) == 2 and not any("Range (" in p or "Window" in p for p in plans)
+
+
+def test_step_difference_takes_a_cut_made_before(spark, monkeypatch):
+    from colsmith.functions import ordered
+
+    rows = [(i, float(i // 3), float(i * i % 17), float(i // 3 - (i - 1) // 3)) for i in range(40)]
+    df = spark.createDataFrame(rows, "rid long, t double, x double, gap double")
+    state = {"ruler": "gap", "divide": {"x": True}, "order_by": ["t", "rid"], "partition_by": []}
+    want = sorted(map(tuple, features.apply_step_difference(df, state).collect()))
+    cut = range_cut(df, ["t", "rid"], 5)
+    assert cut.ranges > 1
+
+    def refuse(*args, **options):
+        raise AssertionError("the order is cut once")
+    monkeypatch.setattr(ordered, "range_cut", refuse)
+    monkeypatch.setattr(features, "range_cut", refuse)
+    assert sorted(map(tuple, features.apply_step_difference(df, state, cut=cut).collect())) == want
