@@ -189,3 +189,19 @@ def test_a_cut_serves_one_order_only(spark):
     df = spark.createDataFrame(series(50))
     with pytest.raises(ValueError, match="not by"):
         ordered_scan(df, ["rid"], row_number="n", cut=range_cut(df, ["ts", "rid"]))
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 64, 65, 600])
+def test_range_search_counts_the_bounds_not_above(spark, n):
+    from bisect import bisect_right
+
+    from colsmith.functions import ordered
+
+    df = spark.range(300).selectExpr("CAST(id % 5 AS STRING) AS a", "CAST(id * 37 % 211 AS DOUBLE) AS b")
+    df = df.unionByName(spark.createDataFrame([(None, 1.0), ("3", None), ("9", float("nan"))], "a string, b double"))
+    bounds = [(str(i // 130), float(i % 130)) for i in range(n)]
+    keys = [ordered._sort_key(b) for b in bounds]
+    place = range_id(df, ["a", "b"], bounds)
+    assert all(r.r == bisect_right(keys, ordered._sort_key((r.a, r.b))) for r in df.select("a", "b", place.alias("r")).collect())
+    # no level compares a key with more than a few bounds
+    assert ordered._STEP <= 16
