@@ -119,6 +119,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _MARK = np.zeros(256, bool)
 _MARK[[c for c in range(33, 127) if not (_LETTER[c] or _DIGIT[c] or c == 39)]] = True
+_STOP = _MARK.copy()
+_STOP[[10, 32]] = True
 
 
 def borders(data: np.ndarray) -> np.ndarray:
@@ -130,13 +132,14 @@ def borders(data: np.ndarray) -> np.ndarray:
     """
     if len(data) < 2:
         return np.zeros(0, np.int64)
-    previous, current = data[:-1], data[1:]
-    lead2 = np.concatenate([[0], data[:-2]])
-    lead3 = np.concatenate([[0, 0], data[:-3]])[: len(previous)]
+    # only what stands before a blank or mark is looked at
+    at = np.flatnonzero(_STOP[data[1:]])
+    previous, current = data[at], data[at + 1]
+    lead2 = np.where(at > 0, data[at - 1], 0)
+    lead3 = np.where(at > 1, data[at - 2], 0)
     safe = (previous > 32) & (previous != 127)
     safe &= ~((previous >= 128) & ((lead2 == 0xC2) | (lead3 == 0xE1) | (lead3 == 0xE2) | (lead3 == 0xE3)))
-    blank = (current == 32) | (current == 10)
-    return np.flatnonzero(blank & safe | _MARK[current] & _LETTER[previous]) + 1
+    return at[np.where(_MARK[current], _LETTER[previous], safe)] + 1
 
 
 class SegmentEncoder:
@@ -215,7 +218,11 @@ class SegmentEncoder:
         edges = (offsets - offsets[0]).astype(np.int64)
         if not len(data):
             return np.zeros(0, f"<u{self.width}"), np.zeros(len(texts), np.int64)
-        cuts = np.unique(np.concatenate([borders(data), edges]))
+        # marked instead of sorted: rising, and each position once
+        cut = np.zeros(len(data) + 1, bool)
+        cut[borders(data)] = True
+        cut[edges] = True
+        cuts = np.flatnonzero(cut)
         pieces = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
         kinds = coded.dictionary.to_pylist()
