@@ -205,3 +205,21 @@ def test_range_search_counts_the_bounds_not_above(spark, n):
     assert all(r.r == bisect_right(keys, ordered._sort_key((r.a, r.b))) for r in df.select("a", "b", place.alias("r")).collect())
     # no level compares a key with more than a few bounds
     assert ordered._STEP <= 16
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 8, 65, 600])
+def test_compiled_range_search_counts_the_bounds_not_above(spark, n):
+    from bisect import bisect_right
+
+    from colsmith.functions import ordered
+
+    df = spark.range(300).selectExpr("CAST(id % 5 AS STRING) AS a", "CAST(id * 37 % 211 AS DOUBLE) AS b")
+    df = df.unionByName(spark.createDataFrame([(None, 1.0), ("3", None), ("9", float("nan")), (None, None)], "a string, b double"))
+    bounds = [(None, 0.5), *[(str(i // 130), float(i % 130)) for i in range(n)]][:n]
+    keys = [ordered._sort_key(b) for b in bounds]
+    found = ordered.RangeCut(("a", "b"), tuple(bounds), None, n + 1).mark(df, "r")
+    assert found.columns == ["a", "b", "r"] and found.schema["r"].dataType.typeName() == "long"
+    assert all(r.r == bisect_right(keys, ordered._sort_key((r.a, r.b))) for r in found.collect())
+    # functions of array elements are interpreted row by row
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan.lower()
