@@ -136,6 +136,33 @@ def test_many_classes_are_boosted_and_every_trial_is_listed(spark, bands, tmp_pa
     assert weights[0] > 0.9 and len(weights) == 3
 
 
+def test_boosting_scans_each_kind_of_row_once(spark, monkeypatch):
+    """Rows of a class in the same bins count as one row with a weight, at every level of every tree."""
+    rng = np.random.default_rng(3)
+    made = [(0, True, int(c), [float(a), None if a == 7 else float(b)]) for a, b, c in rng.integers(0, 8, (2000, 3))]
+    made = [(m, t, y % 3, [float("nan") if v is None else v for v in x]) for m, t, y, x in made]
+    rows = spark.createDataFrame(made, "m int, train boolean, y int, x array<double>").repartition(3)
+    seen = []
+    real = boosting._histograms
+    monkeypatch.setattr(boosting, "_histograms", lambda kinds, shared: seen.append((kinds.count(), kinds.agg(F.sum("w")).first()[0])) or real(kinds, shared))
+    model, = boosting.fit_boosted(rows, 1, 3, rounds=2, depth=2, bins=16)
+    kinds = len({(y, x[0], str(x[1])) for _, _, y, x in made})
+    assert seen == [(kinds, 2000)] * 4 and kinds < 200
+    assert len(model["rounds"]) == 2 and model["gains"].sum() > 0
+
+
+def test_importances_bound_the_rows_of_a_task(spark, monkeypatch):
+    """A split of a file may hold any number of rows; what a task reads again and again must not grow with it."""
+    from colsmith import session
+    df = spark.range(2500).repartition(2)
+    assert session.bounded(df, 2500, 1000).rdd.getNumPartitions() == 3
+    assert session.bounded(df, 2500, 5000) is df and session.bounded(df.limit(0), 0).count() == 0
+    parts = []
+    monkeypatch.setattr(selection, "bounded", lambda d, rows: parts.append(rows) or session.bounded(d, rows, 100))
+    data = df.selectExpr("CAST(id % 17 AS DOUBLE) AS a", "CAST(id % 5 AS DOUBLE) AS b", "IF(id % 17 > 8, 'x', 'y') AS y")
+    assert selection.importances(data, ["a", "b"], "y", "binary", trees=3, boosts=2)["a"] == 1.0 and parts == [2500]
+
+
 def test_boosting_equals_a_plain_version(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 3)).round(1)
