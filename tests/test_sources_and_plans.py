@@ -110,6 +110,41 @@ def test_search_save_load_predict(spark, signal, tmp_path):
     assert modeling.feature_importance(signal, run).first().feature == "a"
 
 
+def test_area_under_roc_counts_pairs(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"y": rng.integers(0, 2, 3000).astype(float), "s": np.where(rng.random(3000) < 0.3, 0.5, rng.normal(size=3000))})
+    pdf["s"] += pdf.y * (pdf.s != 0.5) * 0.4
+    pos, neg = pdf.s[pdf.y == 1].to_numpy(), pdf.s[pdf.y == 0].to_numpy()
+    want = ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg))
+    df = spark.createDataFrame(pdf).repartition(3)
+    for size in (250_000, 100):
+        assert modeling.area_under_roc(df, "y", "s", size) == pytest.approx(want, abs=1e-12)
+    assert [modeling.area_under_roc(df.filter(f), "y", "s") for f in ("y = 0", "y = 1", "y = 2")] == [0.0, 1.0, 0.5]
+
+
+def test_folds_share_vectors_only_where_their_preparation_agrees(spark, signal):
+    rows = signal.select("a", "g", (F.col("y") > 1).cast("double").alias("__y"), F.pmod(F.col("rid"), F.lit(3)).cast("int").alias("__fold"))
+
+    def vectors(df):
+        return sorted((r["__fold"], r["__y"], *r["features"].toArray()) for r in df.collect())
+    some = F.when(F.col("__fold") != 1, F.col("a")).alias("a")
+    alone = F.when((F.col("__fold") == 2) & (F.col("g") == "x"), "own").otherwise(F.col("g")).alias("g")
+    for case, want in ((rows, 1), (rows.select(some, "g", "__y", "__fold"), 4), (rows.select("a", alone, "__y", "__fold"), 2)):
+        sets, kept = modeling._fold_sets(case, ["a", "g"], 3)
+        assert len(kept) == want and len(sets) == 4 and sets[-1][2].isEmpty()
+        for fold, (_, train, check) in enumerate(sets[:-1]):
+            plain = modeling.Pipeline(stages=modeling.feature_stages(case, ["a", "g"])).fit(case.filter(F.col("__fold") != fold)).transform(case)
+            assert vectors(train) == vectors(plain.filter(F.col("__fold") != fold)) and vectors(check) == vectors(plain.filter(F.col("__fold") == fold))
+        for frame in kept:
+            frame.unpersist()
+
+
+def test_search_keeps_nothing(spark, signal):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    modeling.auto_train(signal, "flag", ["a", "g"], max_models=1, folds=2)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
 @pytest.fixture(scope="module")
 def bands(signal):
     """Twelve classes, a column with nulls and one without any value."""
