@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from colsmith.functions import lookup
 from colsmith.functions import tests_of_fit as tof
 from colsmith.functions.ordered import range_cut
-from colsmith.operators import association, cleaning, drift, encoding, features, imputation, merging, profiling, ranks, reshape, roles, scaling
+from colsmith.operators import association, cleaning, drift, encoding, features, imputation, merging, modeling, profiling, ranks, reshape, roles, scaling
 from colsmith.operators.roles import CheckError
 from colsmith.plans import reports
 
@@ -792,6 +792,27 @@ def test_two_table_report(spark):
         reports.eda_compare_report(df, df.drop("x"), ["id"])
 
 
+def test_unequal_tables_are_told_apart_without_moving_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0.0, "a", [1]), (2, float("nan"), None, None), (2, float("nan"), None, None), (3, None, "b", [2])], "id int, x double, s string, l array<int>")
+    same = df.select(F.col("id").cast("long").alias("id"), F.when(F.col("x") == 0, F.lit(-0.0)).otherwise(F.col("x")).alias("x"), "s", "l").repartition(3)
+    assert reshape.frames_equal(df, same) and reshape.frames_equal(df.limit(0), df.limit(0)) and not reshape.frames_equal(df, df.limit(0))
+    # moved values keep every column's counts; a doubled row keeps the distinct ones
+    moved = df.withColumn("s", F.when(F.col("id") == 1, "b").when(F.col("id") == 3, "a"))
+    asked = []
+    monkeypatch.setattr(reshape, "frames_differ", lambda a, b: asked.append(1) or a.limit(0))
+    assert not reshape.frames_equal(df, moved) and not reshape.frames_equal(df, df.union(df.limit(1))) and not asked
+    assert reshape.frames_equal(df, same) and asked == [1]          # equal sums prove nothing
+
+
+def test_adversarial_rounds_keep_no_key(spark, monkeypatch):
+    df = spark.range(600).select("id", (F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    kept, plain = [], type(df).persist
+    monkeypatch.setattr(type(df), "persist", lambda self, *a: kept.append(self.columns) or plain(self, *a))
+    log = modeling.adversarial_validation(df, df.withColumn("x", F.col("x") + 4), ["x", "y"], ["id"], trees=5, max_rounds=2)
+    assert log[0]["feature"] == "x" and log[0]["removed"] and 0.6 < log[0]["auc"] < 1.0
+    assert kept and not any("id" in cols for cols in kept)
+
+
 # ---- scans that read their rows once ------------------------------------------------------
 
 def test_wide_decoding_scans_stored_rows(spark, monkeypatch):
