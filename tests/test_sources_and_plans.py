@@ -122,6 +122,24 @@ def test_area_under_roc_counts_pairs(spark):
     assert [modeling.area_under_roc(df.filter(f), "y", "s") for f in ("y = 0", "y = 1", "y = 2")] == [0.0, 1.0, 0.5]
 
 
+def test_area_of_many_scores_shuffles_packed_counts(spark, monkeypatch):
+    """Rows with many scores are not grouped and scanned again: nulls lowest, NaN highest, a hot score, several blocks and pieces."""
+    rng = np.random.default_rng(9)
+    scores = [None if k < 0.05 else float("nan") if k < 0.1 else 0.25 if k < 0.4 else float(v) for k, v in zip(rng.random(2500), rng.normal(size=2500))]
+    made = [(v, float(y)) for v, y in zip(scores, rng.integers(0, 2, 2500))] + [(-0.0, 1.0), (0.0, 0.0), (0.5, None), (float("-inf"), 1.0)]
+    place = [-np.inf if v is None else np.inf if v != v else float(np.clip(v, -1e9, 1e9)) for v, _ in made]
+    truth = np.array([y == 1.0 for _, y in made])
+    pos, neg = np.array(place)[truth], np.array(place)[~truth]
+    want = ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg))
+    df = spark.createDataFrame(made, "s double, y double").repartition(3)
+    assert modeling.area_under_roc(df, "y", "s") == want        # few scores: one range
+    monkeypatch.setattr(modeling, "ordered_scan", None)
+    monkeypatch.setattr(modeling, "ROWS_PER_BLOCK", 400)
+    monkeypatch.setattr(modeling, "SCORES_PER_PIECE", 16)
+    for size in (10, 200, 1000):
+        assert modeling.area_under_roc(df, "y", "s", size) == want
+
+
 def test_folds_share_vectors_only_where_their_preparation_agrees(spark, signal):
     rows = signal.select("a", "g", (F.col("y") > 1).cast("double").alias("__y"), F.pmod(F.col("rid"), F.lit(3)).cast("int").alias("__fold"))
 
