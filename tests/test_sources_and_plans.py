@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from colsmith import session
 from colsmith.operators import boosting, encoding, groups, modeling, selection
 from colsmith.operators.roles import CheckError
 from colsmith.plans import mold as molds
@@ -140,6 +141,21 @@ def test_area_of_many_scores_shuffles_packed_counts(spark, monkeypatch):
         assert modeling.area_under_roc(df, "y", "s", size) == want
 
 
+def test_batches_by_count_puts_the_setting_back(spark):
+    before = spark.conf.get(session.BATCH_BYTES, None)
+    for own in (before, "1000000"):
+        if own:
+            spark.conf.set(session.BATCH_BYTES, own)
+        outer, inner = session.batches_by_count(spark), session.batches_by_count(spark)
+        outer.__enter__()
+        inner.__enter__()
+        outer.__exit__(None, None, None)        # threads leave in any order
+        assert spark.conf.get(session.BATCH_BYTES) == str(2 ** 31 - 1)
+        inner.__exit__(None, None, None)
+        assert spark.conf.get(session.BATCH_BYTES, None) == own
+    spark.conf.unset(session.BATCH_BYTES) if before is None else spark.conf.set(session.BATCH_BYTES, before)
+
+
 def test_folds_share_vectors_only_where_their_preparation_agrees(spark, signal):
     rows = signal.select("a", "g", (F.col("y") > 1).cast("double").alias("__y"), F.pmod(F.col("rid"), F.lit(3)).cast("int").alias("__fold"))
 
