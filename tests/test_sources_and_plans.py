@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colsmith import session
-from colsmith.operators import boosting, encoding, groups, modeling, selection
+from colsmith.operators import boosting, cells, encoding, groups, modeling, selection
 from colsmith.operators.roles import CheckError
 from colsmith.plans import mold as molds
 from colsmith.plans import preparation, regression_prep, reports
@@ -232,6 +232,50 @@ def test_importances_bound_the_rows_of_a_task(spark, monkeypatch):
     assert selection.importances(data, ["a", "b"], "y", "binary", trees=3, boosts=2)["a"] == 1.0 and parts == [2500]
 
 
+def test_trees_on_cells_equal_trees_on_rows(spark):
+    """Up to 10,000 rows Spark cuts by all rows, too: the same splits and importances, of classes and of numbers."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    rng = np.random.default_rng(4)
+    n = 5000
+    pdf = pd.DataFrame({"a": rng.integers(0, 50, n) * 1.0, "b": rng.normal(size=n), "c": rng.random(n) * (rng.random(n) < 0.4)})
+    pdf["y"], pdf["z"] = (pdf.a * (1 + pdf.b * 0.2) > 25) * 1.0, pdf.a + pdf.b * 30 * pdf.c
+    data = spark.createDataFrame(pdf).cache()
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(data)
+    cuts = cells.cut_points(data, ["a", "b", "c"])
+    for label, kind in (("y", GBTClassifier), ("z", GBTRegressor)):
+        coded = cells.coded(data, cuts, [label])
+        found = (coded.groupBy("code", label).agg(F.count(F.lit(1)).alias("__w")) if label == "y"
+                 else coded.groupBy("code").agg(F.avg(label).alias(label), F.count(F.lit(1)).alias("__w")))
+        kept, number, total = cells.kept_cells(found)
+        assert total == n and number < n
+        few = kind(labelCol=label, weightCol="__w", maxIter=4, maxDepth=4, seed=3, maxBins=cells.bins_that_hold(number)).fit(cells.dealt(cells.with_codes(kept, cuts), number))
+        whole = kind(labelCol=label, maxIter=4, maxDepth=4, seed=3).fit(rows)
+        np.testing.assert_allclose(few.featureImportances.toArray(), whole.featureImportances.toArray(), atol=1e-9)
+        kept.unpersist()
+
+
+def test_importances_read_every_row(spark, monkeypatch):
+    """No tree draws rows, and three rows of 30,000 have their cut."""
+    from pyspark.ml.classification import RandomForestClassifier
+    seen = []
+
+    class Watched(RandomForestClassifier):
+        def fit(self, rows, params=None):
+            seen.append((rows.agg(F.sum("__w")).first()[0], self.getSubsamplingRate(), self.getBootstrap()))
+            return super().fit(rows, params)
+
+    monkeypatch.setattr(selection, "RandomForestClassifier", Watched)
+    data = spark.range(30_000).selectExpr("CAST(id % 10000 = 7 AS DOUBLE) AS rare", "CAST(id % 13 AS DOUBLE) AS b", "rand(3) AS c", "IF(id % 10000 = 7, 'x', 'y') AS y")
+    assert selection.importances(data, ["rare", "b", "c"], "y", "binary", trees=6, boosts=2) == pytest.approx({"rare": 1.0, "b": 0.0, "c": 0.0}, abs=1e-3)
+    assert seen == [(30_000, 1.0, False)]
+    cuts = cells.cut_points(data, ["rare", "c"])
+    assert cuts["rare"].tolist() == [0.5] and len(cuts["c"]) == 31
+    shares = np.diff([0, *(data.filter(F.col("c") <= float(v)).count() for v in cuts["c"][::10])]) / 30_000
+    np.testing.assert_allclose(shares, [1 / 32, 10 / 32, 10 / 32, 10 / 32], atol=1e-3)
+
+
 def test_boosting_equals_a_plain_version(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 3)).round(1)
