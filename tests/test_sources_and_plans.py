@@ -319,6 +319,23 @@ def test_surrogate_learns_from_the_training_part(spark, bands):
     assert imputer.surrogateDF.first()["noise"] == pytest.approx(train.agg(F.avg("noise")).first()[0])
 
 
+def test_surrogate_on_cells_equals_that_on_rows(spark):
+    """Scores of both parts, and predictions for rows of either and for a level never seen."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    pdf = pd.DataFrame({"rid": range(n), "a": rng.integers(0, 40, n) * 1.0, "b": rng.normal(size=n), "g": rng.choice(list("xyz"), n)})
+    pdf["y"] = pdf.a * (1 + 0.3 * pdf.b) + (pdf.g == "y") * 20
+    data = spark.createDataFrame(pdf).withColumn("b", F.when(F.col("rid") % 11 > 0, F.col("b"))).repartition(3).cache()
+    whole, first = modeling.surrogate_regression(data, "y", ["a", "b", "g"], ["rid"], boosts=5)
+    few, second = modeling.surrogate_regression(data, "y", ["a", "b", "g"], ["rid"], boosts=5, direct_rows=100)
+    for x, y in zip(whole.collect(), few.collect()):
+        assert x.model == y.model and list(x)[1:] == pytest.approx(list(y)[1:], rel=1e-6)
+    asked = data.unionByName(spark.createDataFrame([(n, 7.0, 0.1, "new", 0.0), (n + 1, -5.0, 9.0, "x", 0.0)], data.schema))
+    for name in ("linear", "boosted"):
+        a, b = ({r.rid: r.prediction for r in m[name].transform(asked).select("rid", "prediction").collect()} for m in (first, second))
+        assert a == pytest.approx(b, rel=1e-6)
+
+
 def test_adversarial_counts_missing_values(signal):
     """Values alike, but missing in the second table only; a column without any value is no feature."""
     first, second = (signal.filter(f"rid % 2 = {n}").withColumn("none", F.lit(None).cast("double")) for n in (0, 1))
