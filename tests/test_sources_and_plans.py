@@ -396,6 +396,28 @@ def test_boruta_joins_the_shadow_rows_once_a_round(spark, monkeypatch):
     assert not any(rows.is_cached for _, rows in held)
 
 
+def test_boruta_query_plays_all_rounds(spark, monkeypatch, tmp_path):
+    """The query leaves rounds and trees to the operator."""
+    from colsmith.catalog import learning
+    asked = []
+    monkeypatch.setattr(selection, "boruta_select", lambda *a, **named: asked.append(named) or {"l_tax": "rejected"})
+    (spark.range(20).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey", "1.0D AS l_quantity", "2.0D AS l_extendedprice",
+                                "0.1D AS l_discount", "0.0D AS l_tax", "'A' AS l_returnflag").write.parquet(str(tmp_path / "lineitem.parquet")))
+    assert learning.boruta_select(spark, str(tmp_path)).count() == 1 and asked == [{}]
+
+
+def test_shadows_are_permutations(spark):
+    data = spark.range(5000).selectExpr("CAST(id % 2 AS DOUBLE) AS __y", "CAST(id AS DOUBLE) AS f0", "CAST(id AS DOUBLE) * 2 AS f1").repartition(3).localCheckpoint()
+    made, again, later = (np.array([r.x for r in selection._with_shadows(data, 2, seed).orderBy(F.get("x", F.lit(0))).collect()]) for seed in ((7, 1), (7, 1), (7, 2)))
+    np.testing.assert_array_equal(made, again)
+    np.testing.assert_array_equal(made[:, 1], made[:, 0] * 2)
+    for x in (made, later):
+        # every value once, moved, each column by itself
+        np.testing.assert_array_equal(np.sort(x[:, 2]), x[:, 0])
+        assert (x[:, 2] == x[:, 0]).mean() < 0.01 and (x[:, 3] == x[:, 2] * 2).mean() < 0.01 and abs(np.corrcoef(x[:, 0], x[:, 2])[0, 1]) < 0.1
+    assert (made[:, 2] == later[:, 2]).mean() < 0.01
+
+
 def test_recommended_inputs_meet_the_target_within_bounds(spark, signal):
     table, models = modeling.surrogate_regression(signal, "y", ["a", "noise"], ["rid"])
     assert {r.model for r in table.collect()} == {"linear", "boosted"}
