@@ -848,3 +848,29 @@ def test_step_difference_takes_a_cut_made_before(spark, monkeypatch):
     monkeypatch.setattr(ordered, "range_cut", refuse)
     monkeypatch.setattr(features, "range_cut", refuse)
     assert sorted(map(tuple, features.apply_step_difference(df, state, cut=cut).collect())) == want
+
+
+def test_modal_gap_equals_that_of_all_rows(spark):
+    """From distinct times alone: equal times are 0 apart, nulls have no gap, of equal counts the smallest gap wins."""
+    rng = np.random.default_rng(11)
+    for step, size in ((60, 40), (7, 4000), (1, 90)):
+        pdf = pd.DataFrame({"rid": range(400), "at": pd.to_datetime("2024-01-01") + pd.to_timedelta(rng.integers(0, size, 400) * step, unit="s")})
+        df = spark.createDataFrame(pdf).withColumn("at", F.when(F.col("rid") % 9 > 0, F.col("at")))
+        rows = features.time_delta(df, "at", ["at", "rid"], fill=float("nan"))
+        wanted = features.modal_value(rows.filter(~F.isnan("at_delta")), "at_delta")
+        assert features.modal_gap(df, "at", rows_per_range=50) == wanted
+    assert features.modal_gap(df.filter("rid < 0"), "at") is None
+
+
+def test_pair_counts_of_rows_that_agree(spark, monkeypatch):
+    """Rows with the same levels in all columns are counted before they fan out to pairs; the counts are those of the rows."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({c: rng.choice(list("pqrs")[:k] + [None], 2000) for c, k in (("a", 2), ("b", 3), ("c", 4))})
+    df = spark.createDataFrame(pdf, "a string, b string, c string")
+    pairs = [("a", "b"), ("a", "c"), ("b", "c")]
+    made = association.pair_counts(df, pairs)
+    got = {(r.a, r.b, r.u, r.v): r.n for r in made.collect()}
+    want = {(x, y, u, v): n for x, y in pairs for (u, v), n in pdf.dropna(subset=[x, y]).groupby([x, y]).size().items()}
+    assert got == want
+    # two aggregates, one before the pairs
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2

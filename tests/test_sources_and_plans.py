@@ -483,6 +483,32 @@ def test_flow_never_learns_from_the_new_table(flow):
     assert whole.drop(columns="y").notna().all().all()
 
 
+def test_flow_reads_its_table_once(spark):
+    """Whatever the train table comes from is worked out once in a fit; copies of a row with a key that repeats are still one row."""
+    rng = np.random.default_rng(5)
+    n = 300
+    pdf = pd.DataFrame({"rid": range(n), "when": pd.date_range("2024-01-01", periods=n, freq="7h"), "v": np.exp(rng.normal(size=n)), "kind": rng.choice(list("pqr"), n)})
+    pdf["y"] = np.where(pdf.v > 1.1, "hi", "lo")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    plain = spark.createDataFrame(pdf)
+    settings = {"key": ["rid"], "trees": 2, "boosts": 1, "unary": ["polynomial"], "groupby": ["mean"], "bucket_size": 3}
+    train = plain.mapInArrow(counted, plain.schema)
+    mold = preparation.fit(train, "y", **settings)
+    assert seen.value == n and not train.storageLevel.useMemory
+    kept = train.persist()
+    assert preparation.fit(kept, "y", **settings).transform["columns"] == mold.transform["columns"] and kept.storageLevel.useMemory
+    kept.unpersist()
+    assert preparation._may_repeat(plain.union(plain.limit(1)), ["rid"]) and not preparation._may_repeat(plain, ["rid"]) and preparation._may_repeat(plain, [])
+    twice = plain.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(0)))).drop("copy")
+    assert preparation.cast(twice, "y", **settings, time_series=False)[1].count() == n
+
+
 def test_flow_checks(flow):
     train, test, mold, _ = flow
     with pytest.raises(CheckError, match="3104"):
